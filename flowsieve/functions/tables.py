@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+ARROW_TYPES = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}
 
 
-def fact_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """The rows as a DataFrame, marked for broadcast only while their counted number is small.
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: dict[str, str]) -> DataFrame:
+    """Driver-side rows as a local relation, whose size the optimizer knows."""
+    values = list(zip(*rows)) if rows else [()] * len(schema)
+    fields = [pa.field(name, ARROW_TYPES[kind]) for name, kind in schema.items()]
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(values, fields)], schema=pa.schema(fields)))
+
+
+def fact_table(spark: SparkSession, rows: Sequence[tuple], schema: dict[str, str]) -> DataFrame:
+    """The rows as a join side, marked for broadcast only while their counted number is small.
 
     Beyond the bound no hint is given and the join goes by shuffle.
     """
-    table = spark.createDataFrame(list(rows), schema)
+    table = local_table(spark, rows, schema)
     return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table

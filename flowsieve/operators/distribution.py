@@ -62,7 +62,7 @@ class Bracket:
 
 def bracket_table(values: DataFrame, brackets: Sequence[Bracket]) -> DataFrame:
     rows = [(*b.key, float(b.low), float(b.high)) for b in brackets]
-    schema = f"`{GROUP}` string, `{VARIABLE}` string, share double, low double, high double"
+    schema = {GROUP: "string", VARIABLE: "string", "share": "double", "low": "double", "high": "double"}
     return fact_table(values.sparkSession, rows, schema)
 
 
@@ -98,7 +98,7 @@ def ranked_values(values: DataFrame, brackets: Sequence[Bracket]) -> dict[tuple,
     upto = F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = counts.withColumn("upto", upto)
     ranks = [(*b.key, math.floor(b.position), math.ceil(b.position)) for b in brackets]
-    schema = f"`{GROUP}` string, `{VARIABLE}` string, share double, first bigint, last bigint"
+    schema = {GROUP: "string", VARIABLE: "string", "share": "double", "first": "bigint", "last": "bigint"}
     table = fact_table(values.sparkSession, ranks, schema)
     same = (
         F.col("r.class").eqNullSafe(F.col("t.class"))
@@ -158,7 +158,7 @@ def box_statistics(df: DataFrame, group: str = N.BINARY_COLUMN, variables: Seque
     quantiles = exact_quantiles(values)
     boxes = sorted({key[:2] for key in quantiles}, key=str)
     rows = [(*box, *[quantiles[(*box, q)] for q in QUARTILES]) for box in boxes]
-    schema = f"`{GROUP}` string, `{VARIABLE}` string, q1 double, median double, q3 double"
+    schema = {GROUP: "string", VARIABLE: "string", "q1": "double", "median": "double", "q3": "double"}
     table = fact_table(values.sparkSession, rows, schema)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col(VALUE) >= F.col("q1") - reach) & (F.col(VALUE) <= F.col("q3") + reach)
@@ -183,9 +183,10 @@ def class_moments(values: DataFrame) -> DataFrame:
 
 def moment_table(values: DataFrame) -> DataFrame:
     """The moments, fitted once and joined to the values as a small table."""
-    rows = [tuple(r) for r in class_moments(values).collect()]
-    schema = f"`{GROUP}` string, `{VARIABLE}` string, n bigint, low double, high double, deviation double"
-    return fact_table(values.sparkSession, rows, schema)
+    moments = class_moments(values)
+    rows = [tuple(r) for r in moments.collect()]
+    kinds = ("string", "string", "bigint", "double", "double", "double")
+    return fact_table(values.sparkSession, rows, dict(zip(moments.columns, kinds)))
 
 
 def with_moments(values: DataFrame, moments: DataFrame) -> DataFrame:

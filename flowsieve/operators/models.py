@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.functions import names as N
+from flowsieve.functions.tables import local_table
 from flowsieve.functions.values import col
 from flowsieve.operators.features import LABEL_INDEX, RAW_VECTOR, VECTOR, assembler, label_indexer, scaler
 
@@ -95,6 +96,6 @@ def feature_importance(spark: SparkSession, model: PipelineModel, top: int | Non
     inputs = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
     trees = next(s for s in model.stages if isinstance(s, RandomForestClassificationModel))
     weights = [float(w) for w in trees.featureImportances.toArray()]
-    table = spark.createDataFrame(list(zip(inputs, weights)), "feature string, importance double")
+    table = local_table(spark, list(zip(inputs, weights)), {"feature": "string", "importance": "double"})
     ranked = table.orderBy(F.desc("importance"), "feature")
     return ranked if top is None else ranked.limit(top)

@@ -1,21 +1,68 @@
-"""Whole-table profiles. Per-column results come from one wide aggregate, turned to long form after it."""
+"""Whole-table profiles. Per-column results come from one scan, in long form."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
 from flowsieve.functions import names as N
+from flowsieve.functions.tables import local_table
 from flowsieve.functions.values import col, field_types, missing, not_nan
 
 
+CARRY = "__carried"
+
+# Up to this many aggregates one wide expression list is compiled well; more go in long form.
+WIDE_AGGREGATES = 24
+
+
+@dataclass(frozen=True)
+class Metric:
+    """An aggregate over a column's values, and what an empty table gives."""
+
+    of: Callable[[Column], Column]
+    empty: Any = None
+
+
+def column_profile(
+    df: DataFrame,
+    values: dict[str, Column],
+    metrics: dict[str, Metric],
+    carry: Column | None = None,
+    wide_aggregates: int = WIDE_AGGREGATES,
+) -> DataFrame:
+    """(position, column, metrics...): the same aggregates for each of the named values, in one scan.
+
+    The values must share one type. Few columns become one wide aggregate. Many columns are exploded
+    and aggregated by position, which stays in small compiled code; every task sends at most one row
+    per column. `carry` mixes a per-row number into each value, as fingerprints need.
+    """
+    mixed = (lambda v: v) if carry is None else (lambda v: F.xxhash64(v, F.col(CARRY)))
+    source = df if carry is None else df.withColumn(CARRY, carry)
+    if len(values) * len(metrics) <= wide_aggregates:
+        per_column = [
+            F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), *[m.of(mixed(v)).alias(k) for k, m in metrics.items()])
+            for i, (c, v) in enumerate(values.items())
+        ]
+        return source.agg(F.array(*per_column).alias("profile")).select(F.inline("profile"))
+    carried = [] if carry is None else [F.col(CARRY)]
+    exploded = source.select(*carried, F.posexplode(F.array(*values.values())).alias("position", "value"))
+    found = exploded.groupBy("position").agg(*[m.of(mixed(F.col("value"))).alias(k) for k, m in metrics.items()])
+    columns = local_table(df.sparkSession, list(enumerate(values)), {"position": "int", "column": "string"})
+    result = columns.join(F.broadcast(found), "position", "left")
+    filled = [F.col(k) if m.empty is None else F.coalesce(F.col(k), F.lit(m.empty)).alias(k) for k, m in metrics.items()]
+    return result.select("position", "column", *filled)
+
+
 def columnwise(df: DataFrame, columns: Sequence[str], metrics: dict[str, list[Column]]) -> DataFrame:
     """One aggregate over the table, then one output row per column.
 
-    `metrics` maps an output name to one aggregate per column. The exploded array has as many
-    entries as the table has columns, whatever the number of rows.
+    For a few columns of differing types: `metrics` maps an output name to one aggregate per column.
     """
     per_column = [
         F.struct(
@@ -68,38 +115,41 @@ def index_histogram(df: DataFrame, label: str = N.LABEL) -> DataFrame:
 def missing_counts(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """Null or NaN values per column; text columns are tested for null only."""
     types = field_types(df)
-    columns = [c for c in df.columns if c not in set(exclude)]
-    return columnwise(df, columns, {"missing": [F.count_if(missing(c, types[c])) for c in columns]})
+    tests = {c: missing(c, types[c]) for c in df.columns if c not in set(exclude)}
+    return column_profile(df, tests, {"missing": Metric(F.count_if, 0)})
+
+
+# Types whose values a double holds exactly.
+DOUBLE_TYPES = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType)
 
 
 def constant_columns(df: DataFrame, exclude: Sequence[str] = (N.LABEL,)) -> DataFrame:
     """Columns with at most one value on all rows, null and NaN left out."""
     types = field_types(df)
     columns = [c for c in df.columns if c not in set(exclude)]
-    values = [not_nan(c, types[c]) for c in columns]
-    report = columnwise(
-        df,
-        columns,
-        {
-            "present": [F.count(v) for v in values],
-            "is_constant": [F.min(v).eqNullSafe(F.max(v)) for v in values],
-        },
-    )
-    return report
+    numbers = {c: not_nan(c, types[c]).cast("double") for c in columns if isinstance(types[c], DOUBLE_TYPES)}
+    others = [c for c in columns if c not in numbers]
+    metrics = {"present": Metric(F.count, 0), "low": Metric(F.min), "high": Metric(F.max)}
+    same = F.col("low").eqNullSafe(F.col("high")).alias("is_constant")
+    reports = []
+    if numbers:
+        reports.append(column_profile(df, numbers, metrics).select("column", "present", same))
+    if others:
+        present = [F.count(col(c)) for c in others]
+        constant = [F.min(col(c)).eqNullSafe(F.max(col(c))) for c in others]
+        reports.append(columnwise(df, others, {"present": present, "is_constant": constant}).drop("position"))
+    return reduce(DataFrame.unionByName, reports)
 
 
 def type_check(df: DataFrame, label: str = N.LABEL) -> DataFrame:
     """Type of each column, its present values, and whether it is text that should be numeric."""
     types = field_types(df)
-    return columnwise(
-        df,
-        df.columns,
-        {
-            "type": [F.lit(types[c].simpleString()) for c in df.columns],
-            "should_be_numeric": [F.lit(isinstance(types[c], T.StringType) and c != label) for c in df.columns],
-            "present": [F.count(col(c)) for c in df.columns],
-        },
-    )
+    present = {c: col(c).isNotNull() for c in df.columns}
+    counted = column_profile(df, present, {"present": Metric(F.count_if, 0)})
+    rows = [(i, types[c].simpleString(), int(isinstance(types[c], T.StringType) and c != label)) for i, c in enumerate(df.columns)]
+    schema = local_table(df.sparkSession, rows, {"position": "int", "type": "string", "text": "int"})
+    typed = counted.join(F.broadcast(schema), "position")
+    return typed.select("position", "column", "type", (F.col("text") == 1).alias("should_be_numeric"), "present")
 
 
 def describe_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -10,6 +10,17 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A dataset read into at least as many partitions as there are cores.
+
+    Only a dataset of fewer splits than cores is redistributed, for work that is heavy per row or
+    goes over the rows many times; a large dataset keeps its splits and is not shuffled.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def append_parquet(df: DataFrame, path: str) -> None:
     """Add the rows to a dataset. Running it twice adds them twice; see `write_version`."""
     df.write.mode("append").parquet(path)
