@@ -23,9 +23,10 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem")
 
 
-@query("sample_keyed", f"SELECT * FROM events WHERE {draw_sql(['event_id'])} < 0.1 * {DRAW_RANGE}")
+@query("sample_keyed", f"SELECT event_id, user_id, event_type, value FROM events WHERE {draw_sql(['event_id'])} < 0.1 * {DRAW_RANGE}")
 def sample_keyed(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.sample_keyed(table(spark, sf, "events"), 0.1, ["event_id"])
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    return sampling.sample_keyed(events, 0.1, ["event_id"])
 
 
 @query("sample_native")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,22 +24,17 @@ GAPS = {
 
 
 def pairs_sql(columns: list[str], source: str) -> str:
-    """Pairwise correlation of all pairs as one aggregate, unfolded to rows."""
-    rows = []
-    for i, j in combinations(range(len(columns)), 2):
-        a, b = (f"CASE WHEN NOT isnan({sql_name(c)}) THEN {sql_name(c)} END" for c in (columns[i], columns[j]))
-        clean_a, clean_b = (f"CASE WHEN isfinite({sql_name(c)}) THEN {sql_name(c)} END" for c in (columns[i], columns[j]))
-        spoiled = f"count(*) FILTER (WHERE isinf(({a}) + ({b})) OR isnan(({a}) + ({b})))"
-        spread = f"min({clean_a}) FILTER (WHERE ({clean_b}) IS NOT NULL) < max({clean_a}) FILTER (WHERE ({clean_b}) IS NOT NULL)"
-        spread += f" AND min({clean_b}) FILTER (WHERE ({clean_a}) IS NOT NULL) < max({clean_b}) FILTER (WHERE ({clean_a}) IS NOT NULL)"
-        rows.append(
-            f"{{'position_a': {i}, 'position_b': {j}, 'column_a': {sql_text(columns[i])}, 'column_b': {sql_text(columns[j])}, "
-            f"'r': CASE WHEN {spoiled} = 0 AND {spread} THEN corr({clean_a}, {clean_b}) END}}"
-        )
-    listed = ", ".join(rows)
+    """Pairwise correlation of all pairs, from one row per record and column joined to itself."""
+    values = ", ".join(f"CAST({sql_name(c)} AS DOUBLE)" for c in columns)
+    names = ", ".join(sql_text(c) for c in columns)
     return (
-        "SELECT pair.position_a AS position_a, pair.position_b AS position_b, pair.column_a AS column_a, "
-        f"pair.column_b AS column_b, pair.r AS r FROM (SELECT unnest([{listed}]) AS pair FROM {source})"
+        f"WITH cells AS (SELECT * FROM (SELECT row_number() OVER () AS id, unnest(range({len(columns)})) AS at, unnest([{values}]) AS v "
+        f"FROM {source}) WHERE v IS NOT NULL AND NOT isnan(v)) "
+        "SELECT CAST(a.at AS INTEGER) AS position_a, CAST(b.at AS INTEGER) AS position_b, "
+        f"[{names}][a.at + 1] AS column_a, [{names}][b.at + 1] AS column_b, "
+        "CASE WHEN bool_and(isfinite(a.v) AND isfinite(b.v)) AND min(a.v) < max(a.v) AND min(b.v) < max(b.v) "
+        "THEN corr(a.v, b.v) FILTER (WHERE isfinite(a.v) AND isfinite(b.v)) END AS r "
+        "FROM cells a JOIN cells b ON a.id = b.id AND a.at < b.at GROUP BY a.at, b.at"
     )
 
 
@@ -90,17 +83,17 @@ def high_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 WALK = (
-    f"high AS (SELECT position_a AS i, position_b AS j, column_b FROM ({pairs_sql(N.FEATURES, 'flows')}) WHERE abs(r) > 0.95), "
-    "walk AS (SELECT 0 AS at, CAST([] AS INTEGER[]) AS dropped UNION ALL "
-    "SELECT w.at + 1, CASE WHEN EXISTS (SELECT 1 FROM high WHERE high.j = w.at + 1 AND NOT list_contains(w.dropped, high.i)) "
-    f"THEN list_append(w.dropped, w.at + 1) ELSE w.dropped END FROM walk w WHERE w.at < {len(N.FEATURES) - 1}) "
+    f"high AS MATERIALIZED (SELECT position_a AS i, position_b AS j, column_b FROM ({pairs_sql(N.FEATURES, 'flows')}) WHERE abs(r) > 0.95), "
+    "walk AS (SELECT 0 AS step, CAST([] AS INTEGER[]) AS dropped UNION ALL "
+    "SELECT w.step + 1, CASE WHEN EXISTS (SELECT 1 FROM high WHERE high.j = w.step + 1 AND NOT list_contains(w.dropped, high.i)) "
+    f"THEN list_append(w.dropped, w.step + 1) ELSE w.dropped END FROM walk w WHERE w.step < {len(N.FEATURES) - 1}) "
 )
 
 
 @query(
     "redundant_columns",
     WITH_FLOWS.replace("WITH flows", "WITH RECURSIVE flows").rstrip() + ", " + WALK + "SELECT DISTINCT j AS position, column_b AS \"column\" FROM high "
-    f"WHERE j IN (SELECT unnest(dropped) FROM walk WHERE at = {len(N.FEATURES) - 1})",
+    f"WHERE j IN (SELECT unnest(dropped) FROM walk WHERE step = {len(N.FEATURES) - 1})",
 )
 def redundant_columns(spark: SparkSession, sf: str) -> DataFrame:
     dropped = correlation.redundant_columns(correlation.correlation(flows(spark, sf), N.FEATURES))
