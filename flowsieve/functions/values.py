@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
@@ -42,10 +40,6 @@ def finite(name: str) -> Column:
     return F.abs(col(name).cast("double")) < INFINITY
 
 
-def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(and_, conditions, F.lit(True))
-
-
 def differs(a: str, b: str) -> Column:
     """Null-safe inequality: two nulls, or two NaN, are equal."""
     return ~col(a).eqNullSafe(col(b))

@@ -75,14 +75,26 @@ def within(values: DataFrame, brackets: Sequence[Bracket]) -> DataFrame:
     return joined.select("b.class", "b.variable", "share", inside.alias(VALUE))
 
 
-def narrow(values: DataFrame, brackets: Sequence[Bracket]) -> list[Bracket]:
-    """Cut large brackets by a bounded sketch of the values inside them, one scan for all."""
+def sketch() -> list[Column]:
+    """Counts and a bounded sketch (values at a fixed grid of shares) of the values of a group."""
     grid = F.array(*[F.lit(k / GRID_STEPS) for k in range(GRID_STEPS + 1)])
-    sketches = within(values, brackets).groupBy(GROUP, VARIABLE, "share").agg(
+    return [
         F.count_if(F.col(VALUE).isNull()).alias("below"),
         F.count(VALUE).alias("rows"),
         F.percentile_approx(VALUE, grid, SKETCH_ACCURACY).alias("grid"),
-    )
+    ]
+
+
+def first_brackets(values: DataFrame, shares: Sequence[float]) -> list[Bracket]:
+    """One scan for the size and the sketch of every class and variable."""
+    groups = values.groupBy(GROUP, VARIABLE).agg(*sketch()).collect()
+    whole = [(Bracket(r[GROUP], r[VARIABLE], q, r["rows"], r["rows"]), r) for r in groups for q in shares]
+    return [b.narrowed(r["grid"], 0, r["rows"]) for b, r in whole]
+
+
+def narrow(values: DataFrame, brackets: Sequence[Bracket]) -> list[Bracket]:
+    """Cut brackets by a sketch of the values inside them, one scan for all."""
+    sketches = within(values, brackets).groupBy(GROUP, VARIABLE, "share").agg(*sketch())
     found = {(r[GROUP], r[VARIABLE], r["share"]): r for r in sketches.collect()}
     return [b.narrowed(found[b.key]["grid"], found[b.key]["below"], found[b.key]["rows"]) for b in brackets]
 
@@ -133,11 +145,11 @@ def exact_quantiles(
 ) -> dict[tuple, float]:
     """Exact interpolated quantiles per class and variable, as {(class, variable, share): value}.
 
-    For few classes (their names reach the driver, as in label indexing). Memory per task stays
-    bounded: large groups are first narrowed to the values around the wanted ranks.
+    For few classes (their names reach the driver, as in label indexing). A bounded sketch brackets
+    each wanted rank; only the values inside a bracket are counted and put in order. A bracket that
+    still holds many rows is narrowed again, so memory per task stays bounded.
     """
-    sizes = values.groupBy(GROUP, VARIABLE).agg(F.count(F.lit(1)).alias("n")).collect()
-    brackets = [Bracket(r[GROUP], r[VARIABLE], q, r["n"], r["n"]) for r in sizes for q in shares]
+    brackets = first_brackets(values, shares)
     for _ in range(MAX_NARROWINGS):
         large = [b for b in brackets if b.rows > bracket_rows and b.low < b.high]
         if not large:

@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from flowsieve.functions import names as N
+from flowsieve.functions.values import col
 from flowsieve.operators import clean, features, metrics, models, sampling
 
 
@@ -32,22 +33,26 @@ def evaluated(model: PipelineModel, test: DataFrame, label: str) -> Trained:
 
 
 def train_forest_large(
-    df: DataFrame, label: str = N.LABEL, exclude: Sequence[str] = (), keys: Sequence[str] | None = None, **settings: int
+    df: DataFrame, label: str = N.LABEL, exclude: Sequence[str] = (), keys: Sequence[str] | None = None, cache: bool = True, **settings: int
 ) -> Trained:
     """Zero for every null, NaN and infinity; all features; scaled; large forest."""
     filled = clean.fill_nonfinite(clean.label_to_string(df, label), label)
     chosen = clean.feature_names(filled, [label, *exclude])
-    return fit_and_evaluate(filled, label, keys, lambda train: models.forest_large(chosen, label, **settings).fit(train))
+    train, test = parts(filled, keys, N.FOREST_SPLIT, N.FOREST_SEED)
+    model = fit(train, [label, *chosen], lambda kept: models.forest_large(chosen, label, **settings).fit(kept), cache)
+    return evaluated(model, test, label)
 
 
 def train_forest_light(
-    df: DataFrame, label: str = N.LABEL, exclude: Sequence[str] = (), keys: Sequence[str] | None = None, **settings: int
+    df: DataFrame, label: str = N.LABEL, exclude: Sequence[str] = (), keys: Sequence[str] | None = None, cache: bool = True, **settings: int
 ) -> Trained:
     """Rows with null, NaN or infinity removed; redundant features left out; light forest."""
     useless = [label, *N.NOT_FEATURES, *exclude]
     finite = clean.drop_nonfinite_rows(df, useless)
     chosen = clean.feature_names(finite, [*useless, *N.REDUNDANT])
-    return fit_and_evaluate(finite, label, keys, lambda train: models.forest_light(chosen, label, **settings).fit(train))
+    train, test = parts(finite, keys, N.FOREST_SPLIT, N.FOREST_SEED)
+    model = fit(train, [label, *chosen], lambda kept: models.forest_light(chosen, label, **settings).fit(kept), cache)
+    return evaluated(model, test, label)
 
 
 def train_perceptron(
@@ -56,29 +61,24 @@ def train_perceptron(
     named: Sequence[str] | None = None,
     exclude: Sequence[str] = (),
     keys: Sequence[str] | None = None,
+    cache: bool = True,
     **settings,
 ) -> Trained:
     """Rows with null, NaN or infinity removed; standardised; perceptron. Features by name or by rule."""
     chosen = clean.require_features(df, named) if named else clean.feature_names(df, [label, *N.NOT_FEATURES, *exclude])
     unused = [c for c in df.columns if c not in chosen]
-    finite = clean.drop_nonfinite_rows(df, unused)
-    return fit_and_evaluate(
-        finite,
-        label,
-        keys,
-        lambda train: models.fit_perceptron(train, chosen, label, **settings),
-        N.PERCEPTRON_SPLIT,
-        N.PERCEPTRON_SEED,
-    )
-
-
-def fit_and_evaluate(
-    df: DataFrame,
-    label: str,
-    keys: Sequence[str] | None,
-    fit: Callable[[DataFrame], PipelineModel],
-    shares: Sequence[float] = N.FOREST_SPLIT,
-    seed: int = N.FOREST_SEED,
-) -> Trained:
-    train, test = parts(df, keys, shares, seed)
-    return evaluated(fit(train), test, label)
+    train, test = parts(clean.drop_nonfinite_rows(df, unused), keys, N.PERCEPTRON_SPLIT, N.PERCEPTRON_SEED)
+    model = fit(train, [label, *chosen], lambda kept: models.fit_perceptron(kept, chosen, label, **settings), cache)
+    return evaluated(model, test, label)
+
+
+def fit(train: DataFrame, columns: Sequence[str], fitting: Callable[[DataFrame], PipelineModel], cache: bool = True) -> PipelineModel:
+    """Fit on the label and the features alone.
+
+    A fit reads its rows several times (label counts, moments, split points, trees). They are kept in
+    memory, and on disk beyond it, while it runs; without `cache` they are read from the source again.
+    """
+    if not cache:
+        return fitting(train.select(*[col(c) for c in columns]))
+    with metrics.cached_projection(train, columns) as kept:
+        return fitting(kept)

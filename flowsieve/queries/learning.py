@@ -15,7 +15,7 @@ from flowsieve.queries.profiles import LINE_FEATURES
 from flowsieve.queries.registry import query, round_columns, sql_round, table
 from flowsieve.queries.standin import KEY, LINE_KEY, WITH_FLOWS, flows
 from flowsieve.sources.fitted import save_pipeline
-from flowsieve.sources.parquet import read_parquet, write_version
+from flowsieve.sources.parquet import read_spread
 from flowsieve.sources.workspace import scratch_path
 
 INDEX_SQL = (
@@ -99,38 +99,34 @@ def rule_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(metrics.evaluate(rule_scored(spark, sf), "label"), METRICS)
 
 
-@lru_cache(maxsize=4)
-def training_flows(spark: SparkSession, sf: str) -> DataFrame:
-    """The stand-in records as a written table: training reads its input several times."""
-    return read_parquet(spark, write_version(flows(spark, sf), scratch_path(spark, "training"), "flows"))
-
-
 @query("forest_light_metrics")
 def forest_light_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return train.train_forest_light(training_flows(spark, sf), keys=[KEY]).metrics
+    return train.train_forest_light(flows(spark, sf), keys=[KEY]).metrics
 
 
 @query("forest_large_metrics")
 def forest_large_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return train.train_forest_large(training_flows(spark, sf), keys=[KEY]).metrics
+    return train.train_forest_large(flows(spark, sf), keys=[KEY]).metrics
 
 
 @query("perceptron_metrics")
 def perceptron_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """The full settings but for the number of iterations, to keep the check short."""
-    return train.train_perceptron(training_flows(spark, sf), named=N.FEATURES, keys=[KEY], iterations=20).metrics
+    return train.train_perceptron(flows(spark, sf), named=N.FEATURES, keys=[KEY], iterations=20).metrics
 
 
 @lru_cache(maxsize=4)
 def stored_forest(spark: SparkSession, sf: str) -> str:
     """Where a small forest on lineitem's train part is stored; fitted once per session and scale."""
     train_part, _ = line_parts(spark, sf)
-    pipeline = models.forest_large(LINE_FEATURES, "l_returnflag", trees=10, depth=6)
-    return save_pipeline(pipeline.fit(train_part), scratch_path(spark, "forest"))
+    chosen = LINE_FEATURES
+    pipeline = models.forest_large(chosen, "l_returnflag", trees=10, depth=6)
+    return save_pipeline(train.fit(train_part, ["l_returnflag", *chosen], pipeline.fit), scratch_path(spark, "forest"))
 
 
 def line_parts(spark: SparkSession, sf: str) -> list[DataFrame]:
-    return sampling.split_keyed(table(spark, sf, "lineitem").select(*LINE_KEY, "l_returnflag", *LINE_FEATURES[:-1]), LINE_KEY)
+    lines = read_spread(spark, f"{sf}/lineitem.parquet")
+    return sampling.split_keyed(lines.select(*LINE_KEY, "l_returnflag", *[c for c in LINE_FEATURES if c not in LINE_KEY]), LINE_KEY)
 
 
 @query("feature_importance")

@@ -6,12 +6,15 @@ groups of correlated columns, and null, NaN and infinite values placed by the ro
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 from flowsieve.functions import names as N
 from flowsieve.functions.values import quoted
 from flowsieve.queries.registry import sql_name
-from flowsieve.sources.parquet import read_spread
+from flowsieve.sources.parquet import read_parquet, read_spread, write_version
+from flowsieve.sources.workspace import scratch_path
 
 KEY = "flow_key"
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -63,12 +66,22 @@ def expressions() -> dict[str, str]:
     return plain
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_spread(spark, f"{sf_dir}/lineitem.parquet")
     features = [f"{sql} AS {quoted(name)}" for name, sql in expressions().items()]
     return lines.selectExpr(f"{KEY_SQL} AS {KEY}", f"{LABEL_SQL} AS {N.LABEL}", *features)
 
 
+@lru_cache(maxsize=4)
+def flows_path(spark: SparkSession, sf_dir: str) -> str:
+    return write_version(derived_flows(spark, sf_dir), scratch_path(spark, "standin"), "flows")
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as a written Parquet table, as cleaning leaves them; written once per session."""
+    return read_parquet(spark, flows_path(spark, sf_dir))
+
+
 def flows_sql() -> str:
     features = ", ".join(f"{sql} AS {sql_name(name)}" for name, sql in expressions().items())
     return f"SELECT {KEY_SQL} AS {KEY}, {LABEL_SQL} AS {sql_name(N.LABEL)}, {features} FROM lineitem"
