@@ -59,11 +59,15 @@ def sample_capped_keyed(df: DataFrame, fraction: float, cap: int, keys: Sequence
 
 
 def head_sample(df: DataFrame, rows: int, order: Sequence[str] = ()) -> DataFrame:
-    """The first rows as they come, or by a total order if the result must repeat."""
+    """The first rows as they come, or by a total order if the result must repeat.
+
+    For a look at a few rows: the order shows one end of the data, so statistics use the samples above.
+    """
     return (df.orderBy(*[col(c) for c in order]) if order else df).limit(rows)
 
 
 def split(df: DataFrame, shares: Sequence[float] = N.FOREST_SPLIT, seed: int = N.FOREST_SEED) -> list[DataFrame]:
+    """Spark's own split; it sorts the rows of every partition, once per part, to be repeatable."""
     return df.randomSplit(list(shares), seed=seed)
 
 

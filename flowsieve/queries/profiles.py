@@ -256,7 +256,19 @@ def drop_duplicate_columns(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(means, ["mean"], 4)
 
 
-@query("schema_report")
+@query(
+    "schema_report",
+    per_column_sql(
+        "flows",
+        [KEY, N.LABEL, *N.FEATURES],
+        {
+            "type": lambda c: TYPE_SQL.format(sql_name(c)),
+            "should_be_numeric": lambda c: "TRUE" if c == KEY else "FALSE",
+            "present": lambda c: f"count({sql_name(c)})",
+        },
+        WITH_FLOWS,
+    ),
+)
 def schema_report(spark: SparkSession, sf: str) -> DataFrame:
     return profile.type_check(flows(spark, sf))
 

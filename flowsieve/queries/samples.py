@@ -91,11 +91,13 @@ def balance_fractions_clamped(spark: SparkSession, sf: str) -> DataFrame:
     return fractions.withColumn("fraction", rounded("fraction"))
 
 
-@query(
-    "balance_keyed",
-    WITH_FLOWS + f'SELECT {KEY}, "Label" FROM flows WHERE "Label" <> \'Benign\' OR {draw_sql([KEY])} < '
-    f"least(1.0, CAST({TARGET} AS DOUBLE) / (SELECT count(*) FROM flows WHERE \"Label\" = 'Benign')) * {DRAW_RANGE}",
+BALANCED_SQL = (
+    f'SELECT {KEY}, "Label" FROM flows WHERE "Label" <> \'Benign\' OR {draw_sql([KEY])} < '
+    f"least(1.0, CAST({TARGET} AS DOUBLE) / (SELECT count(*) FROM flows WHERE \"Label\" = 'Benign')) * {DRAW_RANGE}"
 )
+
+
+@query("balance_keyed", WITH_FLOWS + BALANCED_SQL)
 def balance_keyed(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.balance_keyed(flows(spark, sf), [KEY], target=TARGET).select(KEY, N.LABEL)
 
