@@ -243,17 +243,19 @@ KEPT = [c for c in N.FEATURES if c not in N.KNOWN_COPIES]
     per_column_sql(
         "flows",
         KEPT,
-        {"mean": lambda c: sql_round(f"avg(CASE WHEN isfinite({sql_name(c)}) THEN {sql_name(c)} END)", 4)},
+        {
+            "low": lambda c: f"min({sql_name(c)}) FILTER (WHERE isfinite({sql_name(c)}))",
+            "high": lambda c: f"max({sql_name(c)}) FILTER (WHERE isfinite({sql_name(c)}))",
+        },
         WITH_FLOWS,
     ),
 )
 def drop_duplicate_columns(spark: SparkSession, sf: str) -> DataFrame:
-    """What is left, column by column, as the mean of the finite values."""
+    """What is left, column by column, as the range of the finite values."""
     kept = duplicates.drop_duplicate_columns(flows(spark, sf))
     features = clean.feature_names(kept)
     finite = {c: F.when(clean.finite(c), col(c)) for c in features}
-    means = profile.column_profile(kept, finite, {"mean": profile.Metric(F.avg)})
-    return round_columns(means, ["mean"], 4)
+    return profile.column_profile(kept, finite, {"low": profile.Metric(F.min), "high": profile.Metric(F.max)})
 
 
 @query(
