@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions import names as N
-from flowsieve.functions.values import INFINITY, col, finite, numeric_columns
+from flowsieve.functions.values import INFINITY, col, finite, numeric_columns, quoted
 
 
 def is_data_row(label: str = N.LABEL) -> Column:
@@ -48,12 +48,12 @@ def drop_nonfinite_rows(df: DataFrame, exclude: Iterable[str] = tuple(N.NOT_FEAT
         return df
     magnitudes = [F.abs(col(c).cast("double")) for c in columns]
     largest = F.greatest(*magnitudes) if len(magnitudes) > 1 else magnitudes[0]
-    return df.na.drop(subset=columns).filter(largest < INFINITY)
+    return df.na.drop(subset=[quoted(c) for c in columns]).filter(largest < INFINITY)
 
 
 def fill_missing(df: DataFrame, label: str = N.LABEL) -> DataFrame:
     """Zero for null and NaN in numeric columns; infinities stay."""
-    return df.fillna(0, subset=numeric_columns(df, [label]))
+    return df.fillna(0, subset=[quoted(c) for c in numeric_columns(df, [label])])
 
 
 def numerics_to_double(df: DataFrame) -> DataFrame:

@@ -64,3 +64,14 @@ def test_feature_counts(spark):
     assert len(clean.drop_if_present(df, N.KNOWN_COPIES).columns) == 63
     with pytest.raises(ValueError, match="Subflow Fwd Pkts"):
         clean.require_features(clean.drop_if_present(df, N.KNOWN_COPIES), N.FEATURES)
+
+
+def test_names_with_dots_slashes_and_backticks(spark):
+    names = ["a.b", "c/s d", "e`f"]
+    schema = ", ".join(f"`{n.replace('`', '``')}` double" for n in names) + ", Label string"
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, "x"), (NAN, 1.0, 1.0, "y"), (1.0, INF, 1.0, "z"), (1.0, 1.0, None, "w")], schema)
+    assert [r["Label"] for r in clean.drop_nonfinite_rows(df).collect()] == ["x"]
+    assert [tuple(r)[:3] for r in clean.fill_missing(df).collect()][1:] == [(0.0, 1.0, 1.0), (1.0, INF, 1.0), (1.0, 1.0, 0.0)]
+    assert [tuple(r)[:3] for r in clean.fill_nonfinite(df).collect()][2] == (1.0, 0.0, 1.0)
+    assert clean.feature_names(clean.cast_features(df)) == names
+    assert clean.keep_present(df, "a.b").count() == 3

@@ -68,3 +68,10 @@ def test_describe_handles_text(spark):
     got = {r["column"]: r for r in profile.describe_columns(df).collect()}
     assert (got["t"]["mean"], got["t"]["min_text"], got["t"]["max_text"]) == (None, "x", "y")
     assert (got["v"]["mean"], got["v"]["min"], got["v"]["max"]) == (2.0, 1.0, 3.0)
+
+
+def test_profiles_of_odd_names(spark):
+    df = spark.createDataFrame([(1.0, 1.0, "x"), (NAN, NAN, None)], "`a.b` double, `c/s d` double, Label string")
+    assert by_column(profile.missing_counts(df), "missing") == {"a.b": 1, "c/s d": 1, "Label": 1}
+    assert duplicates.candidate_pairs(df) == [("c/s d", "a.b")]
+    assert duplicates.drop_duplicate_columns(df).columns == ["a.b", "Label"]
