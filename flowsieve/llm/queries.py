@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm.exact_dedup import exact_dedup
+from flowsieve.llm.sharding import shuffle_shards
 from flowsieve.queries.registry import query, table
 
 ASCII_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -18,3 +19,9 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)""")
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = exact_dedup(table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op6_uniform_shards")
+def op6_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shuffle_shards(table(spark, sf_dir, "documents"), shards=24)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
