@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.llm.exact_dedup import exact_dedup
 from flowsieve.llm.sharding import shuffle_shards
+from flowsieve.llm.toxicity import toxicity
 from flowsieve.queries.registry import query, table
 
 ASCII_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -25,3 +26,8 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shuffle_shards(table(spark, sf_dir, "documents"), shards=24)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
