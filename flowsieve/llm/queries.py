@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm.exact_dedup import exact_dedup
+from flowsieve.llm.pii import find_private
+from flowsieve.llm.secrets import find_secrets
 from flowsieve.llm.sharding import shuffle_shards
 from flowsieve.llm.toxicity import toxicity
 from flowsieve.queries.registry import query, table
@@ -31,3 +33,23 @@ def op6_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def span_text(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def of_kind(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+@query("op1_private_data")
+def op1_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[of_kind("base", k) for k in ("email", "ip", "card", "phone")], "base_sha256", span_text("spans").alias("spans"))
+
+
+@query("op4_secrets")
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[of_kind("base", k) for k in ("assign", "access", "hex")], "base_sha256", span_text("spans").alias("spans"))
