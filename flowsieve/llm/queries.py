@@ -10,6 +10,7 @@ from flowsieve.llm.pii import find_private
 from flowsieve.llm.secrets import find_secrets
 from flowsieve.llm.sharding import shuffle_shards
 from flowsieve.llm.toxicity import toxicity
+from flowsieve.llm.url_filter import filter_urls
 from flowsieve.queries.registry import query, table
 
 ASCII_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,3 +54,45 @@ def op1_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[of_kind("base", k) for k in ("assign", "access", "hex")], "base_sha256", span_text("spans").alias("spans"))
+
+
+# The test tables hold no fetch dates and no lists: both are derived from the pages, by the same SQL in either engine.
+DRAW = {"spark": "cast(conv(substring(md5({0}), 1, 8), 16, 10) as bigint)", "duckdb": "cast('0x' || substring(md5({0}), 1, 8) as bigint)"}
+
+
+def captures_sql(engine: str) -> str:
+    day = DRAW[engine].format("concat('fetch', cast(page_id as varchar(20)))")
+    return f"SELECT page_id, url, cast({day} % 720 as int) AS fetch_day FROM pages"
+
+
+def list_log_sql(engine: str) -> str:
+    """Three dated changes for two fifths of the hosts, and for the hosts above them."""
+
+    def draw(name: str) -> str:
+        return DRAW[engine].format(f"concat('{name}', pattern)")
+
+    host = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)', 1))"
+    first, second = f"({draw('first')} % 400)", f"(1 + {draw('second')} % 200)"
+    verdict = f"CASE WHEN {draw('verdict')} % 4 = 0 THEN 'allow' ELSE 'block' END"
+    change = "SELECT pattern, cast({0} as int) AS day, '{1}' AS action, {2} AS verdict FROM listed"
+    return f"""
+WITH hosts AS (SELECT DISTINCT {host} AS pattern FROM pages WHERE url IS NOT NULL),
+wider AS (SELECT pattern FROM hosts UNION SELECT regexp_replace(pattern, '^[^.]+[.]', '') FROM hosts),
+listed AS (SELECT pattern FROM wider WHERE pattern LIKE '%.%.%' AND {draw('listed')} % 5 < 2)
+{change.format(first, 'add', verdict)} UNION ALL {change.format(f'{first} + {second}', 'remove', verdict)}
+UNION ALL {change.format(f'{first} + 2 * {second}', 'add', "'block'")}"""
+
+
+@query("op9_url_filter", f"""
+WITH log AS ({list_log_sql('duckdb')}), captures AS ({captures_sql('duckdb')}),
+placed AS (SELECT *, lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)', 1), '')) AS host FROM captures),
+valid AS (SELECT *, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS until FROM log),
+met AS (SELECT DISTINCT host, fetch_day, pattern, verdict, day AS since FROM placed JOIN valid
+  ON (host = pattern OR ends_with(host, '.' || pattern)) AND action = 'add' AND day <= fetch_day AND (until IS NULL OR fetch_day < until)
+  QUALIFY row_number() OVER (PARTITION BY host, fetch_day ORDER BY length(pattern) DESC) = 1)
+SELECT page_id, url, r.host, r.fetch_day, coalesce(verdict = 'block', false) AS blocked, pattern, verdict, since
+FROM placed r LEFT JOIN met m ON r.host = m.host AND r.fetch_day = m.fetch_day""")
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures, log = (spark.sql(sql("spark").replace("FROM pages", "FROM {pages}"), pages=pages) for sql in (captures_sql, list_log_sql))
+    return filter_urls(captures, log)
