@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm.exact_dedup import exact_dedup
+from flowsieve.llm.packing import pack
 from flowsieve.llm.pii import find_private
 from flowsieve.llm.secrets import find_secrets
 from flowsieve.llm.sharding import shuffle_shards
@@ -96,3 +98,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures, log = (spark.sql(sql("spark").replace("FROM pages", "FROM {pages}"), pages=pages) for sql in (captures_sql, list_log_sql))
     return filter_urls(captures, log)
+
+
+def byte_50k_files() -> tuple[str, str, dict[str, int]]:
+    """The ranks of byte_bpe_50k.json, the pattern before its merges, and its added token."""
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), byte_50k_files())
