@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.values import col
-from flowsieve.llm.tables import filled, id_text, id_type, stored
+from flowsieve.llm.tables import filled, id_text, id_type, raw_values, stored
 
 LABELLED_ROWS = 40_000
 LEXICON = 5000
@@ -48,7 +48,9 @@ SECOND_PERSON = frozenset(
     "you your yours yourself yourselves u ur du dich dir dein deine deinen deiner euch euer ihr tu te toi ton tes vous votre vos tú ti contigo tuyo usted ustedes vosotros".split()
 )
 WORD = re.compile(r"\w+")
-DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$!*#.]+[^\W\d_]+)+")
+INSIDE = re.compile(r"[0-9@$!*#.]++(?=[^\W\d_])")
+DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!*#.]++[^\W\d_]++)++")
+LOUD = re.compile(r"[A-Z]{2,}+(?!\w)")
 STRETCHED = re.compile(r"(.)\1{2,}")
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "#": "", ".": ""})
 FEATURES = [
@@ -63,60 +65,74 @@ def terms_of(word: str) -> list[str]:
 
 
 class Weights(dict):
-    """The largest lexicon weight of a word's terms, remembered per word while there is room."""
+    """A number per word, remembered while there is room: the largest lexicon weight of its terms, `SECOND` for
+    second-person words without one, and `STRETCH` more if a letter is repeated (`DISGUISE` more if only that hides a term)."""
 
-    def __init__(self, lexicon: dict[str, float], room: int = 500_000) -> None:
+    SECOND, STRETCH, DISGUISE = -1.0, 1000.0, 3000.0
+
+    def __init__(self, lexicon: dict[str, float], room: int = 150_000) -> None:
         super().__init__()
-        self.lexicon, self.room = lexicon, room
+        self.words, self.room = lexicon, room
+        self.beginnings = [(n, {t[:-1]: w for t, w in lexicon.items() if t[-1] == "*" and len(t) == n + 1}) for n in BEGINNINGS]
+
+    def of(self, word: str) -> float:
+        weight = self.words.get(word, 0.0)
+        for n, known in self.beginnings:
+            if (w := known.get(word[:n])) and w > weight and len(word) > n:
+                weight = w
+        return weight
 
     def __missing__(self, word: str) -> float:
-        weight = max(self.lexicon.get(t, 0.0) for t in terms_of(word))
+        weight = self.of(word)
+        value = weight or (self.SECOND if word in SECOND_PERSON else 0.0)
+        if STRETCHED.search(word):
+            value += self.DISGUISE if not weight and self.of(STRETCHED.sub(r"\1", word)) else self.STRETCH
         if len(self) >= self.room:
             self.clear()
-        self[word] = weight
-        return weight
+        self[word] = value
+        return value
 
 
 def byte_rates(texts: pa.Array) -> np.ndarray:
     """Per text: bytes, ASCII capitals, ASCII letters, '!' and '?', ASCII punctuation."""
-    _, offsets, data = texts.buffers()
-    starts = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(data, dtype=np.uint8)[starts[0] : starts[-1]] if data is not None else np.zeros(0, np.uint8)
     codes = np.arange(256)
     capital, small = (codes >= 65) & (codes <= 90), (codes >= 97) & (codes <= 122)
     mark = (codes > 32) & (codes < 127) & ~capital & ~small & ~((codes >= 48) & (codes <= 57))
-    counts = [np.diff(starts)]
-    for kind in (capital, capital | small, (codes == 33) | (codes == 63), mark):
-        counts.append(np.diff(np.concatenate([[0], np.cumsum(kind[raw], dtype=np.int64)])[starts - starts[0]]))
-    return np.stack(counts, axis=1).astype(float)
+    kinds = [k.astype(np.uint8) for k in (capital, capital | small, (codes == 33) | (codes == 63), mark)]
+    rows = []
+    for value in raw_values(texts):
+        counts = np.bincount(np.frombuffer(value, dtype=np.uint8), minlength=256)
+        rows.append([len(value), *(int(counts @ k) for k in kinds)])
+    return np.array(rows, dtype=float).reshape(-1, 5)
+
+
+def disguises(text: str, weights: Weights) -> tuple[int, int]:
+    """Words with signs or digits between their letters, and how many of them are lexicon words underneath."""
+    if not any(m.start() and text[m.start() - 1].isalpha() for m in INSIDE.finditer(text)):
+        return 0, 0
+    found = [STRETCHED.sub(r"\1", m.group().lower().translate(LEET)) for m in DISGUISED.finditer(text)]
+    return len(found), sum(weights.of(w) > 0 for w in found)
 
 
 def word_features(text: str, weights: Weights) -> list[float]:
-    raw = WORD.findall(text)
-    words = [w.lower() for w in raw]
+    words = WORD.findall(text.lower())
     n = max(1, len(words))
-    scores = np.fromiter(map(weights.__getitem__, words), dtype=float, count=len(words))
-    hits = np.flatnonzero(scores)
-    people = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON])
+    values = np.fromiter(map(weights.__getitem__, words), dtype=float, count=len(words))
+    hidden, stretched = values >= Weights.DISGUISE - 1, values >= Weights.STRETCH - 1
+    values = values - np.where(hidden, Weights.DISGUISE, np.where(stretched, Weights.STRETCH, 0.0))
+    scores = np.maximum(values, 0.0)
+    hits, people = np.flatnonzero(scores), np.flatnonzero(values == Weights.SECOND)
     near = closeness = 0.0
     if len(hits) and len(people):
         at = np.searchsorted(people, hits)
         ahead = np.abs(people[np.minimum(at, len(people) - 1)] - hits)
         distance = np.minimum(ahead, np.abs(people[np.maximum(at - 1, 0)] - hits))
         near, closeness = float((distance <= NEAR).mean()), float((1 / (1 + distance)).mean())
-    disguised = disguised_hits = 0
-    for m in DISGUISED.finditer(text):
-        disguised += 1
-        plain = STRETCHED.sub(r"\1", m.group().lower().translate(LEET))
-        disguised_hits += weights[plain] > 0
-    for w in set(words):
-        if STRETCHED.search(w):
-            disguised += 1
-            disguised_hits += weights[w] == 0 and weights[STRETCHED.sub(r"\1", w)] > 0
-    loud = sum(1 for w in raw if len(w) > 1 and w.isupper())
+    disguised, disguised_hits = disguises(text, weights)
     return [
         100 * len(hits) / n, float(scores.sum()) / n, float(scores.max(initial=0)), math.log1p(len(hits)), float(len({words[i] for i in hits})),
-        len(people) / n, near, closeness, loud / n, disguised / n, 100 * disguised_hits / n, math.log1p(len(words)),
+        len(people) / n, near, closeness, len(LOUD.findall(text)) / n, (disguised + int(stretched.sum())) / n,
+        100 * (disguised_hits + int(hidden.sum())) / n, math.log1p(len(words)),
     ]
 
 
