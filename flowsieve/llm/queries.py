@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.llm.bpe import bpe_decode, bpe_encode, ids_sha256
 from flowsieve.llm.exact_dedup import exact_dedup
+from flowsieve.llm.minhash import near_duplicates
 from flowsieve.llm.packing import pack
 from flowsieve.llm.pii import find_private
 from flowsieve.llm.secrets import find_secrets
@@ -117,3 +118,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     decoded = encoded.select("doc_id", "ids", bpe_decode("ids", ranks).alias("decoded"))
     return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_sha256("ids", vocabulary).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_minhash_near_dedup")
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
