@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm.bpe import bpe_decode, bpe_encode, ids_sha256
+from flowsieve.llm.embedding_dedup import near_vectors
 from flowsieve.llm.exact_dedup import exact_dedup
 from flowsieve.llm.minhash import near_duplicates
 from flowsieve.llm.packing import pack
@@ -123,3 +124,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_minhash_near_dedup")
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op8_embedding_near_dedup")
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
