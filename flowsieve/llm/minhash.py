@@ -24,9 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowsieve.functions.values import col
 from flowsieve.llm.components import components
 from flowsieve.llm.shingles import mixed, shingle_sets
 from flowsieve.llm.tables import filled, id_text, id_type, join_large_groups, stored
@@ -200,3 +201,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     joined = join_large_groups(rows.drop("bands"), of_class, "node", "size", total)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One document of each component, all columns as they were: the one with the smallest id.
+
+    Rows that repeat that id and its text stay one row.
+    """
+    kept = near_duplicates(docs, id_column, text_column, percent).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    keyed = docs.withColumn("__text_hash", F.xxhash64(col(text_column).cast("string")))
+    same = (keyed["__text_hash"] == kept["__hash"]) & keyed[id_column].eqNullSafe(kept["__id"])
+    first = F.row_number().over(Window.partitionBy(col(id_column), F.col("__text_hash")).orderBy(F.lit(1)))
+    return keyed.join(kept, same, "left_semi").withColumn("__first", first).filter("__first = 1").select(*[col(c) for c in docs.columns])

@@ -223,13 +223,26 @@ class Toxicity:
         scored = self.trees.transform(ready)
         return scored.withColumn("margin", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
+    def with_score(self, docs: DataFrame, name: str, text_column: str = "text") -> DataFrame:
+        """The documents with their score as one more column, for tables of any columns."""
+        if self.trees is None:
+            return docs.withColumn(name, F.lit(self.share))
+        lexicon, room = self.lexicon, "__toxicity_"
+
+        def run(texts: pa.Array) -> pa.Array:
+            found = filled(texts)
+            return pa.array(features_of(found, [Weights(lexicon)] * len(found)), pa.list_(pa.float64()))
+
+        names = {c: room + c for c in ("features", "rawPrediction", "probability", "prediction", "margin", "calibrated")}
+        given = docs.withColumn(names["features"], array_to_vector(F.arrow_udf(run, "array<double>")(col(text_column).cast("string"))))
+        trees = self.trees.copy().setFeaturesCol(names["features"]).setRawPredictionCol(names["rawPrediction"]).setProbabilityCol(names["probability"]).setPredictionCol(names["prediction"])
+        scored = trees.transform(given).withColumn(names["margin"], vector_to_array(names["probability"])[1])
+        mapped = self.calibration.copy().setFeaturesCol(names["margin"]).setPredictionCol(names["calibrated"]).transform(scored)
+        return mapped.withColumn(name, F.least(F.greatest(names["calibrated"], F.lit(0.0)), F.lit(1.0))).drop(*names.values())
+
     def score(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
         """One row per document: doc_id, score in [0, 1]."""
-        plain = id_text(docs, id_column, text_column)
-        if self.trees is None:
-            return plain.select("doc_id", F.lit(self.share).alias("score"))
-        mapped = self.calibration.transform(self.margins(with_features(plain, [self.lexicon])))
-        return mapped.select("doc_id", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)).alias("score"))
+        return self.with_score(id_text(docs, id_column, text_column), "score").select("doc_id", "score")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
@@ -267,3 +280,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     model = fit_toxicity(docs, labels.filter(~held_out(col(id_column))), id_column, text_column, **settings)
     scores = model.score(docs, id_column, text_column)
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
+    """The documents, all columns as they were, without those scored at or above the threshold."""
+    model = fit_toxicity(docs, labels.filter(~held_out(col(id_column))), id_column, text_column, **settings)
+    return model.with_score(docs, "__score", text_column).filter(F.col("__score") < THRESHOLD).select(*[col(c) for c in docs.columns])
