@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions.values import col
 from flowsieve.llm.tables import filled, id_text, id_type
 
-BLOCK_CHARACTERS = 16_000_000
+BLOCK_CHARACTERS = 6_000_000
 LEAST_BUCKETS = 64
 
 
@@ -77,11 +77,9 @@ def blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[by
     numbers, sequences, owners, size = Numbers(), [], [], 0
 
     def finish() -> tuple[bytes, pa.Array, list[np.ndarray], list[bytes]]:
-        words = [w.encode() for w in numbers]
         name = hashlib.blake2b(repr([o.to_pylist() for o in owners]).encode(), digest_size=16)
-        for w in words:
-            name.update(len(w).to_bytes(4, "little") + w)
-        return name.digest(), pa.concat_arrays(owners), sequences, words
+        name.update("\0".join(numbers).encode())
+        return name.digest(), pa.concat_arrays(owners), sequences, [w.encode() for w in numbers]
 
     for batch in batches:
         texts, first = filled(batch.column("text")), 0
