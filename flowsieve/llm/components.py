@@ -1,7 +1,8 @@
-"""Connected components of a table of links, by hooking every node to its smallest neighbour."""
+"""Connected components: of a table of links by hooking every node to its smallest neighbour, and of a task's own links in arrays."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,16 @@ def components(links: DataFrame) -> DataFrame:
         ends = both.select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).filter("x <> y")
         open_links = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
     return labels
+
+
+def least_connected(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of n places the least place that the links connect it to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[left], label[right])
+        before = label.copy()
+        np.minimum.at(label, label[left], low)
+        np.minimum.at(label, label[right], low)
+        label = label[label]
+        if (label == before).all():
+            return label

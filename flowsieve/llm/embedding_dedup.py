@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.values import col
-from flowsieve.llm.components import components
+from flowsieve.llm.components import components, least_connected
 from flowsieve.llm.tables import id_type, join_large_groups, stored
 
 PROJECTIONS, RUN, TILE = 24, 4096, 512
@@ -136,19 +136,6 @@ def verified_links(a: np.ndarray, b: np.ndarray, same: bool, cosine: float) -> t
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
-def least_connected(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """For each of n places the least place that the links connect it to."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[left], label[right])
-        before = label.copy()
-        np.minimum.at(label, label[left], low)
-        np.minimum.at(label, label[right], low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def count_links(classes: DataFrame, cosine: float) -> DataFrame:
     """node, links (other vectors linked to it in a task), least (a node that it is connected to) from node, size, dim, vector, bin."""
     counts = [(r["dim"], r["bin"], r["n"]) for r in classes.groupBy("dim", "bin").agg(F.count("*").alias("n")).collect()]  # at most one row for each bin

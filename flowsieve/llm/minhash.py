@@ -5,12 +5,12 @@ whole signature: the first mixes the shingles, the second, circularly shifted by
 the least value over the set. 32 bands of 4 coordinates nominate pairs: at similarity 0.75 a pair is missed with
 a probability of 5e-6. A link needs 100 * |intersection| >= `percent` * |union| on the full sets.
 
-Texts with equal sets are one class and stand for each other, so exact copies cost nothing further. All
-other pairs that share a band are checked unless they are in one component already: first every class with
-one partner, the least of the classes it meets; then, in every band that still spans several
-components, all members against one pivot, then against up to 8, 64, ... pivots, until no band spans two components or
-all its members have been pivots. So large groups of near copies need few checks, none in one task, and
-no nominated link between components is left out. A pair whose sizes rule the similarity out is not read.
+Texts with equal sets are one class and stand for each other, so exact copies cost nothing further. First
+every class is checked against one partner, the least of the classes that it meets in its bands; that settles most
+groups of near copies in one check a class. Then all pairs that share a band but are not connected yet are checked:
+in bands of up to `SMALL` classes pair by pair, in larger ones chunk by chunk, where a task compares two chunks
+in arrays and returns at most a row for each class. No nominated pair is left out, no band has to fit one task, and no
+pairs of a large band become rows. A band of m classes that stay apart costs m * m comparisons.
 
 Null text is the empty text; texts without words are linked with nothing. Rows that share an id and a text are in
 one class. A component with null ids only has a null id. An empty table gives no rows. Other columns are not read.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.values import col
-from flowsieve.llm.components import components
+from flowsieve.llm.components import components, least_connected
 from flowsieve.llm.shingles import mixed, shingle_sets
 from flowsieve.llm.tables import filled, id_text, id_type, join_large_groups, stored
 
@@ -36,7 +36,7 @@ BANDS, ROWS = 32, 4
 SHIFTS = np.arange(1, BANDS * ROWS + 1, dtype=np.uint32)[:, None]
 COLUMNS = 512
 PERCENT = 75
-MORE_PIVOTS = 8
+SMALL, CHUNK = 32, 512
 
 
 # --- signatures
@@ -142,38 +142,79 @@ def relabel(table: DataFrame, labels: DataFrame) -> DataFrame:
     return table.join(labels.select(F.col("node").alias("label"), F.col("label").alias("joined")), "label", "left").withColumn("label", F.coalesce("joined", "label")).drop("joined")
 
 
+def similar_in_chunks(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in a, in b) of all similar pairs, from the exact intersection sizes of every set of `a` with all of `b`."""
+    sizes = np.array([len(x) for x in b])
+    shingles = np.concatenate(b)
+    owner = np.repeat(np.arange(len(b)), sizes)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], owner[order]
+    left, right = [], []
+    for i, x in enumerate(a):
+        low, high = np.searchsorted(shingles, x), np.searchsorted(shingles, x, side="right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        both = np.bincount(owner[at], minlength=len(b))
+        near = np.flatnonzero(100 * both >= percent * (len(x) + sizes - both))
+        left.append(np.full(len(near), i)), right.append(near)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def link_large_bands(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is similar among the members (band, node, label, k) of bands of k members.
+
+    A band is dealt to chunks by a hash, and each pair of chunks is one task. A task compares its full sets in
+    arrays and returns a row per node at most: the least node that it is connected to there.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        first, same = rows["first"].to_numpy(zero_copy_only=False).astype(bool), rows["same"][0].as_py()
+        nodes = rows["node"].to_pylist()
+        found: list[tuple[bytes, bytes]] = []
+        if len(set(rows["label"].to_pylist())) > 1:
+            sets = list(shingle_sets(filled(rows["text"])))
+            own, other = np.flatnonzero(first), np.arange(len(nodes)) if same else np.flatnonzero(~first)
+            if len(own) and len(other):
+                left, right = similar_in_chunks([sets[i] for i in own], [sets[i] for i in other], percent)
+                least = least_connected(len(nodes), own[left], other[right])
+                found = [(nodes[i], nodes[k]) for i, k in enumerate(least.tolist()) if i != k]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    parts = F.ceil(F.col("k") / CHUNK).cast("int")
+    placed = members.select("band", "node", "label", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = met.select("band", "node", "label", (F.col("part") <= F.col("other")).alias("first"), (F.col("part") == F.col("other")).alias("same"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return tasks.join(texts, "node").groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
 def link(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """node and label of every node in `members` (band, node, n): components of all similar pairs that share a band."""
     current = stored(members.withColumn("label", F.col("node")), "members")
     known = stored(members.select("node").distinct().withColumn("label", F.col("node")), "near-labels")
 
-    def pivots(parts: int) -> DataFrame:
-        """Up to `parts` members of each band that spans components."""
-        spans = current.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-        part = F.pmod(F.xxhash64("node"), F.lit(parts))
-        chosen = current.groupBy("band", part.alias("part")).agg(F.min(F.struct("node", "n", "label")).alias("p")).join(spans, "band")
-        return stored(chosen.select("band", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.label").alias("pivot_label")), "pivots")
-
-    def pairs_with(chosen: DataFrame) -> DataFrame:
-        met = current.join(chosen, "band").filter((F.col("node") != F.col("pivot")) & (F.col("label") != F.col("pivot_label")))
-        return met.filter(sizes_allow(F.col("n"), F.col("pivot_n"), percent)).select("node", "pivot")
-
-    def joined_by(pairs: DataFrame) -> DataFrame:
-        """The labels that the pairs, once checked, bring together: node (a label) and its new label."""
-        checked = stored(verify(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), texts, percent), "near-links")
+    def join_labels(links: DataFrame) -> DataFrame:
+        """What the links bring together: node (a label) and its new label."""
         of_a, of_b = (known.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
-        return components(checked.join(of_a, "a").join(of_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-
-    first = joined_by(pairs_with(pivots(1)).groupBy("node").agg(F.min("pivot").alias("pivot")))
-    known, current = stored(relabel(known, first), "near-labels"), stored(relabel(current, first), "members")
-    parts = 1
-    while not (chosen := pivots(parts)).isEmpty():
-        joined = joined_by(pairs_with(chosen))
-        spanning = current.join(chosen.select("band").distinct(), "band", "left_semi")
-        rest = spanning.join(chosen.select("band", F.col("pivot").alias("node")), ["band", "node"], "left_anti")
-        known, current = stored(relabel(known, joined), "near-labels"), stored(relabel(rest, joined), "members")
-        parts *= MORE_PIVOTS
-    return known
+        return components(links.join(of_a, "a").join(of_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+
+    # Every node with one partner: the least of the classes that it meets.
+    pivots = stored(current.groupBy("band").agg(F.min(F.struct("node", "n")).alias("p")).select("band", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
+    met = current.join(pivots, "band").filter((F.col("node") != F.col("pivot")) & sizes_allow(F.col("n"), F.col("pivot_n"), percent))
+    lean = met.groupBy("node").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    joined = join_labels(stored(verify(lean, texts, percent), "near-links"))
+    known, current = stored(relabel(known, joined), "near-labels"), stored(relabel(current, joined), "members")
+
+    # All pairs that share a band and are not connected yet.
+    counts = current.groupBy("band").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high"))
+    spanning = stored(counts.filter("low <> high").select("band", "k"), "spanning-bands")
+    open_members = stored(current.join(spanning, "band"), "open-members")
+    small = open_members.filter(F.col("k") <= SMALL)
+    other = small.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+    pairs = small.select("band", F.col("node").alias("a"), "n", "label").join(other, "band").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & sizes_allow(F.col("n"), F.col("n_b"), percent))
+    checked = stored(verify(pairs.select("a", "b").distinct(), texts, percent), "near-links")
+    dense = stored(link_large_bands(open_members.filter(F.col("k") > SMALL), texts, percent), "near-links")
+    return stored(relabel(known, join_labels(checked.union(dense))), "near-labels")
 
 
 # --- the operator
