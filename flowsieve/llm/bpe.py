@@ -20,6 +20,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -142,11 +143,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+@lru_cache(maxsize=2)
+def encoder(ranks_path: str, pattern: str) -> tiktoken.Encoding:
+    """Built once in a worker."""
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
+
+
 def encode_words(lists: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Each distinct word of a bucket encoded once; block, bucket, sizes and ids of its words (packed)."""
 
     def run(table: pa.Table) -> pa.Table:
-        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={}).encode_ordinary
+        encode = encoder(ranks_path, pattern).encode_ordinary
         known: dict[bytes, list[int]] = {}
         sizes, ids, first = [], [], {}
         for i, block in enumerate(table["block"].to_pylist()):
@@ -219,6 +226,7 @@ def joined_values(ids: pa.Array, table: pa.Array) -> Iterator[memoryview]:
         yield memoryview(data)[bounds[0] : bounds[-1]] if data is not None else memoryview(b"")
 
 
+@lru_cache(maxsize=2)
 def token_bytes(ranks_path: str) -> pa.Array:
     """The table of token bytes by id."""
     ranks = read_ranks(ranks_path)
@@ -233,11 +241,15 @@ def bpe_decode(ids: str, ranks_path: str) -> Column:
     return F.arrow_udf(lambda lists: pa.array([bytes(v) for v in joined_values(lists, token_bytes(ranks_path))], pa.binary()), "binary")(col(ids))
 
 
+@lru_cache(maxsize=2)
+def decimals(vocabulary: int) -> pa.Array:
+    return pa.array([b"%d," % i for i in range(vocabulary)], pa.large_binary())
+
+
 def ids_sha256(ids: str, vocabulary: int) -> Column:
     """SHA-256, in hex, of the ids in decimal, joined by commas."""
 
     def run(lists: pa.Array) -> pa.Array:
-        decimal = pa.array([b"%d," % i for i in range(vocabulary)], pa.large_binary())
-        return pa.array([hashlib.sha256(v[:-1] if len(v) else v).hexdigest() for v in joined_values(lists, decimal)], pa.string())
+        return pa.array([hashlib.sha256(v[:-1] if len(v) else v).hexdigest() for v in joined_values(lists, decimals(vocabulary))], pa.string())
 
     return F.arrow_udf(run, "string")(col(ids))
