@@ -15,9 +15,11 @@ DRAW_RANGE = 1 << 32
 def key_draw(keys: Sequence[str], seed: int) -> Column:
     """A whole number in [0, 2^32) from the seed and the row's key columns.
 
-    The key should tell rows apart: rows that share a key share their draw.
+    The key should tell rows apart: rows that share a key share their draw. Every field carries its length
+    and nulls are marked, so that keys that differ do not read alike.
     """
-    text = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys])
+    fields = [F.coalesce(F.concat(F.lit("v"), F.length(v).cast("string"), F.lit(":"), v), F.lit("n")) for v in (col(k).cast("string") for k in keys)]
+    text = F.concat(F.lit(f"{seed}|"), *fields)
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 

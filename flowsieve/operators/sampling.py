@@ -6,7 +6,6 @@ partitioned) and a keyed form (a draw from the row's key, the same on every run
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,32 +29,44 @@ def sample_keyed(df: DataFrame, fraction: float, keys: Sequence[str], seed: int
     return df.filter(below(key_draw(keys, seed), fraction))
 
 
-def sample_capped(df: DataFrame, fraction: float, cap: int, seed: int = SAMPLE_SEED) -> DataFrame:
-    """A sample of at most `cap` rows.
+def lowest_draws(drawn: DataFrame, cap: int, ties: Sequence[Column] = ()) -> DataFrame:
+    """The `cap` rows with the lowest values of the column DRAW (a whole number in [0, 2^32)), or all if there are fewer.
 
-    Rows beyond the cap would be drawn only to be cut, so the fraction is lowered first to what the
-    cap needs, plus a margin of many deviations; every part of the table keeps its chance.
+    A count per range of draws finds the range in which the cap falls, and a count inside that range finds the
+    draw. All rows below that draw are kept by a filter; only rows with exactly that draw are ranked.
     """
-    rows = df.count()
-    needed = (cap + 8 * math.sqrt(cap) + 64) / max(rows, 1)
-    return df.sample(fraction=min(fraction, needed), seed=seed).limit(cap)
+    low, width = 0, DRAW_RANGE
+    left = cap
+    while width > 1:
+        width //= DRAW_BUCKETS
+        inside = drawn.filter(F.col(DRAW).between(low, low + width * DRAW_BUCKETS - 1))
+        bucket = F.floor((F.col(DRAW) - low) / F.lit(width)).cast("int").alias("bucket")
+        counts = inside.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))  # at most DRAW_BUCKETS rows
+        at = counts.withColumn("upto", upto).filter(F.col("upto") > left).orderBy("bucket").first()
+        if at is None:
+            return drawn if low == 0 else drawn.filter(F.col(DRAW) < low + width * DRAW_BUCKETS)
+        left -= at["upto"] - at["n"]
+        low += at["bucket"] * width
+    tied = drawn.filter(F.col(DRAW) == low)
+    return drawn.filter(F.col(DRAW) < low).unionByName((tied.orderBy(*ties) if ties else tied).limit(left))
 
 
-def sample_capped_keyed(df: DataFrame, fraction: float, cap: int, keys: Sequence[str], seed: int = SAMPLE_SEED) -> DataFrame:
-    """The `cap` rows with the lowest draws among the sampled ones: the same rows on every run.
+def sample_capped(df: DataFrame, fraction: float, cap: int, seed: int = SAMPLE_SEED) -> DataFrame:
+    """A sample of at most `cap` rows: those with the lowest of Spark's random numbers among the sampled ones.
 
-    A count per range of draws finds how far the cap reaches, so that only about `cap` rows are
-    sorted, instead of `cap` rows of every task.
+    So every row has the same chance, wherever it stands. The numbers follow the row's place in its partition:
+    the table is read more than once, and should be one that reads alike each time, such as stored files.
     """
+    drawn = df.withColumn(DRAW, F.floor(F.rand(seed) * F.lit(float(DRAW_RANGE))).cast("bigint"))
+    return lowest_draws(drawn.filter(below(F.col(DRAW), fraction)), cap).drop(DRAW)
+
+
+def sample_capped_keyed(df: DataFrame, fraction: float, cap: int, keys: Sequence[str], seed: int = SAMPLE_SEED) -> DataFrame:
+    """The `cap` rows with the lowest draws among the sampled ones, ties by key: the same rows, in this order, on every run."""
     drawn = df.withColumn(DRAW, key_draw(keys, seed)).filter(below(F.col(DRAW), fraction))
-    ranges = F.floor(F.col(DRAW) / F.lit(DRAW_RANGE // DRAW_BUCKETS)).cast("int")
-    counts = drawn.groupBy(ranges.alias("range")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    reached = counts.withColumn("before", before).filter(F.col("before") < cap).agg(F.max("range")).first()[0]
-    if reached is None:
-        return df.limit(0)
-    near = drawn.filter(F.col(DRAW) < (reached + 1) * (DRAW_RANGE // DRAW_BUCKETS))
-    return near.orderBy(DRAW, *[col(k) for k in keys]).limit(cap).drop(DRAW)
+    order = [col(k) for k in keys]
+    return lowest_draws(drawn, cap, order).orderBy(DRAW, *order).drop(DRAW)
 
 
 def head_sample(df: DataFrame, rows: int, order: Sequence[str] = ()) -> DataFrame:

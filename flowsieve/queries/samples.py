@@ -15,8 +15,9 @@ DRAW_RANGE = "4294967296.0"
 
 
 def draw_sql(keys: list[str], seed: int = sampling.SAMPLE_SEED) -> str:
-    listed = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
-    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {listed})), 1, 8) AS BIGINT)"
+    texts = [f"CAST({k} AS VARCHAR)" for k in keys]
+    fields = " || ".join(f"coalesce('v' || length({t}) || ':' || {t}, 'n')" for t in texts)
+    return f"CAST('0x' || substr(md5('{seed}|' || {fields}), 1, 8) AS BIGINT)"
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,9 +30,27 @@ def sample_keyed(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.sample_keyed(events, 0.1, ["event_id"])
 
 
-@query("sample_native")
+def sample_facts(part: DataFrame, whole: DataFrame, low: float, high: float) -> DataFrame:
+    """What holds for any sample: its share of the rows lies in the bounds, no row comes twice, none is a stranger, and every sixteenth of the keys has some."""
+    order = F.floor(F.col("l_orderkey") * 16 / (whole.agg(F.max("l_orderkey")).scalar() + 1))
+    share = F.count(F.lit(1)) / whole.agg(F.count(F.lit(1))).scalar()
+    found = part.agg(
+        share.between(low, high).alias("share_in_bounds"),
+        (F.count(F.lit(1)) - F.countDistinct(*LINE_KEY)).alias("repeated"),
+        F.countDistinct(order).alias("sixteenths"),
+    )
+    strangers = part.join(whole, LINE_KEY, "left_anti").agg(F.count(F.lit(1)).alias("strangers"))
+    return found.crossJoin(strangers)
+
+
+ANY_SAMPLE = "SELECT true AS share_in_bounds, CAST(0 AS BIGINT) AS repeated, CAST(16 AS BIGINT) AS sixteenths, CAST(0 AS BIGINT) AS strangers"
+
+
+@query("sample_native", ANY_SAMPLE)
 def sample_native(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.sample(lines(spark, sf), 0.1).select(*LINE_KEY, LINE_LABEL)
+    """Facts of Spark's own sample; its rows depend on the partitions."""
+    whole = lines(spark, sf).select(*LINE_KEY)
+    return sample_facts(sampling.sample(whole, 0.1), whole, 0.08, 0.12)
 
 
 CAP = 500
@@ -47,9 +66,12 @@ def sample_capped_keyed(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("event_id", "user_id", "event_type", "value")
 
 
-@query("sample_capped_native")
+@query("sample_capped_native", f"SELECT CAST({CAP} AS BIGINT) AS n, f.* FROM ({ANY_SAMPLE}) f")
 def sample_capped_native(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.sample_capped(lines(spark, sf), 0.1, CAP).select(*LINE_KEY, LINE_LABEL)
+    """Facts of the native capped sample: exactly the cap, from everywhere."""
+    whole = lines(spark, sf).select(*LINE_KEY)
+    kept = sampling.sample_capped(whole, 0.1, CAP)
+    return kept.agg(F.count(F.lit(1)).alias("n")).crossJoin(sample_facts(kept, whole, 0.0, 0.1))
 
 
 @query("head_sample", "SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 200")
@@ -63,12 +85,13 @@ def split_keyed(spark: SparkSession, sf: str) -> DataFrame:
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@query("split_native")
+@query("split_native", f"SELECT {', '.join(LINE_KEY)}, CAST(1 AS BIGINT) AS parts, true AS share_in_bounds FROM lineitem GROUP BY ALL")
 def split_native(spark: SparkSession, sf: str) -> DataFrame:
-    """Class counts of both parts of Spark's own split."""
-    train, test = sampling.split(lines(spark, sf).select(*LINE_KEY, LINE_LABEL))
-    parts = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
-    return parts.groupBy("part", LINE_LABEL).agg(F.count(F.lit(1)).alias("n"))
+    """Spark's own split: every row is in exactly one part, and the first part has about its share."""
+    train, test = sampling.split(lines(spark, sf).select(*LINE_KEY))
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    share = train.agg(F.count(F.lit(1))).scalar() / both.agg(F.count(F.lit(1))).scalar()
+    return both.groupBy(*LINE_KEY).agg(F.count_distinct("part").alias("parts")).withColumn("share_in_bounds", share.between(0.67, 0.73))
 
 
 TARGET = 5000
@@ -102,7 +125,17 @@ def balance_keyed(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.balance_keyed(flows(spark, sf), [KEY], target=TARGET).select(KEY, N.LABEL)
 
 
-@query("balance_native")
+BALANCED_COUNTS = (
+    "SELECT \"Label\", CASE WHEN \"Label\" = 'Benign' THEN NULL ELSE count(*) END AS n, true AS in_bounds FROM flows "
+    'WHERE "Label" IS NOT NULL GROUP BY "Label"'
+)
+
+
+@query("balance_native", WITH_FLOWS + BALANCED_COUNTS)
 def balance_native(spark: SparkSession, sf: str) -> DataFrame:
-    """Class counts after Spark's own stratified sample."""
-    return profile.class_counts(sampling.balance(flows(spark, sf), target=TARGET))
+    """Spark's own stratified sample: minorities untouched, the majority within a tenth of its target (or whole below it)."""
+    everything = flows(spark, sf)
+    majority = everything.filter(F.col(N.LABEL) == N.MAJORITY).agg(F.count(F.lit(1))).scalar()
+    counts = profile.class_counts(sampling.balance(everything, target=TARGET), N.LABEL)
+    is_majority, wanted = F.col(N.LABEL) == N.MAJORITY, F.least(majority, F.lit(TARGET))
+    return counts.select(N.LABEL, F.when(~is_majority, F.col("n")).alias("n"), (~is_majority | F.col("n").between(0.9 * wanted, 1.1 * wanted)).alias("in_bounds"))

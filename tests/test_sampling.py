@@ -4,6 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from flowsieve.functions.draws import key_draw
 from flowsieve.operators import sampling
 
 
@@ -37,6 +38,29 @@ def test_capped_sample(rows):
     assert sampling.sample_capped(rows, 1.0, 50).count() == 50
 
 
+@pytest.mark.parametrize("cap", [1, 500, 50_000, 10**7])
+def test_capped_sample_comes_from_the_whole_table(spark, cap):
+    table = spark.range(0, 1_000_000, 1, 16)
+    kept = ids(sampling.sample_capped(table, 0.1, cap))
+    drawn = sampling.sample_capped(table, 0.1, 10**9).count()
+    assert len(kept) == len(set(kept)) == min(cap, drawn) and 98_000 < drawn < 102_000
+    if cap >= 500:
+        shares = [sum(i // 62_500 == k for i in kept) / len(kept) for k in range(16)]
+        assert min(shares) > 0.02 and max(shares) < 0.11
+
+
+def test_ties_at_the_cap_are_ranked_by_key(spark):
+    table = spark.range(100).selectExpr("id % 10 AS k", "id").withColumn(sampling.DRAW, F.lit(7))
+    assert sampling.lowest_draws(table, 3, [F.col("id")]).count() == 3
+    assert sorted(ids(sampling.lowest_draws(table, 3, [F.col("id")]))) == [0, 1, 2]
+
+
+def test_draws_tell_keys_apart(spark):
+    keys = [(None, "x"), ("x", None), ("a|b", "c"), ("a", "b|c"), ("", ""), (None, None), ("n", "n")]
+    table = spark.createDataFrame(keys, "a string, b string").select(key_draw(["a", "b"], 1).alias("d"))
+    assert table.distinct().count() == len(keys)
+
+
 def test_fractions_never_exceed_one(rows):
     got = {r["Label"]: r["fraction"] for r in sampling.balance_fractions(rows, target=10**9).collect()}
     assert got == {"Benign": 1.0, "Bot": 1.0}
