@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,15 +41,15 @@ def keep_present(df: DataFrame, column: str) -> DataFrame:
 def drop_nonfinite_rows(df: DataFrame, exclude: Iterable[str] = tuple(N.NOT_FEATURES)) -> DataFrame:
     """Remove rows with a null, NaN or infinite value in any numeric column not excluded.
 
-    `na.drop` takes null and NaN; the largest magnitude of the row then shows an infinity. Both are
-    single expressions over all columns, which stay compiled for wide tables.
+    The null tests are one conjunction, which reaches the scan. The largest magnitude of the row then
+    shows an infinity or a NaN, which sorts above it, in a single expression over all columns.
     """
     columns = numeric_columns(df, exclude)
     if not columns:
         return df
     magnitudes = [F.abs(col(c).cast("double")) for c in columns]
     largest = F.greatest(*magnitudes) if len(magnitudes) > 1 else magnitudes[0]
-    return df.na.drop(subset=[quoted(c) for c in columns]).filter(largest < INFINITY)
+    return df.filter(reduce(Column.__and__, [col(c).isNotNull() for c in columns])).filter(largest < INFINITY)
 
 
 def fill_missing(df: DataFrame, label: str = N.LABEL) -> DataFrame:
@@ -62,9 +63,9 @@ def numerics_to_double(df: DataFrame) -> DataFrame:
     return df.select([col(c).cast("double").alias(c) if c in numeric else col(c) for c in df.columns])
 
 
-def fill_nonfinite(df: DataFrame, label: str = N.LABEL) -> DataFrame:
-    """Numeric columns as double with zero for null, NaN and infinities."""
-    numeric = set(numeric_columns(df, [label]))
+def fill_nonfinite(df: DataFrame, label: str = N.LABEL, keep: Iterable[str] = ()) -> DataFrame:
+    """Numeric columns as double with zero for null, NaN and infinities; the label and `keep` stay as they are."""
+    numeric = set(numeric_columns(df, [label, *keep]))
 
     def filled(c: str) -> Column:
         return F.when(finite(c), col(c)).otherwise(F.lit(0)).cast("double").alias(c)

@@ -32,7 +32,8 @@ def scaler(center: bool, source: str = RAW_VECTOR, into: str = VECTOR) -> Standa
 
 
 def index_labels(df: DataFrame, label: str = N.LABEL, into: str = LABEL_INDEX) -> DataFrame:
-    return label_indexer(label, into).fit(df).transform(df)
+    """Every row with the index of its label; a null label is an error, as no row may vanish unseen."""
+    return label_indexer(label, into, handle_invalid="error").fit(df).transform(df)
 
 
 def assemble(df: DataFrame, features: Sequence[str], into: str = RAW_VECTOR) -> DataFrame:

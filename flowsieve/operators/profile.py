@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, types as T
@@ -124,32 +123,30 @@ DOUBLE_TYPES = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteTyp
 
 
 def constant_columns(df: DataFrame, exclude: Sequence[str] = (N.LABEL,)) -> DataFrame:
-    """Columns with at most one value on all rows, null and NaN left out."""
+    """Columns with at most one value on all rows, null and NaN left out, in one scan.
+
+    Numbers that a double holds exactly are compared as such, other types by their text.
+    """
     types = field_types(df)
-    columns = [c for c in df.columns if c not in set(exclude)]
-    numbers = {c: not_nan(c, types[c]).cast("double") for c in columns if isinstance(types[c], DOUBLE_TYPES)}
-    others = [c for c in columns if c not in numbers]
-    metrics = {"present": Metric(F.count, 0), "low": Metric(F.min), "high": Metric(F.max)}
-    same = F.col("low").eqNullSafe(F.col("high")).alias("is_constant")
-    reports = []
-    if numbers:
-        reports.append(column_profile(df, numbers, metrics).select("column", "present", same))
-    if others:
-        present = [F.count(col(c)) for c in others]
-        constant = [F.min(col(c)).eqNullSafe(F.max(col(c))) for c in others]
-        reports.append(columnwise(df, others, {"present": present, "is_constant": constant}).drop("position"))
-    return reduce(DataFrame.unionByName, reports)
+    values = {}
+    for c in df.columns:
+        if c not in set(exclude):
+            number = isinstance(types[c], DOUBLE_TYPES)
+            lanes = (not_nan(c, types[c]).cast("double"), F.lit(None).cast("string")) if number else (F.lit(None).cast("double"), col(c).cast("string"))
+            values[c] = F.struct(lanes[0].alias("number"), lanes[1].alias("text"))
+    metrics = {"present": Metric(lambda v: F.count_if(v["number"].isNotNull() | v["text"].isNotNull()), 0)}
+    for lane in ("number", "text"):
+        metrics |= {f"low_{lane}": Metric(lambda v, lane=lane: F.min(v[lane])), f"high_{lane}": Metric(lambda v, lane=lane: F.max(v[lane]))}
+    same = F.col("low_number").eqNullSafe(F.col("high_number")) & F.col("low_text").eqNullSafe(F.col("high_text"))
+    return column_profile(df, values, metrics).select("column", "present", same.alias("is_constant"))
 
 
 def type_check(df: DataFrame, label: str = N.LABEL) -> DataFrame:
-    """Type of each column, its present values, and whether it is text that should be numeric."""
+    """Type of each column and whether it is text that should be numeric, from the schema alone."""
     types = field_types(df)
-    present = {c: col(c).isNotNull() for c in df.columns}
-    counted = column_profile(df, present, {"present": Metric(F.count_if, 0)})
-    rows = [(i, types[c].simpleString(), int(isinstance(types[c], T.StringType) and c != label)) for i, c in enumerate(df.columns)]
-    schema = local_table(df.sparkSession, rows, {"position": "int", "type": "string", "text": "int"})
-    typed = counted.join(F.broadcast(schema), "position")
-    return typed.select("position", "column", "type", (F.col("text") == 1).alias("should_be_numeric"), "present")
+    rows = [(i, c, types[c].simpleString(), int(isinstance(types[c], T.StringType) and c != label)) for i, c in enumerate(df.columns)]
+    schema = local_table(df.sparkSession, rows, {"position": "int", "column": "string", "type": "string", "text": "int"})
+    return schema.select("position", "column", "type", (F.col("text") == 1).alias("should_be_numeric"))
 
 
 def describe_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

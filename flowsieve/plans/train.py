@@ -15,44 +15,52 @@ from flowsieve.operators import clean, features, metrics, models, sampling
 
 @dataclass
 class Trained:
-    """A fitted pipeline with the scored held-out rows, their metrics and the skipped labels."""
+    """A fitted pipeline, the features it uses, the scored held-out rows, their metrics, and the rows
+    per label that scoring (`skipped`) and training (`skipped_training`) left out."""
 
     model: PipelineModel
+    features: list[str]
     scored: DataFrame
     metrics: DataFrame
     skipped: DataFrame
+    skipped_training: DataFrame
 
 
 def parts(df: DataFrame, keys: Sequence[str] | None, shares: Sequence[float], seed: int) -> list[DataFrame]:
+    """The split of the unchanged table, so that `split_keyed` of the same table gives the same held-out rows."""
     return sampling.split_keyed(df, keys, shares, seed) if keys else sampling.split(df, shares, seed)
 
 
-def evaluated(model: PipelineModel, test: DataFrame, label: str) -> Trained:
+def never_features(label: str, exclude: Sequence[str], keys: Sequence[str] | None) -> list[str]:
+    return [label, *N.NOT_FEATURES, *exclude, *(keys or ())]
+
+
+def evaluated(model: PipelineModel, test: DataFrame, label: str, chosen: Sequence[str] = (), training: DataFrame | None = None) -> Trained:
     scored = models.score(model, test)
-    return Trained(model, scored, metrics.evaluate(scored), features.unseen_labels(model, test, label))
+    skipped = [features.unseen_labels(model, part, label) for part in (test, test.limit(0) if training is None else training)]
+    return Trained(model, list(chosen), scored, metrics.evaluate(scored), *skipped)
 
 
 def train_forest_large(
-    df: DataFrame, label: str = N.LABEL, exclude: Sequence[str] = (), keys: Sequence[str] | None = None, cache: bool = True, **settings: int
+    df: DataFrame, label: str = N.LABEL, exclude: Sequence[str] = (), keys: Sequence[str] | None = None, cache: bool = False, **settings: int
 ) -> Trained:
     """Zero for every null, NaN and infinity; all features; scaled; large forest."""
-    filled = clean.fill_nonfinite(clean.label_to_string(df, label), label)
-    chosen = clean.feature_names(filled, [label, *exclude])
-    train, test = parts(filled, keys, N.FOREST_SPLIT, N.FOREST_SEED)
+    unused = never_features(label, exclude, keys)
+    chosen = clean.feature_names(df, unused)
+    train, test = (clean.fill_nonfinite(clean.label_to_string(part, label), label, keep=unused) for part in parts(df, keys, N.FOREST_SPLIT, N.FOREST_SEED))
     model = fit(train, [label, *chosen], lambda kept: models.forest_large(chosen, label, **settings).fit(kept), cache)
-    return evaluated(model, test, label)
+    return evaluated(model, test, label, chosen, train)
 
 
 def train_forest_light(
-    df: DataFrame, label: str = N.LABEL, exclude: Sequence[str] = (), keys: Sequence[str] | None = None, cache: bool = True, **settings: int
+    df: DataFrame, label: str = N.LABEL, exclude: Sequence[str] = (), keys: Sequence[str] | None = None, cache: bool = False, **settings: int
 ) -> Trained:
     """Rows with null, NaN or infinity removed; redundant features left out; light forest."""
-    useless = [label, *N.NOT_FEATURES, *exclude]
-    finite = clean.drop_nonfinite_rows(df, useless)
-    chosen = clean.feature_names(finite, [*useless, *N.REDUNDANT])
-    train, test = parts(finite, keys, N.FOREST_SPLIT, N.FOREST_SEED)
+    unused = never_features(label, exclude, keys)
+    chosen = clean.feature_names(df, [*unused, *N.REDUNDANT])
+    train, test = (clean.drop_nonfinite_rows(part, unused) for part in parts(df, keys, N.FOREST_SPLIT, N.FOREST_SEED))
     model = fit(train, [label, *chosen], lambda kept: models.forest_light(chosen, label, **settings).fit(kept), cache)
-    return evaluated(model, test, label)
+    return evaluated(model, test, label, chosen, train)
 
 
 def train_perceptron(
@@ -61,22 +69,22 @@ def train_perceptron(
     named: Sequence[str] | None = None,
     exclude: Sequence[str] = (),
     keys: Sequence[str] | None = None,
-    cache: bool = True,
+    cache: bool = False,
     **settings,
 ) -> Trained:
     """Rows with null, NaN or infinity removed; standardised; perceptron. Features by name or by rule."""
-    chosen = clean.require_features(df, named) if named else clean.feature_names(df, [label, *N.NOT_FEATURES, *exclude])
+    chosen = clean.require_features(df, named) if named else clean.feature_names(df, never_features(label, exclude, keys))
     unused = [c for c in df.columns if c not in chosen]
-    train, test = parts(clean.drop_nonfinite_rows(df, unused), keys, N.PERCEPTRON_SPLIT, N.PERCEPTRON_SEED)
+    train, test = (clean.drop_nonfinite_rows(part, unused) for part in parts(df, keys, N.PERCEPTRON_SPLIT, N.PERCEPTRON_SEED))
     model = fit(train, [label, *chosen], lambda kept: models.fit_perceptron(kept, chosen, label, **settings), cache)
-    return evaluated(model, test, label)
+    return evaluated(model, test, label, chosen, train)
 
 
-def fit(train: DataFrame, columns: Sequence[str], fitting: Callable[[DataFrame], PipelineModel], cache: bool = True) -> PipelineModel:
+def fit(train: DataFrame, columns: Sequence[str], fitting: Callable[[DataFrame], PipelineModel], cache: bool = False) -> PipelineModel:
     """Fit on the label and the features alone.
 
-    A fit reads its rows several times (label counts, moments, split points, trees). They are kept in
-    memory, and on disk beyond it, while it runs; without `cache` they are read from the source again.
+    A fit reads its rows several times (label counts, moments, split points, trees). With `cache` they are kept in
+    memory, and on disk beyond it, while it runs: for data that fits there. Otherwise the source is read again.
     """
     if not cache:
         return fitting(train.select(*[col(c) for c in columns]))

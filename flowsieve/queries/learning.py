@@ -5,17 +5,21 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.ml import Pipeline
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowsieve.functions import names as N
-from flowsieve.functions.values import col
+from flowsieve.functions.tables import local_table
+from flowsieve.functions.values import col, quoted
 from flowsieve.operators import clean, features, metrics, models, sampling
 from flowsieve.plans import stored, train
 from flowsieve.queries.profiles import LINE_FEATURES
-from flowsieve.queries.registry import query, round_columns, sql_round, table
-from flowsieve.queries.standin import KEY, LINE_KEY, WITH_FLOWS, flows
+from flowsieve.queries.registry import query, round_columns, sql_name, sql_round, sql_text, table
+from flowsieve.queries.samples import DRAW_RANGE, draw_sql
+from flowsieve.queries.standin import KEY, LINE_KEY, WITH_FLOWS, expressions, flows
 from flowsieve.sources.fitted import save_pipeline
-from flowsieve.sources.parquet import read_spread
+from flowsieve.sources.parquet import write_version
 from flowsieve.sources.workspace import scratch_path
 
 INDEX_SQL = (
@@ -99,69 +103,166 @@ def rule_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(metrics.evaluate(rule_scored(spark, sf), "label"), METRICS)
 
 
-@query("forest_light_metrics")
-def forest_light_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return train.train_forest_light(flows(spark, sf), keys=[KEY]).metrics
+# --- forests and perceptron
 
+# The records with a whole-number key, a label index (which must not be a feature), and a label that a feature of seven values decides.
+DECIDED_BY = "Down/Up Ratio"
+NUMBER_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+DECIDED_LABEL = "CASE WHEN l_linenumber <= 2 THEN 'Benign' WHEN l_linenumber <= 4 THEN 'Flood' ELSE 'Probe' END"
 
-@query("forest_large_metrics")
-def forest_large_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return train.train_forest_large(flows(spark, sf), keys=[KEY]).metrics
 
+def decided_columns(engine: str) -> str:
+    name = quoted if engine == "spark" else sql_name
+    values = {**expressions(), DECIDED_BY: "CAST(l_linenumber AS DOUBLE)"}
+    features_listed = ", ".join(f"{sql} AS {name(c)}" for c, sql in values.items())
+    return f"{', '.join(NUMBER_KEY)}, {DECIDED_LABEL} AS {name(N.LABEL)}, CAST(l_linenumber AS DOUBLE) AS {name('Label_Index')}, {features_listed}"
 
-@query("perceptron_metrics")
-def perceptron_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """The full settings but for the number of iterations, to keep the check short."""
-    return train.train_perceptron(flows(spark, sf), named=N.FEATURES, keys=[KEY], iterations=20).metrics
+
+def decided(spark: SparkSession, sf: str) -> DataFrame:
+    """In a fixed number of partitions by key, each in order, as a forest's draws follow the layout."""
+    return spark.read.parquet(decided_path(spark, sf))
+
+
+@lru_cache(maxsize=4)
+def decided_path(spark: SparkSession, sf: str) -> str:
+    rows = spark.sql(f"SELECT {decided_columns('spark')} FROM {{lines}}", lines=table(spark, sf, "lineitem"))
+    return write_version(rows.repartition(16, *NUMBER_KEY).sortWithinPartitions(*NUMBER_KEY), scratch_path(spark, "decided"), "rows")
+
+
+TRAINERS = {
+    "large": lambda df: train.train_forest_large(df, keys=NUMBER_KEY),
+    "light": lambda df: train.train_forest_light(df, keys=NUMBER_KEY),
+    "perceptron": lambda df: train.train_perceptron(df, named=N.FEATURES, keys=NUMBER_KEY),
+}
+
+
+@lru_cache(maxsize=12)
+def trained(spark: SparkSession, sf: str, kind: str) -> train.Trained:
+    """Each trainer at its full settings, fitted once per session and scale."""
+    return TRAINERS[kind](decided(spark, sf))
+
+
+def held_out_sql(share: float, seed: int) -> str:
+    return f"{draw_sql(NUMBER_KEY, seed)} >= {share} * {DRAW_RANGE}"
+
+
+WITH_DECIDED = f"WITH decided AS (SELECT {decided_columns('duckdb')} FROM lineitem) "
+FINITE = " AND ".join(f"isfinite({sql_name(c)})" for c in N.FEATURES)
+HELD_OUT = {
+    "large": held_out_sql(0.7, N.FOREST_SEED),
+    "light": f"{held_out_sql(0.7, N.FOREST_SEED)} AND {FINITE}",
+    "perceptron": f"{held_out_sql(0.8, N.PERCEPTRON_SEED)} AND {FINITE}",
+}
+USED = {"large": N.FEATURES, "light": [c for c in N.FEATURES if c not in N.REDUNDANT], "perceptron": N.FEATURES}
+
+
+def agreed(found: train.Trained) -> DataFrame:
+    """The metrics, rounded, and whether Spark's evaluator gives the same ones."""
+    names = {"accuracy": "accuracy", "weighted_precision": "weightedPrecision", "weighted_recall": "weightedRecall", "f1": "f1"}
+    row = found.metrics.first().asDict()
+    theirs = {k: MulticlassClassificationEvaluator(labelCol=features.LABEL_INDEX, metricName=v).evaluate(found.scored) for k, v in names.items()}
+    same = all(abs(row[k] - theirs[k]) < 1e-12 for k in names)
+    return round_columns(found.metrics, METRICS).withColumn("as_evaluator", F.lit(same))
+
+
+ALL_RIGHT = "SELECT CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS weighted_precision, CAST(1 AS DOUBLE) AS weighted_recall, CAST(1 AS DOUBLE) AS f1, true AS as_evaluator"
+
+
+def metrics_query(kind: str, name: str) -> None:
+    query(name, ALL_RIGHT)(lambda spark, sf: agreed(trained(spark, sf, kind)))
+
+
+def features_query(kind: str) -> None:
+    rows = " UNION ALL ".join(f"SELECT {i} AS position, {sql_text(c)} AS feature" for i, c in enumerate(USED[kind]))
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return local_table(spark, list(enumerate(trained(spark, sf, kind).features)), {"position": "int", "feature": "string"})
+
+    query(f"training_features_{kind}", rows)(run)
+
+
+def held_out_query(kind: str) -> None:
+    listed = ", ".join(NUMBER_KEY)
+    query(f"held_out_keys_{kind}", WITH_DECIDED + f"SELECT {listed} FROM decided WHERE {HELD_OUT[kind]}")(lambda spark, sf: trained(spark, sf, kind).scored.select(*NUMBER_KEY))
+
+
+metrics_query("large", "forest_large_metrics")
+for _kind in TRAINERS:
+    features_query(_kind)
+    held_out_query(_kind)
+
+
+def bounds_query(kind: str, name: str) -> None:
+    """Few trees, or a network, need not be exact, but must know nearly all rows."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return agreed(trained(spark, sf, kind)).select(*[(F.col(m) > 0.95).alias(m) for m in METRICS], "as_evaluator")
+
+    query(name, "SELECT " + ", ".join(f"true AS {m}" for m in [*METRICS, "as_evaluator"]))(run)
+
+
+bounds_query("light", "forest_light_metrics")
+bounds_query("perceptron", "perceptron_metrics")
 
 
 @lru_cache(maxsize=4)
 def stored_forest(spark: SparkSession, sf: str) -> str:
-    """Where a small forest on lineitem's train part is stored; fitted once per session and scale."""
-    train_part, _ = line_parts(spark, sf)
-    chosen = LINE_FEATURES
-    pipeline = models.forest_large(chosen, "l_returnflag", trees=10, depth=6)
-    return save_pipeline(train.fit(train_part, ["l_returnflag", *chosen], pipeline.fit), scratch_path(spark, "forest"))
+    """The large forest as a stored pipeline."""
+    return save_pipeline(trained(spark, sf, "large").model, scratch_path(spark, "forest"))
 
 
-def line_parts(spark: SparkSession, sf: str) -> list[DataFrame]:
-    lines = read_spread(spark, f"{sf}/lineitem.parquet")
-    return sampling.split_keyed(lines.select(*LINE_KEY, "l_returnflag", *[c for c in LINE_FEATURES if c not in LINE_KEY]), LINE_KEY)
+def held_out(spark: SparkSession, sf: str) -> DataFrame:
+    """The part of the keyed split that the stored forest was not trained on, cleaned as for training."""
+    _, test = sampling.split_keyed(decided(spark, sf), NUMBER_KEY)
+    return clean.fill_nonfinite(test, N.LABEL, keep=NUMBER_KEY)
 
 
-@query("feature_importance")
+TOP = 20
+
+
+@query(
+    "feature_importance",
+    f"SELECT CAST({TOP} AS BIGINT) AS n, {sql_text(DECIDED_BY)} AS first, true AS falling, true AS sums_to_one, CAST({len(N.FEATURES)} AS BIGINT) AS features",
+)
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return stored.explain_stored(spark, stored_forest(spark, sf), top=20)
+    """Facts of the top 20 of 66: as many as asked, falling, the deciding feature first, and all of them sum to one."""
+    top = stored.explain_stored(spark, stored_forest(spark, sf), top=TOP).collect()
+    whole = stored.explain_stored(spark, stored_forest(spark, sf), top=len(N.FEATURES)).collect()
+    weights = [r["importance"] for r in top]
+    row = (len(top), top[0]["feature"], int(weights == sorted(weights, reverse=True)), int(abs(sum(r["importance"] for r in whole) - 1) < 1e-9), len({r["feature"] for r in whole}))
+    facts = local_table(spark, [row], {"n": "bigint", "first": "string", "falling": "int", "sums_to_one": "int", "features": "bigint"})
+    return facts.withColumns({c: F.col(c) == 1 for c in ("falling", "sums_to_one")})
 
 
-@query("stored_model_metrics")
+@query("stored_model_metrics", ALL_RIGHT)
 def stored_model_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """A stored forest on the part it was not trained on."""
-    _, held_out = line_parts(spark, sf)
-    return stored.evaluate_stored(stored_forest(spark, sf), held_out, "l_returnflag").metrics
+    """The stored forest, loaded again, on the part that it was not trained on."""
+    return agreed(stored.evaluate_stored(stored_forest(spark, sf), held_out(spark, sf)))
+
+
+INDEX_OF = "(SELECT label_index FROM idx WHERE name = \"Label\")"
+WITH_INDEX = WITH_DECIDED.rstrip() + (
+    f", idx AS (SELECT \"Label\" AS name, CAST(row_number() OVER (ORDER BY count(*) DESC, \"Label\") - 1 AS DOUBLE) AS label_index FROM decided WHERE NOT ({HELD_OUT['large']}) GROUP BY 1) "
+)
 
 
-@query("batch_scoring")
+@query("batch_scoring", WITH_INDEX + f"SELECT {', '.join(NUMBER_KEY)}, \"Label\", {INDEX_OF} AS label_index, {INDEX_OF} AS prediction FROM decided WHERE {HELD_OUT['large']}")
 def batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    _, held_out = line_parts(spark, sf)
-    scored = stored.evaluate_stored(stored_forest(spark, sf), held_out, "l_returnflag").scored
-    return scored.select(*LINE_KEY, "l_returnflag", features.LABEL_INDEX, "prediction")
+    scored = stored.evaluate_stored(stored_forest(spark, sf), held_out(spark, sf)).scored
+    return scored.select(*NUMBER_KEY, N.LABEL, features.LABEL_INDEX, "prediction")
 
 
-@query("prediction_preview")
+@query("prediction_preview", "SELECT CAST(10 AS BIGINT) AS n, CAST(10 AS BIGINT) AS right_ones")
 def prediction_preview(spark: SparkSession, sf: str) -> DataFrame:
-    _, held_out = line_parts(spark, sf)
-    return models.preview(stored.evaluate_stored(stored_forest(spark, sf), held_out, "l_returnflag").scored, "l_returnflag")
+    """Ten rows as they come, all predicted right."""
+    shown = models.preview(stored.evaluate_stored(stored_forest(spark, sf), held_out(spark, sf)).scored)
+    return shown.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(features.LABEL_INDEX) == F.col("prediction")).alias("right_ones"))
 
 
 @query("unseen_labels", WITH_FLOWS + 'SELECT "Label", count(*) AS skipped FROM flows WHERE "Label" IN (\'Probe\', \'Scan\') GROUP BY 1')
 def unseen_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of two classes that training never saw, as scoring reports them."""
-
-
     everything = flows(spark, sf)
     known = everything.filter(~col(N.LABEL).isin("Probe", "Scan"))
     model = Pipeline(stages=[features.label_indexer()]).fit(known)
     return features.unseen_labels(model, everything)
-
-

@@ -138,8 +138,7 @@ TYPE_SQL = (
         LINE_COLUMNS,
         {
             "type": lambda c: TYPE_SQL.format(c),
-            "should_be_numeric": lambda c: "TRUE" if c == "l_linestatus" else "FALSE",
-            "present": lambda c: f"count({c})",
+            "should_be_numeric": lambda c: f"any_value(typeof({c})) = 'VARCHAR' AND '{c}' <> '{LINE_LABEL}'",
         },
     ),
 )
@@ -183,25 +182,20 @@ def describe_mixed(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(described, ["mean", "stddev"], 4)
 
 
-def equal_pairs_sql(columns: list[str]) -> str:
-    """Each column with the first earlier column it equals on every row, by comparing all pairs."""
-    pairs = [
-        f"SELECT {j} AS j, {i} AS i, {sql_text(b)} AS copy, {sql_text(a)} AS original, "
-        f"count(*) FILTER (WHERE {sql_name(b)} IS DISTINCT FROM {sql_name(a)}) AS differences FROM flows"
-        for j, b in enumerate(columns)
-        for i, a in enumerate(columns[:j])
-    ]
-    first = "row_number() OVER (PARTITION BY j ORDER BY i)"
-    return f"SELECT copy, original, {first} AS nth FROM ({' UNION ALL '.join(pairs)}) WHERE differences = 0"
-
-
-# The light training view: nine columns and the four that copy one of them.
-SOME = list(dict.fromkeys([*COPY_OF.values(), "Flow Byts/s", "Active Std", "Flow IAT Min", "Idle Max", "Idle Min", *COPY_OF]))
+# All pairs of all columns are too many expressions for one statement: the columns are compared in long form, by a list of their
+# texts in the order of the keys (a repeated key by value); text tells doubles apart but for minus zero, which the records do not hold.
+LISTS_SQL = " UNION ALL ".join(
+    f"SELECT {j} AS j, {sql_text(c)} AS name, md5(string_agg(coalesce(CAST({sql_name(c)} AS VARCHAR), 'null'), ',' ORDER BY {KEY}, {sql_name(c)})) AS texts FROM flows" for j, c in enumerate(N.FEATURES)
+)
 
 
-@query("duplicate_candidates", WITH_FLOWS + f"SELECT copy, original FROM ({equal_pairs_sql(SOME)}) WHERE nth = 1")
+@query(
+    "duplicate_candidates",
+    WITH_FLOWS + f", lists AS MATERIALIZED ({LISTS_SQL}), first AS (SELECT texts, min(j) AS i FROM lists GROUP BY texts) "
+    "SELECT l.name AS copy, o.name AS original FROM lists l JOIN first f ON l.texts = f.texts JOIN lists o ON o.j = f.i WHERE l.j <> f.i",
+)
 def duplicate_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return duplicates.duplicate_candidates(flows(spark, sf).select([col(c) for c in SOME]))
+    return duplicates.duplicate_candidates(flows(spark, sf).select([col(c) for c in N.FEATURES]))
 
 
 @query(
@@ -265,8 +259,7 @@ def drop_duplicate_columns(spark: SparkSession, sf: str) -> DataFrame:
         [KEY, N.LABEL, *N.FEATURES],
         {
             "type": lambda c: TYPE_SQL.format(sql_name(c)),
-            "should_be_numeric": lambda c: "TRUE" if c == KEY else "FALSE",
-            "present": lambda c: f"count({sql_name(c)})",
+            "should_be_numeric": lambda c: f"any_value(typeof({sql_name(c)})) = 'VARCHAR' AND {sql_text(c)} <> '{N.LABEL}'",
         },
         WITH_FLOWS,
     ),
@@ -275,18 +268,22 @@ def schema_report(spark: SparkSession, sf: str) -> DataFrame:
     return profile.type_check(flows(spark, sf))
 
 
-@query("partition_rows")
+@query("partition_rows", "SELECT count(*) AS \"rows\", true AS all_in_range FROM lineitem")
 def partition_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.partition_rows(table(spark, sf, "lineitem"))
+    """The partition report adds up to the table, and its partitions are numbered from 0."""
+    lines = table(spark, sf, "lineitem")
+    report = profile.partition_rows(lines)
+    in_range = F.min("partition") >= 0
+    return report.agg(F.sum("rows").alias("rows"), (in_range & (F.max("partition") < lines.rdd.getNumPartitions())).alias("all_in_range"))
 
 
-@query("cached_projection", "SELECT l_returnflag AS label, l_linestatus AS prediction, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@query("cached_projection", "SELECT l_returnflag AS label, l_linestatus AS prediction, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS \"rows\" FROM lineitem GROUP BY 1, 2")
 def cached_projection(spark: SparkSession, sf: str) -> DataFrame:
-    """Two columns kept for a row count and a count table; released before the answer is read again."""
+    """Two columns kept while a row count and a count table are taken from them; both are in the answer."""
+    from flowsieve.functions.tables import local_table
     from flowsieve.operators.metrics import cached_projection as kept_columns, confusion_counts
 
     with kept_columns(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"]) as kept:
-        kept.count()
-        return confusion_counts(kept, "l_returnflag", "l_linestatus")
-
-
+        rows = kept.count()
+        counts = [(r["label"], r["prediction"], r["n"], rows) for r in confusion_counts(kept, "l_returnflag", "l_linestatus").collect()]  # classes squared at most
+    return local_table(spark, counts, {"label": "string", "prediction": "string", "n": "bigint", "rows": "bigint"})

@@ -75,3 +75,12 @@ def test_names_with_dots_slashes_and_backticks(spark):
     assert [tuple(r)[:3] for r in clean.fill_nonfinite(df).collect()][2] == (1.0, 0.0, 1.0)
     assert clean.feature_names(clean.cast_features(df)) == names
     assert clean.keep_present(df, "a.b").count() == 3
+
+
+def test_null_tests_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.sql("select cast(id as double) as a, if(id > 2, null, 1.0D) as b from range(5)").write.parquet(path)
+    found = clean.drop_nonfinite_rows(spark.read.parquet(path))
+    assert found.count() == 3
+    pushed = found._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(a)" in pushed and "IsNotNull(b)" in pushed

@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
-from flowsieve.operators import features, metrics, models
+from flowsieve.operators import features, metrics, models, sampling
 from flowsieve.plans import stored, train
 from flowsieve.sources.fitted import save_pipeline
 from flowsieve.sources.workspace import scratch_path
@@ -83,3 +83,30 @@ def test_cached_projection_is_released(spark, scored):
     with metrics.cached_projection(scored, ["label"]) as kept:
         assert kept.count() == 8 and kept.storageLevel.useMemory
     assert not kept.storageLevel.useMemory
+
+
+def test_keys_label_index_and_excluded_names_are_no_features(points):
+    table = points.withColumn("Label_Index", F.when(F.col("Label") == "Bot", 1.0).otherwise(0.0)).withColumn("k", (F.col("id") + F.lit((1 << 53) + 1)).cast("bigint"))
+    for found in (
+        train.train_forest_large(table, keys=["k"], exclude=["id"], trees=2, depth=2),
+        train.train_forest_light(table, keys=["k"], exclude=["id"], trees=2, depth=2),
+        train.train_perceptron(table, keys=["k"], exclude=["id"], hidden=(3,), iterations=3),
+    ):
+        assert found.features == ["x", "noise/1", "flat"]
+
+
+@pytest.mark.parametrize("trainer", [train.train_forest_large, train.train_forest_light])
+def test_held_out_rows_are_those_of_the_keyed_split(points, trainer):
+    table = points.withColumn("k", (F.col("id") + F.lit((1 << 53) + 1)).cast("bigint"))
+    scored = {r["k"] for r in trainer(table, keys=["k"], exclude=["id"], trees=2, depth=2).scored.collect()}
+    assert scored == {r["k"] for r in sampling.split_keyed(table, ["k"])[1].collect()}
+
+
+def test_null_labels_are_reported_or_an_error(points):
+    table = points.withColumn("Label", F.when(F.col("id") % 10 > 0, F.col("Label")))
+    found = train.train_forest_large(table, keys=["id"], trees=2, depth=2)
+    counts = [part.filter("Label is null").count() for part in sampling.split_keyed(table, ["id"])]
+    assert [(r["Label"], r["skipped"]) for r in found.skipped_training.collect()] == [(None, counts[0])]
+    assert [(r["Label"], r["skipped"]) for r in found.skipped.collect()] == [(None, counts[1])]
+    with pytest.raises(Exception, match="NULL"):
+        features.index_labels(table).collect()

@@ -75,3 +75,21 @@ def test_profiles_of_odd_names(spark):
     assert by_column(profile.missing_counts(df), "missing") == {"a.b": 1, "c/s d": 1, "Label": 1}
     assert duplicates.candidate_pairs(df) == [("c/s d", "a.b")]
     assert duplicates.drop_duplicate_columns(df).columns == ["a.b", "Label"]
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_constants_of_all_types_take_one_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.sql("select id, 1.5D as d, if(id > 2, 'b', 'a') as s, date'2020-01-01' as t, cast(id as decimal(20,2)) as m from range(5)").write.parquet(path)
+    found = profile.constant_columns(spark.read.parquet(path), exclude=[])
+    assert scans(found) == 1
+    assert by_column(found, "is_constant") == {"id": False, "d": True, "s": False, "t": True, "m": False}
+
+
+def test_types_need_no_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.sql("select id, 'x' as s from range(5)").write.parquet(path)
+    assert scans(profile.type_check(spark.read.parquet(path))) == 0
