@@ -1,135 +1,121 @@
 """Pairwise correlation on all rows, in long form, and the redundancy decided from it.
 
 A value that is null or NaN leaves its row out of the pairs of that column only. A pair has no
-correlation (null) when a column is constant, or infinite somewhere, on the rows of the pair.
+correlation (null) when a column is constant, or infinite somewhere, on the rows of the pair, or when
+its squares overflow. Every task reduces its rows to the moments of each pair, shifted by values of
+its own rows; moments are merged by the exact formula for means, central squares and co-moments.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions import names as N
-from flowsieve.functions.values import col, field_types, finite, not_nan
+from flowsieve.functions.tables import local_table
+from flowsieve.functions.values import col
 
-# Up to this many columns the pairs are plain aggregates; their number grows with the square.
-NARROW_COLUMNS = 8
-PIVOT_ROWS = 1000
+MOMENTS = ["n", "mean_a", "mean_b", "square_a", "square_b", "product", "infinite"]
+PARTIAL_SCHEMA = "position_a int, position_b int, " + ", ".join(f"{m} double" for m in MOMENTS)
 
 
-def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(position_a, position_b, column_a, column_b, r) for every pair of columns a before b."""
-    if len(columns) <= NARROW_COLUMNS:
-        return correlation_narrow(df, columns)
-    return correlation_wide(df, columns)
-
-
-def correlation_narrow(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every pair as an expression in one aggregate; for tables of few columns."""
-    types = field_types(df)
-    clean = df.select([not_nan(c, types[c]).cast("double").alias(c) for c in columns])
-    pairs = []
-    for i, j in combinations(range(len(columns)), 2):
-        a, b = col(columns[i]), col(columns[j])
-        deviation_a = F.stddev_samp(F.when(b.isNotNull(), a))
-        deviation_b = F.stddev_samp(F.when(a.isNotNull(), b))
-        r = F.try_divide(F.covar_samp(a, b), deviation_a * deviation_b)
-        pairs.append(
-            F.struct(
-                F.lit(i).alias("position_a"),
-                F.lit(j).alias("position_b"),
-                F.lit(columns[i]).alias("column_a"),
-                F.lit(columns[j]).alias("column_b"),
-                F.when(~F.isnan(r), r).alias("r"),
-            )
-        )
-    return clean.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs"))
-
-
-def column_pivots(df: DataFrame, columns: Sequence[str]) -> list[float]:
-    """A value near each column's own, to shift by before squaring.
-
-    Any value of the column's own range keeps the sums of squares well conditioned, so the mean of
-    the first rows serves; a column with no finite value there is averaged over the table.
+CANCELLED = 1e-6
+
+
+def batch_moments(x: np.ndarray, upper_a: np.ndarray, upper_b: np.ndarray) -> np.ndarray:
+    """Rows, means, central squares, co-moment and infinities of every pair of columns, over the pair's own rows.
+
+    Matrix products of values shifted by each column's mean give all pairs at once. Where the rows of a pair lie
+    so far from that mean that squares cancel, the pair is worked out by itself in two passes.
     """
-    head = df.select([col(c).cast("double").alias(c) for c in columns]).take(PIVOT_ROWS)
-    pivots: list[float | None] = []
-    for i in range(len(columns)):
-        seen = [row[i] for row in head if row[i] is not None and math.isfinite(row[i])]
-        pivots.append(sum(seen) / len(seen) if seen else None)
-    unseen = [i for i, p in enumerate(pivots) if p is None]
-    if unseen and len(head) == PIVOT_ROWS:
-        means = df.agg(*[F.avg(F.when(finite(columns[i]), col(columns[i]))).alias(f"m{i}") for i in unseen]).first()
-        for i, mean in zip(unseen, means):
-            pivots[i] = mean
-    return [0.0 if p is None else p for p in pivots]
-
-
-PARTIAL_SCHEMA = (
-    "position_a int, position_b int, n double, sum_a double, sum_b double, "
-    "square_a double, square_b double, product double, infinite double"
-)
-
-
-def pair_sums(pivots: Sequence[float]):
-    """Sums for all pairs over one partition, as matrix products of Arrow batches."""
-    shift = np.asarray(pivots)
-    upper_a, upper_b = np.triu_indices(len(shift), k=1)
-
-    def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((7, len(upper_a)))
+    infinite = np.isinf(x)
+    usable = ~np.isnan(x) & ~infinite
+    counts = usable.sum(axis=0)
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        first = np.where(counts > 0, x[usable.argmax(axis=0), np.arange(x.shape[1])], 0.0)
+        shift = first + np.where(usable, x - first, 0.0).sum(axis=0) / np.maximum(counts, 1)
+        constant = np.where(usable, x, -np.inf).max(axis=0) == np.where(usable, x, np.inf).min(axis=0)
+        shift = np.where(constant, first, shift)  # a constant column leaves exactly nothing
+        y, present = np.where(usable, x - shift, 0.0), usable.astype(float)
+        sums, squares, products = y.T @ present, (y * y).T @ present, (y.T @ y)[upper_a, upper_b]
+        spoiled = infinite.astype(float).T @ (present + infinite) + present.T @ infinite.astype(float)
+        n = (present.T @ present)[upper_a, upper_b]
+        some = np.maximum(n, 1.0)
+        sum_a, sum_b, raw_a, raw_b = sums[upper_a, upper_b], sums[upper_b, upper_a], squares[upper_a, upper_b], squares[upper_b, upper_a]
+        square_a, square_b = raw_a - sum_a * sum_a / some, raw_b - sum_b * sum_b / some
+        moments = np.array([n, shift[upper_a] + sum_a / some, shift[upper_b] + sum_b / some, square_a, square_b, products - sum_a * sum_b / some, spoiled[upper_a, upper_b]])
+        for k in np.flatnonzero((n > 0) & ((raw_a > 0) & (square_a <= CANCELLED * raw_a) | (raw_b > 0) & (square_b <= CANCELLED * raw_b))):
+            rows = usable[:, upper_a[k]] & usable[:, upper_b[k]]
+            moments[1:6, k] = pair_in_two_passes(x[rows, upper_a[k]], x[rows, upper_b[k]])
+    return moments
+
+
+def pair_in_two_passes(a: np.ndarray, b: np.ndarray) -> tuple[float, ...]:
+    """Means, central squares and co-moment; a column with one value has a square of exactly zero."""
+    mean_a, mean_b = (v[0] if v.min() == v.max() else v[0] + (v - v[0]).mean() for v in (a, b))
+    return mean_a, mean_b, ((a - mean_a) ** 2).sum(), ((b - mean_b) ** 2).sum(), ((a - mean_a) * (b - mean_b)).sum()
+
+
+def merged(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The moments of both sets of rows."""
+    n = one[0] + two[0]
+    with np.errstate(over="ignore", invalid="ignore"):
+        share = np.where(n > 0, two[0] / np.maximum(n, 1.0), 0.0)
+        d_a, d_b, weight = np.where(two[0] > 0, two[1] - one[1], 0.0), np.where(two[0] > 0, two[2] - one[2], 0.0), one[0] * share
+        empty = one[0] == 0
+        mean_a, mean_b = np.where(empty, two[1], one[1] + d_a * share), np.where(empty, two[2], one[2] + d_b * share)
+        extra = lambda x, y: np.where(weight > 0, x * y * weight, 0.0)
+        return np.array([n, mean_a, mean_b, one[3] + two[3] + extra(d_a, d_a), one[4] + two[4] + extra(d_b, d_b), one[5] + two[5] + extra(d_a, d_b), one[6] + two[6]])
+
+
+def pair_moments(width: int):
+    """The moments of all pairs over one task's rows, batch by batch."""
+    upper_a, upper_b = np.triu_indices(width, k=1)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(MOMENTS), len(upper_a)))
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
-            present, infinite = (~np.isnan(x)).astype(float), np.isinf(x).astype(float)
-            x = np.where(np.isfinite(x), x - shift, 0.0)
-            counts, sums, squares = present.T @ present, x.T @ present, (x * x).T @ present
-            spoiled = infinite.T @ present
-            totals += [
-                counts[upper_a, upper_b],
-                sums[upper_a, upper_b],
-                sums[upper_b, upper_a],
-                squares[upper_a, upper_b],
-                squares[upper_b, upper_a],
-                (x.T @ x)[upper_a, upper_b],
-                spoiled[upper_a, upper_b] + spoiled[upper_b, upper_a],
-            ]
+            if batch.num_rows:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+                total = merged(total, batch_moments(x, upper_a, upper_b))
         positions = [pa.array(upper_a, pa.int32()), pa.array(upper_b, pa.int32())]
-        names = [part.split()[0] for part in PARTIAL_SCHEMA.split(", ")]
-        yield pa.RecordBatch.from_arrays(positions + [pa.array(row) for row in totals], names)
+        yield pa.RecordBatch.from_arrays(positions + [pa.array(row) for row in total], names=["position_a", "position_b", *MOMENTS])
 
-    return partition
+    return task
 
 
-def correlation_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every pair from per-partition matrix products; for wide tables.
+def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(position_a, position_b, column_a, column_b, r) for every pair of columns a before b, for any number of columns.
 
-    A task sends one row of sums per pair, whatever its number of input rows.
+    One scan; a task sends one row per pair, whatever its number of input rows.
     """
     doubles = df.select([col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    partial = doubles.mapInArrow(pair_sums(column_pivots(df, columns)), PARTIAL_SCHEMA)
-    summed = partial.groupBy("position_a", "position_b").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sum_a", "sum_b", "square_a", "square_b", "product", "infinite")]
-    )
-    spread_a = F.col("square_a") - F.try_divide(F.col("sum_a") * F.col("sum_a"), "n")
-    spread_b = F.col("square_b") - F.try_divide(F.col("sum_b") * F.col("sum_b"), "n")
-    joint = F.col("product") - F.try_divide(F.col("sum_a") * F.col("sum_b"), "n")
-    # A constant column leaves only rounding in its spread.
-    varies = (spread_a > F.col("square_a") * 1e-13) & (spread_b > F.col("square_b") * 1e-13)
-    r = F.try_divide(joint, F.sqrt(spread_a) * F.sqrt(spread_b))
-    names = F.array(*[F.lit(c) for c in columns])
-    return summed.select(
-        "position_a",
-        "position_b",
-        names[F.col("position_a")].alias("column_a"),
-        names[F.col("position_b")].alias("column_b"),
-        F.when((F.col("infinite") == 0) & varies, r).alias("r"),
+    partial = doubles.mapInArrow(pair_moments(len(columns)), PARTIAL_SCHEMA).filter("n > 0 or infinite > 0")
+    pair = Window.partitionBy("position_a", "position_b")  # a row per task
+    n = F.sum("n").over(pair)
+    common = {m: F.sum(F.col(m) * F.try_divide(F.col("n"), n)).over(pair) for m in ("mean_a", "mean_b")}
+    shifted = partial.select("*", *[(F.col(m) - mean).alias(f"off_{m[-1]}") for m, mean in common.items()])
+
+    def total(inside: str, x: str, y: str):
+        return F.sum(F.col(inside) + F.when(F.col("n") > 0, F.col("n") * F.col(x) * F.col(y)).otherwise(0.0))
+
+    summed = shifted.groupBy("position_a", "position_b").agg(
+        total("square_a", "off_a", "off_a").alias("square_a"), total("square_b", "off_b", "off_b").alias("square_b"),
+        total("product", "off_a", "off_b").alias("product"), F.sum("infinite").alias("infinite"),
+        *[(F.min(F.when(F.col("n") > 0, F.col(m))) == F.max(F.when(F.col("n") > 0, F.col(m)))).alias(f"one_{m[-1]}") for m in ("mean_a", "mean_b")],
+        *[(F.max(f"square_{k}") == 0).alias(f"still_{k}") for k in "ab"],
     )
+    constant = (F.col("one_a") & F.col("still_a")) | (F.col("one_b") & F.col("still_b"))
+    raw = F.try_divide(F.col("product"), F.sqrt("square_a") * F.sqrt("square_b"))
+    r = F.when((F.col("infinite") == 0) & ~constant & ~F.isnan(raw) & (F.abs(raw) < float("inf")), F.least(F.greatest(raw, F.lit(-1.0)), F.lit(1.0)))
+    pairs = [(i, j, columns[i], columns[j]) for i, j in combinations(range(len(columns)), 2)]
+    listed = local_table(df.sparkSession, pairs, {"position_a": "int", "position_b": "int", "column_a": "string", "column_b": "string"})
+    return listed.join(F.broadcast(summed.select("position_a", "position_b", r.alias("r"))), ["position_a", "position_b"], "left")
 
 
 def high_correlation(pairs: DataFrame, threshold: float = N.HIGH_CORRELATION) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +60,47 @@ def correlation_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("correlation_gaps_by_matrix", WITH_GAPS + f"SELECT {ROUNDED_PAIR} FROM ({pairs_sql(list(GAPS), 'gaps')})")
 def correlation_gaps_by_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return round_columns(correlation.correlation_wide(gaps(spark, sf), list(GAPS)), ["r"])
+    """The same moments merged from many more tasks."""
+    return round_columns(correlation.correlation(gaps(spark, sf).repartition(37), list(GAPS)), ["r"])
+
+
+# Columns whose first rows are unlike the rest: another magnitude, or nothing at all.
+UNTYPICAL = {
+    "late": "CASE WHEN l_orderkey < 100 THEN NULL ELSE CAST(1000000000 + l_linenumber AS DOUBLE) END",
+    "low_first": "CASE WHEN l_orderkey < 100 THEN CAST(-1000000000 AS DOUBLE) ELSE CAST(1000000000 + l_linenumber + l_suppkey % 3 AS DOUBLE) END",
+    "high_first": "CASE WHEN l_orderkey < 100 THEN CAST(100000000 AS DOUBLE) ELSE CAST(l_linenumber % 7 AS DOUBLE) / 7 END",
+    "late_too": "CASE WHEN l_orderkey < 100 THEN NULL ELSE CAST(l_linenumber % 7 AS DOUBLE) / 7 END",
+    "one_late": "CASE WHEN l_orderkey < 100 THEN CAST(l_linenumber AS DOUBLE) ELSE CAST(4 AS DOUBLE) END",
+}
+WITH_UNTYPICAL = "WITH untypical AS (SELECT " + ", ".join(f"{s} AS {c}" for c, s in UNTYPICAL.items()) + " FROM lineitem) "
+
+
+def untypical(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").selectExpr(*[f"{sql} AS {name}" for name, sql in UNTYPICAL.items()])
+
+
+@query("correlation_untypical_start", WITH_UNTYPICAL + f"SELECT {ROUNDED_PAIR} FROM ({pairs_sql(list(UNTYPICAL), 'untypical')})")
+def correlation_untypical_start(spark: SparkSession, sf: str) -> DataFrame:
+    return round_columns(correlation.correlation(untypical(spark, sf), list(UNTYPICAL)), ["r"])
+
+
+NO_PAIRS = " UNION ALL ".join(
+    f"SELECT {i} AS position_a, {j} AS position_b, '{a}' AS column_a, '{b}' AS column_b, CAST(NULL AS DOUBLE) AS r" for (i, a), (j, b) in combinations(enumerate(UNTYPICAL), 2)
+)
+
+
+@query("correlation_no_rows", NO_PAIRS)
+def correlation_no_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair is there, without a value."""
+    none = table(spark, sf, "lineitem").filter("l_orderkey < 0").selectExpr(*[f"{sql} AS {name}" for name, sql in UNTYPICAL.items()])
+    return round_columns(correlation.correlation(none, list(UNTYPICAL)), ["r"])
+
+
+@query("correlation_overflow", "SELECT 0 AS position_a, 1 AS position_b, 'huge' AS column_a, 'l_quantity' AS column_b, CAST(NULL AS DOUBLE) AS r")
+def correlation_overflow(spark: SparkSession, sf: str) -> DataFrame:
+    """Squares beyond the range of doubles leave no value."""
+    df = table(spark, sf, "lineitem").select((F.col("l_quantity") * 1e200).alias("huge"), "l_quantity")
+    return round_columns(correlation.correlation(df, ["huge", "l_quantity"]), ["r"])
 
 
 @query("correlation_wide", WITH_FLOWS + f"SELECT {ROUNDED_PAIR} FROM ({pairs_sql(N.FEATURES, 'flows')})")

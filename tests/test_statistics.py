@@ -22,10 +22,10 @@ def gaps():
     return frame
 
 
-@pytest.mark.parametrize("form", [correlation.correlation_narrow, correlation.correlation_wide])
-def test_correlation_skips_gaps_pairwise(spark, gaps, form):
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_correlation_skips_gaps_pairwise(spark, gaps, parts):
     expected = gaps.corr()
-    got = form(spark.createDataFrame(gaps).repartition(5), list(gaps.columns)).collect()
+    got = correlation.correlation(spark.createDataFrame(gaps).repartition(parts), list(gaps.columns)).collect()
     assert len(got) == 6
     for row in got:
         want = expected.loc[row["column_a"], row["column_b"]]
@@ -35,13 +35,25 @@ def test_correlation_skips_gaps_pairwise(spark, gaps, form):
             assert row["r"] == pytest.approx(want, abs=1e-9)
 
 
-@pytest.mark.parametrize("form", [correlation.correlation_narrow, correlation.correlation_wide])
-def test_infinity_spoils_only_its_pairs(spark, form):
+def test_infinity_spoils_only_its_pairs(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 3.0, 1.0), (math.inf, 5.0, 4.0), (4.0, 1.0, None)], "a double, b double, c double")
-    got = {(r["column_a"], r["column_b"]): r["r"] for r in form(df, ["a", "b", "c"]).collect()}
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in correlation.correlation(df, ["a", "b", "c"]).collect()}
     assert got["a", "b"] is None and got["a", "c"] is None and got["b", "c"] is not None
 
 
+@pytest.mark.parametrize("parts", [1, 3, 16])
+@pytest.mark.parametrize("width", [2, 12])
+def test_correlation_does_not_depend_on_the_first_rows_or_the_width(spark, parts, width):
+    rows = spark.range(0, 20_000, 1, 1).selectExpr(
+        "if(id < 1000, null, 1e9D + id % 7) as a", "if(id < 1000, -1e9D, 1e9D + id % 7) as b", "if(id < 1000, 1e8D, id % 7 / 7D) as c", "if(id < 1000, null, id % 7 / 7D) as d",
+        "1e200D * (id % 5) as e", "cast(7 as double) as f", *[f"cast(id % {k} as double) as x{k}" for k in range(3, 9)],
+    ).repartition(parts)
+    for pair, want in ((["a", "b"], 1.0), (["c", "d"], 1.0), (["e", "a"], None), (["f", "a"], None)):
+        others = [f"x{k}" for k in range(3, 9)] if width > 2 else []
+        got = correlation.correlation(rows, [*pair, *others]).filter("position_a = 0 and position_b = 1").first()["r"]
+        assert got is None if want is None else got == pytest.approx(want, abs=1e-9)
+
+
 def test_redundancy_keeps_what_only_a_dropped_column_explains(spark):
     pairs = spark.createDataFrame(
         [(0, 1, "a", "b", 0.99), (1, 2, "b", "c", 0.99), (0, 2, "a", "c", 0.9), (3, 4, "d", "e", -0.97)],
