@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
 
+@lru_cache(maxsize=1)
+def own_folder() -> tempfile.TemporaryDirectory:
+    """A folder of this process, removed when it ends."""
+    return tempfile.TemporaryDirectory(prefix="flowsieve-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder of `spark.checkpoint.dir`.
 
-    Only a local session may do without that setting; it gets a new temporary folder.
+    Only a local session, whose tasks run in this process's machine, may do without that setting.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/flowsieve/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{tempfile.mkdtemp(prefix='flowsieve-')}/{name}"
+    return f"{own_folder().name}/{name}-{uuid.uuid4().hex}"
