@@ -2,74 +2,64 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.functions import names as N
-from flowsieve.functions.values import col
 from flowsieve.operators.clean import is_data_row
 
 SOURCE_FILE, COLUMNS_BEFORE, COLUMNS_DROPPED = "source_file", "columns_before", "columns_dropped"
 TRACE = (SOURCE_FILE, COLUMNS_BEFORE, COLUMNS_DROPPED)
-HEADER_READERS = 16
+FIELDS = "__fields"
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Every column as string. With `columns` given, the header line is skipped and not looked at."""
-    reader = spark.read.option("header", True).option("inferSchema", False)
-    if columns is not None:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    return reader.csv(paths)
+def field(name: str) -> Column:
+    """A field of the row by its header name, as text; null where the row's file has no such column."""
+    if '"' in name:  # no path can quote it
+        return F.try_element_at(F.col(FIELDS).cast("map<string,string>"), F.lit(name))
+    return F.try_variant_get(FIELDS, f'$["{name}"]', "string")
 
 
-def csv_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str]:
-    """Paths of the folder's CSV files, from the listing alone; no content is read."""
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return sorted(r["path"] for r in listing.select("path").collect())
+def header_names(rows: DataFrame) -> list[str]:
+    """All column names of all files, sorted: one pass over the files, a row per name to the driver."""
+    names = rows.select(F.explode(F.map_keys(F.col(FIELDS).cast("map<string,variant>"))).alias("name"))
+    return sorted(r["name"] for r in names.distinct().collect())
 
 
-def files_by_header(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Paths grouped by their header line. Only the first line of each file is read, many at a time."""
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(HEADER_READERS) as pool:
-        headers = pool.map(lambda path: tuple(read_csv(spark, path).columns), paths)
-        for path, header in zip(paths, headers):
-            groups[header].append(path)
-    return dict(groups)
+def read_csv_folder(
+    spark: SparkSession, folder: str, drop: Iterable[str] = tuple(N.RAW_DROP), pattern: str = "*.csv", columns: Sequence[str] | None = None
+) -> DataFrame:
+    """All files of a folder as one table of strings, without the columns to drop, in one scan for any number of files.
 
-
-def read_csv_folder(spark: SparkSession, folder: str, drop: Iterable[str] = tuple(N.RAW_DROP), pattern: str = "*.csv") -> DataFrame:
-    """All files of a folder as one table of strings, without the columns to drop.
-
-    Files with the same header are one scan; there are as many scans as header shapes, not files.
-    Each row carries its file name and the column counts of its file.
+    Every row is keyed by its own file's header, so files may differ in columns and in their order. With
+    `columns` given, only these are looked for; otherwise the names are collected first. Each row carries its
+    file name and the column counts of its line. A field that reads as a plain number keeps its value, not its zeros.
     """
-    parts = []
-    for header, paths in sorted(files_by_header(spark, csv_files(spark, folder, pattern)).items()):
-        unwanted = set(drop)
-        kept = [c for c in header if c not in unwanted]
-        parts.append(
-            read_csv(spark, paths, header).select(
-                *[col(c) for c in kept],
-                F.col("_metadata.file_name").alias(SOURCE_FILE),
-                F.lit(len(header)).alias(COLUMNS_BEFORE),
-                F.lit(len(header) - len(kept)).alias(COLUMNS_DROPPED),
-            )
-        )
-    if not parts:
-        raise FileNotFoundError(f"no {pattern} files in {folder}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    raw = spark.read.option("header", True).option("singleVariantColumn", FIELDS).option("pathGlobFilter", pattern).csv(folder)
+    if raw.isEmpty():
+        raise FileNotFoundError(f"no rows in {pattern} of {folder}")
+    unwanted = set(drop)
+    kept = [c for c in (columns if columns is not None else header_names(raw)) if c not in unwanted]
+    keys = F.map_keys(F.col(FIELDS).cast("map<string,variant>"))
+    return raw.select(
+        *[field(c).alias(c) for c in kept],
+        F.col("_metadata.file_name").alias(SOURCE_FILE),
+        F.size(keys).alias(COLUMNS_BEFORE),
+        F.size(F.array_intersect(keys, F.array(*[F.lit(c) for c in sorted(unwanted)]).cast("array<string>"))).alias(COLUMNS_DROPPED),
+    )
 
 
 def load_report(raw: DataFrame, label: str = N.LABEL) -> DataFrame:
-    """Rows read and removed, columns read and dropped, per source file, in one aggregate."""
+    """Rows read and removed, columns read and dropped, per source file, in one aggregate.
+
+    A file has as many columns as its fullest line.
+    """
     removed = ~F.coalesce(is_data_row(label), F.lit(False))
-    return raw.groupBy(*TRACE).agg(
+    return raw.groupBy(SOURCE_FILE).agg(
+        F.max(COLUMNS_BEFORE).alias(COLUMNS_BEFORE),
+        F.max(COLUMNS_DROPPED).alias(COLUMNS_DROPPED),
         F.count(F.lit(1)).alias("rows_before"),
         F.count_if(removed).alias("rows_removed"),
     )

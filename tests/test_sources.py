@@ -80,3 +80,22 @@ def test_small_tables_are_spread_and_empty_folders_refused(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     with pytest.raises(FileNotFoundError):
         flow_csv.read_csv_folder(spark, str(tmp_path / "empty"))
+
+
+@pytest.mark.parametrize("files", [2, 30])
+def test_jobs_do_not_grow_with_the_files(spark, tmp_path, files):
+    for i in range(files):
+        (tmp_path / f"{i}.csv").write_text("a,Label\n1,x\n" if i % 2 else "Label,b,a\nx,2,1\n")
+    tracker = spark.sparkContext.statusTracker()
+    group = f"csv-{files}"
+    spark.sparkContext.setJobGroup(group, "count jobs")
+    rows = flow_csv.read_csv_folder(spark, str(tmp_path)).collect()
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(rows) == files and {(r["a"], r["Label"]) for r in rows} == {("1", "x")}
+    assert len(tracker.getJobIdsForGroup(group)) <= 6
+
+
+def test_odd_fields_read_as_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,"q""t",Label\n007,1,Bot\n1e400," 8 ","a,b"\n,-Infinity,true\n1.5\n')
+    rows = flow_csv.read_csv_folder(spark, str(tmp_path)).select("x", '`q""t`', "Label").collect()
+    assert [tuple(r) for r in rows] == [("007", "1", "Bot"), ("1e400", " 8 ", "a,b"), (None, "-Infinity", "true"), ("1.5", None, None)]
