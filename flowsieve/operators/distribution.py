@@ -18,8 +18,9 @@ QUARTILES = (0.25, 0.5, 0.75)
 
 # Rows of one bracket that may be ranked in a single window; above it the bracket is narrowed first.
 BRACKET_ROWS = 1_000_000
-GRID_STEPS, GRID_MARGIN, SKETCH_ACCURACY = 1000, 2, 10_000
-MAX_NARROWINGS = 6
+GRID_STEPS, SKETCH_ACCURACY = 1000, 10_000
+# Grid points left around a wanted rank; wider ones are for ranks that the sketch missed.
+GRID_MARGINS = (2, 20, 200, 1000)
 
 
 def long_values(df: DataFrame, group: str, variables: Sequence[str]) -> DataFrame:
@@ -49,11 +50,11 @@ class Bracket:
     def position(self) -> float:
         return self.share * (self.total - 1)
 
-    def narrowed(self, grid: Sequence[float], below: int, rows: int) -> Bracket:
+    def narrowed(self, grid: Sequence[float], below: int, rows: int, margin: int) -> Bracket:
         """The bracket cut to the sketch's grid points around its ranks."""
         first, last = math.floor(self.position) - below, math.ceil(self.position) - below
-        start = math.floor(first / rows * GRID_STEPS) - GRID_MARGIN
-        end = math.ceil((last + 1) / rows * GRID_STEPS) + GRID_MARGIN
+        start = math.floor(first / rows * GRID_STEPS) - margin
+        end = math.ceil((last + 1) / rows * GRID_STEPS) + margin
         low = grid[start] if start > 0 else self.low
         high = grid[end] if end < GRID_STEPS else self.high
         kept = math.ceil(rows * (end - start) / GRID_STEPS)
@@ -85,18 +86,31 @@ def sketch() -> list[Column]:
     ]
 
 
-def first_brackets(values: DataFrame, shares: Sequence[float]) -> list[Bracket]:
-    """One scan for the size and the sketch of every class and variable."""
-    groups = values.groupBy(GROUP, VARIABLE).agg(*sketch()).collect()
-    whole = [(Bracket(r[GROUP], r[VARIABLE], q, r["rows"], r["rows"]), r) for r in groups for q in shares]
-    return [b.narrowed(r["grid"], 0, r["rows"]) for b, r in whole]
+def whole_brackets(values: DataFrame, shares: Sequence[float], margin: int = GRID_MARGINS[0]) -> tuple[list[Bracket], dict]:
+    """One scan for the size and the sketch of every class and variable: brackets around the shares, and the sketches."""
+    sketches = {(r[GROUP], r[VARIABLE]): r for r in values.groupBy(GROUP, VARIABLE).agg(*sketch()).collect()}
+    whole = [Bracket(*key, q, r["rows"], r["rows"]) for key, r in sketches.items() for q in shares]
+    return [b.narrowed(sketches[b.key[:2]]["grid"], 0, b.total, margin) for b in whole], sketches
 
 
-def narrow(values: DataFrame, brackets: Sequence[Bracket]) -> list[Bracket]:
+def narrow(values: DataFrame, brackets: Sequence[Bracket], margin: int) -> list[Bracket]:
     """Cut brackets by a sketch of the values inside them, one scan for all."""
     sketches = within(values, brackets).groupBy(GROUP, VARIABLE, "share").agg(*sketch())
     found = {(r[GROUP], r[VARIABLE], r["share"]): r for r in sketches.collect()}
-    return [b.narrowed(found[b.key]["grid"], found[b.key]["below"], found[b.key]["rows"]) for b in brackets]
+    return [b.narrowed(found[b.key]["grid"], found[b.key]["below"], found[b.key]["rows"], margin) for b in brackets]
+
+
+def narrow_large(values: DataFrame, brackets: list[Bracket], bracket_rows: int, margin: int) -> list[Bracket]:
+    """Narrow every bracket of many rows again and again, for as long as that helps.
+
+    Equal values are one row afterwards, so a bracket that cannot shrink is one of few distinct values.
+    """
+    while large := [b for b in brackets if b.rows > bracket_rows and b.low < b.high]:
+        cut = {b.key: b for b in narrow(values, large, margin)}
+        if all(cut[b.key].rows >= b.rows for b in large):
+            break
+        brackets = [cut.get(b.key, b) for b in brackets]
+    return brackets
 
 
 def ranked_values(values: DataFrame, brackets: Sequence[Bracket]) -> dict[tuple, float]:
@@ -147,18 +161,20 @@ def exact_quantiles(
 
     For few classes (their names reach the driver, as in label indexing). A bounded sketch brackets
     each wanted rank; only the values inside a bracket are counted and put in order. A bracket that
-    still holds many rows is narrowed again, so memory per task stays bounded.
+    still holds many rows is narrowed again, so memory per task stays bounded. Ranks that a bracket turns out not
+    to hold are looked for in wider ones.
     """
-    brackets = first_brackets(values, shares)
-    for _ in range(MAX_NARROWINGS):
-        large = [b for b in brackets if b.rows > bracket_rows and b.low < b.high]
-        if not large:
+    brackets, sketches = whole_brackets(values, shares)
+    answer: dict[tuple, float] = {}
+    for margin in GRID_MARGINS:
+        open_ones = [b for b in brackets if b.key not in answer]
+        if not open_ones:
             break
-        cut = {b.key: b for b in narrow(values, large)}
-        brackets = [cut.get(b.key, b) for b in brackets]
-    answer = ranked_values(values, brackets)
-    missed = [Bracket(b.group, b.variable, b.share, b.total, b.total) for b in brackets if b.key not in answer]
-    return answer | (ranked_values(values, missed) if missed else {})
+        if margin != GRID_MARGINS[0]:  # the sketch missed their ranks: start again with wider brackets
+            whole = [Bracket(*b.key, b.total, b.total) for b in open_ones]
+            open_ones = [b.narrowed(sketches[b.key[:2]]["grid"], 0, b.total, margin) for b in whole]
+        answer |= ranked_values(values, narrow_large(values, open_ones, bracket_rows, margin))
+    return answer
 
 
 def box_statistics(df: DataFrame, group: str = N.BINARY_COLUMN, variables: Sequence[str] = tuple(N.BOX_COLUMNS)) -> DataFrame:
