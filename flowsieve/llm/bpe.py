@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.values import col
-from flowsieve.llm.tables import filled, id_text, id_type
+from flowsieve.llm.tables import filled, id_text, id_type, sliced
 
 BLOCK_CHARACTERS = 6_000_000
 LEAST_BUCKETS = 64
@@ -82,7 +82,7 @@ def blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[by
         name.update("\0".join(numbers).encode())
         return name.digest(), pa.concat_arrays(owners), sequences, [w.encode() for w in numbers]
 
-    for batch in batches:
+    for batch in sliced(batches):
         texts, first = filled(batch.column("text")), 0
         for i, value in enumerate(texts):
             text = value.as_py()

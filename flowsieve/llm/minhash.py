@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions.values import col
 from flowsieve.llm.components import components, least_connected
 from flowsieve.llm.shingles import mixed, shingle_sets
-from flowsieve.llm.tables import filled, id_text, id_type, join_large_groups, stored
+from flowsieve.llm.tables import filled, id_text, id_type, join_large_groups, sliced, stored
 
 BANDS, ROWS = 32, 4
 SHIFTS = np.arange(1, BANDS * ROWS + 1, dtype=np.uint32)[:, None]
@@ -81,7 +81,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """One row per document: doc_id, text_hash, n_shingles, node (digest of the set) and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, nodes, bands = [], [], []
             for shingles in shingle_sets(filled(batch.column("text"))):
                 sizes.append(len(shingles))
@@ -119,7 +119,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             recent.move_to_end(node)
             return recent[node]
 
-        for batch in batches:
+        for batch in sliced(batches):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             text_a, text_b = filled(batch.column("text_a")), filled(batch.column("text_b"))
             good = [similar(of(a[i], text_a.slice(i, 1)), of(b[i], text_b.slice(i, 1)), percent) for i in range(batch.num_rows)]

@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsieve.llm.tables import filled, id_text, id_type, stored
+from flowsieve.llm.tables import filled, id_text, id_type, sliced, stored
 
 CAPACITY, END = 1024, 2
 ROWS_PER_TASK = 50_000
@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer_files: tuple[str, str, dict], capacity: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Byte50k(*tokenizer_files)
-        for batch in batches:
+        for batch in sliced(batches):
             owner, numbers, starts, lengths, sums = [], [], [], [], []
             for i, text in enumerate(filled(batch.column("text"))):
                 ids = np.append(encode(text.as_py()), np.uint32(end)).astype("<u4")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.values import col
 from flowsieve.llm.spans import Span, joined, private_spans, row_key, sha256_hex
-from flowsieve.llm.tables import filled, id_text, id_type, stored
+from flowsieve.llm.tables import filled, id_text, id_type, sliced, stored
 
 THRESHOLD, SUPPORT, BEGINNING = 0.95, 3, 3
 KINDS = ["email", "ip", "card", "phone", "general", "removed"]
@@ -64,7 +64,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     term = pa.struct([("term", pa.string()), ("places", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, value in zip(batch.column("doc_id").to_pylist(), filled(batch.column("text"))):
                 text = value.as_py()
@@ -89,7 +89,7 @@ def term_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for value in filled(batch.column("text")):
                 text = value.as_py()
                 words = words_outside(text, private_spans(text))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.llm.spans import Span, emails, private_spans, row_key, secret_spans, sha256_hex, joined
-from flowsieve.llm.tables import filled, id_text, id_type, stored
+from flowsieve.llm.tables import filled, id_text, id_type, sliced, stored
 
 SCOPE = 256
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "login": "identifier", "email": "identifier", "token": "secret", "host": "endpoint", "url": "endpoint", "ip": "endpoint"}
@@ -70,7 +70,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     part = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys, hashes, parts = [], [], []
             for doc_id, value in zip(batch.column("doc_id").to_pylist(), filled(batch.column("text"))):
                 text = value.as_py()

@@ -43,6 +43,13 @@ def filled(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts.cast(pa.large_string()), "")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that copies made along the way stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def ascii_lower(texts: pa.Array) -> pa.Array:
     """A-Z turned to a-z; every other code point stays."""
     return pc.ascii_lower(texts)

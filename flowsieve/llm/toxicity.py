@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.values import col
-from flowsieve.llm.tables import filled, id_text, id_type, raw_values, stored
+from flowsieve.llm.tables import filled, id_text, id_type, raw_values, sliced, stored
 
 LABELLED_ROWS = 40_000
 LEXICON = 5000
@@ -155,7 +155,7 @@ def with_features(docs: DataFrame, lexicons: list[dict[str, float]], more: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = [Weights(lexicon) for lexicon in lexicons]
-        for batch in batches:
+        for batch in sliced(batches):
             texts = filled(batch.column("text"))
             parts = batch.column("part").to_pylist() if len(weights) > 1 else [0] * len(texts)
             values = features_of(texts, [weights[p] for p in parts])
@@ -180,7 +180,7 @@ def learn_lexicons(docs: DataFrame) -> tuple[dict[str, float], list[dict[str, fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text, toxic, part in zip(filled(batch.column("text")), batch.column("toxic").to_pylist(), batch.column("part").to_pylist()):
                 words = set(WORD.findall(text.as_py().lower()))
                 counts.update({(t, toxic, part) for w in words for t in terms_of(w)})
