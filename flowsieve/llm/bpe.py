@@ -20,6 +20,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -172,8 +173,18 @@ def encode_words(lists: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return lists.groupBy("bucket").applyInArrow(run, "block binary, bucket bigint, sizes binary, ids binary")
 
 
-def reassemble(placed: DataFrame, encoded: DataFrame, kind: str) -> DataFrame:
-    """doc_id and ids of every document, from its block's positions and the ids of its block's words."""
+@dataclass(frozen=True)
+class IdLists:
+    """What is returned of each document: its ids. Subclasses turn the lists into other columns where they are made."""
+
+    schema = "ids array<int>"
+
+    def columns(self, ids: pa.Array) -> dict[str, pa.Array]:
+        return {"ids": ids}
+
+
+def reassemble(placed: DataFrame, encoded: DataFrame, kind: str, result: IdLists) -> DataFrame:
+    """doc_id and the result's columns for every document, from its block's positions and the ids of its block's words."""
 
     def run(own: pa.Table, lists: pa.Table) -> pa.Table:
         out = []
@@ -199,17 +210,17 @@ def reassemble(placed: DataFrame, encoded: DataFrame, kind: str) -> DataFrame:
         owners = [x.values for x in own["doc_ids"]]
         if not own.num_rows:
             raise ValueError("the documents were not the same when read again; store them first")
-        return pa.table({"doc_id": pa.concat_arrays(owners), "ids": pa.concat_arrays(arrays)})
+        return pa.table({"doc_id": pa.concat_arrays(owners), **result.columns(pa.concat_arrays(arrays))})
 
-    return placed.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(run, f"doc_id {kind}, ids array<int>")
+    return placed.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(run, f"doc_id {kind}, {result.schema}")
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id and ids, as the rank file's encoder gives them without special tokens."""
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", result: IdLists = IdLists()) -> DataFrame:
+    """One row per document: doc_id and ids, as the rank file's encoder gives them without special tokens, or what `result` makes of them."""
     plain = id_text(docs, id_column, text_column)
     buckets = max(LEAST_BUCKETS, 2 * docs.rdd.getNumPartitions())
     encoded = encode_words(word_lists(plain, pattern, buckets), ranks_path, pattern)
-    return reassemble(positions(plain, pattern, buckets), encoded, id_type(plain))
+    return reassemble(positions(plain, pattern, buckets), encoded, id_type(plain), result)
 
 
 # --- ids to bytes
@@ -246,10 +257,15 @@ def decimals(vocabulary: int) -> pa.Array:
     return pa.array([b"%d," % i for i in range(vocabulary)], pa.large_binary())
 
 
-def ids_sha256(ids: str, vocabulary: int) -> Column:
-    """SHA-256, in hex, of the ids in decimal, joined by commas."""
+@dataclass(frozen=True)
+class RoundTrip(IdLists):
+    """Number of ids, SHA-256 of the ids in decimal joined by commas, and SHA-256 of the bytes that they decode to."""
 
-    def run(lists: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(v[:-1] if len(v) else v).hexdigest() for v in joined_values(lists, decimals(vocabulary))], pa.string())
+    ranks_path: str
+    vocabulary: int
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
-    return F.arrow_udf(run, "string")(col(ids))
+    def columns(self, ids: pa.Array) -> dict[str, pa.Array]:
+        written = [hashlib.sha256(v[:-1] if len(v) else v).hexdigest() for v in joined_values(ids, decimals(self.vocabulary))]
+        decoded = [hashlib.sha256(v).hexdigest() for v in joined_values(ids, token_bytes(self.ranks_path))]
+        return {"n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_sha256": pa.array(written, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}

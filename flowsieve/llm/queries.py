@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm.bpe import bpe_decode, bpe_encode, ids_sha256
+from flowsieve.llm.bpe import RoundTrip, bpe_encode
 from flowsieve.llm.embedding_dedup import near_vectors
 from flowsieve.llm.exact_dedup import exact_dedup
 from flowsieve.llm.minhash import near_duplicates
@@ -115,10 +115,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks, vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), 50_256
-    encoded = bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = encoded.select("doc_id", "ids", bpe_decode("ids", ranks).alias("decoded"))
-    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_sha256("ids", vocabulary).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, result=RoundTrip(ranks, vocabulary=50_256))
 
 
 @query("op3_minhash_near_dedup")
