@@ -130,9 +130,9 @@ def decided_path(spark: SparkSession, sf: str) -> str:
 
 
 TRAINERS = {
-    "large": lambda df: train.train_forest_large(df, keys=NUMBER_KEY),
-    "light": lambda df: train.train_forest_light(df, keys=NUMBER_KEY),
-    "perceptron": lambda df: train.train_perceptron(df, named=N.FEATURES, keys=NUMBER_KEY),
+    "large": lambda df: train.train_forest_large(df, keys=NUMBER_KEY, cache=True),
+    "light": lambda df: train.train_forest_light(df, keys=NUMBER_KEY, cache=True),
+    "perceptron": lambda df: train.train_perceptron(df, named=N.FEATURES, keys=NUMBER_KEY, cache=True),
 }
 
 
