@@ -35,7 +35,34 @@ def cast_features(df: DataFrame, label: str = N.LABEL, keep: Sequence[str] = ())
 
 def keep_present(df: DataFrame, column: str) -> DataFrame:
     """Keep rows where the column is neither null nor NaN."""
-    return df.filter(col(column).isNotNull() & ~F.isnan(col(column)))
+    return df.filter(is_present(column))
+
+
+def is_finite_row(df: DataFrame, exclude: Iterable[str] = tuple(N.NOT_FEATURES)) -> Column:
+    """False or null for a row with a null, NaN or infinite value in any numeric column not excluded."""
+    columns = numeric_columns(df, exclude)
+    if not columns:
+        return F.lit(True)
+    magnitudes = [F.abs(col(c).cast("double")) for c in columns]
+    largest = F.greatest(*magnitudes) if len(magnitudes) > 1 else magnitudes[0]
+    return reduce(Column.__and__, [*(col(c).isNotNull() for c in columns), largest < INFINITY])
+
+
+def is_present(column: str) -> Column:
+    """False for a null or NaN value of the column."""
+    return col(column).isNotNull() & ~F.isnan(col(column))
+
+
+def row_report(df: DataFrame, kept: dict[str, Column]) -> DataFrame:
+    """(step, rows_before, rows_removed, rows_kept) of row filters given by name and condition, in one aggregate."""
+    counts = [
+        F.struct(
+            F.lit(step).alias("step"), F.count(F.lit(1)).alias("rows_before"),
+            (F.count(F.lit(1)) - F.count_if(condition)).alias("rows_removed"), F.count_if(condition).alias("rows_kept"),
+        )
+        for step, condition in kept.items()
+    ]
+    return df.agg(F.array(*counts).alias("steps")).select(F.inline("steps"))
 
 
 def drop_nonfinite_rows(df: DataFrame, exclude: Iterable[str] = tuple(N.NOT_FEATURES)) -> DataFrame:
@@ -44,12 +71,7 @@ def drop_nonfinite_rows(df: DataFrame, exclude: Iterable[str] = tuple(N.NOT_FEAT
     The null tests are one conjunction, which reaches the scan. The largest magnitude of the row then
     shows an infinity or a NaN, which sorts above it, in a single expression over all columns.
     """
-    columns = numeric_columns(df, exclude)
-    if not columns:
-        return df
-    magnitudes = [F.abs(col(c).cast("double")) for c in columns]
-    largest = F.greatest(*magnitudes) if len(magnitudes) > 1 else magnitudes[0]
-    return df.filter(reduce(Column.__and__, [col(c).isNotNull() for c in columns])).filter(largest < INFINITY)
+    return df.filter(is_finite_row(df, exclude))
 
 
 def fill_missing(df: DataFrame, label: str = N.LABEL) -> DataFrame:

@@ -163,3 +163,16 @@ def label_to_string(spark: SparkSession, sf: str) -> DataFrame:
     return cast.select("vec_id", "label")
 
 
+def report_sql(step: str, condition: str) -> str:
+    kept = f"count(*) FILTER (WHERE {condition})"
+    return f"SELECT '{step}' AS step, count(*) AS rows_before, count(*) - {kept} AS rows_removed, {kept} AS rows_kept FROM dirty"
+
+
+@query(
+    "row_report",
+    WITH_DIRTY + report_sql("present", "x IS NOT NULL AND NOT isnan(x)") + " UNION ALL " + report_sql("finite", "x IS NOT NULL AND isfinite(x) AND y IS NOT NULL"),
+)
+def row_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows before, removed and kept by two row filters, without running them one by one."""
+    rows = dirty(spark, sf)
+    return clean.row_report(rows, {"present": clean.is_present("x"), "finite": clean.is_finite_row(rows)})
