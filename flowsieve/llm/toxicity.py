@@ -35,7 +35,7 @@ from flowsieve.llm.tables import filled, id_text, id_type, raw_values, sliced, s
 
 LABELLED_ROWS = 40_000
 LEXICON = 5000
-COUNTED_TERMS = 1_000_000
+COUNTED_TERMS = 250_000
 PARTS = 5
 LEAST_DOCUMENTS = 4
 LEAST_RATIO, LEAST_Z = 6.0, 3.0
