@@ -2,64 +2,84 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
 from flowsieve.functions import names as N
+from flowsieve.functions.values import col
 from flowsieve.operators.clean import is_data_row
 
 SOURCE_FILE, COLUMNS_BEFORE, COLUMNS_DROPPED = "source_file", "columns_before", "columns_dropped"
 TRACE = (SOURCE_FILE, COLUMNS_BEFORE, COLUMNS_DROPPED)
-FIELDS = "__fields"
+# The header pass gives each file a task of its own, which stops at the header line.
+HEADER_PASS = {"spark.sql.files.maxPartitionBytes": 1 << 36, "spark.sql.files.openCostInBytes": 1 << 36, "spark.sql.execution.arrow.maxRecordsPerBatch": 16}
 
 
-def field(name: str) -> Column:
-    """A field of the row by its header name, as text; null where the row's file has no such column."""
-    if '"' in name:  # no path can quote it
-        return F.try_element_at(F.col(FIELDS).cast("map<string,string>"), F.lit(name))
-    return F.try_variant_get(FIELDS, f'$["{name}"]', "string")
+def read_csv(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """Files of one header, every column as string. With `columns` given, no file is opened for its names."""
+    reader = spark.read.option("header", True).option("inferSchema", False).option("__globPaths__", False)
+    if columns is not None:
+        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+    return reader.csv(list(paths))
 
 
-def header_names(rows: DataFrame) -> list[str]:
-    """All column names of all files, sorted: one pass over the files, a row per name to the driver."""
-    names = rows.select(F.explode(F.map_keys(F.col(FIELDS).cast("map<string,variant>"))).alias("name"))
-    return sorted(r["name"] for r in names.distinct().collect())
+def files_by_header(spark: SparkSession, folder: str, pattern: str = "*.csv") -> dict[str, list[str]]:
+    """Paths of the folder's CSV files by their header line: one job for any number of files, which reads only their beginnings."""
+
+    def first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, line in enumerate(batch.column("line").to_pylist()):
+                if line.strip():
+                    yield batch.slice(i, 1)
+                    return
+
+    own = spark.newSession()
+    for name, value in HEADER_PASS.items():
+        own.conf.set(name, str(value))
+    lines = own.read.option("pathGlobFilter", pattern).text(folder).select(F.col("value").alias("line"), "_metadata.file_path", "_metadata.file_block_start")
+    first = lines.filter("file_block_start = 0").select("file_path", "line").mapInArrow(first_line, "file_path string, line string")
+    groups: dict[str, list[str]] = defaultdict(list)
+    for path, line in sorted(tuple(r) for r in first.collect()):
+        groups[line].append(unquote(path))  # the metadata give it as a URI
+    return dict(sorted(groups.items()))
 
 
 def read_csv_folder(
     spark: SparkSession, folder: str, drop: Iterable[str] = tuple(N.RAW_DROP), pattern: str = "*.csv", columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """All files of a folder as one table of strings, without the columns to drop, in one scan for any number of files.
+    """All files of a folder as one table of strings, just as they are written, without the columns to drop.
 
-    Every row is keyed by its own file's header, so files may differ in columns and in their order. With
-    `columns` given, only these are looked for; otherwise the names are collected first. Each row carries its
-    file name and the column counts of its line. A field that reads as a plain number keeps its value, not its zeros.
+    Files may differ in columns and in their order: those with the same header line are one scan, so there are
+    as many scans as header lines, not files. With `columns` given, only these are read; one that a file lacks
+    is null there. Each row carries its file name and the column counts of its file's header.
     """
-    raw = spark.read.option("header", True).option("singleVariantColumn", FIELDS).option("pathGlobFilter", pattern).csv(folder)
-    if raw.isEmpty():
-        raise FileNotFoundError(f"no rows in {pattern} of {folder}")
+    shapes = [(read_csv(spark, paths[:1]).columns, paths) for paths in files_by_header(spark, folder, pattern).values()]
+    if not shapes:
+        raise FileNotFoundError(f"no header line in {pattern} of {folder}")
     unwanted = set(drop)
-    kept = [c for c in (columns if columns is not None else header_names(raw)) if c not in unwanted]
-    keys = F.map_keys(F.col(FIELDS).cast("map<string,variant>"))
-    return raw.select(
-        *[field(c).alias(c) for c in kept],
-        F.col("_metadata.file_name").alias(SOURCE_FILE),
-        F.size(keys).alias(COLUMNS_BEFORE),
-        F.size(F.array_intersect(keys, F.array(*[F.lit(c) for c in sorted(unwanted)]).cast("array<string>"))).alias(COLUMNS_DROPPED),
-    )
+    kept = [c for c in (columns if columns is not None else sorted({c for header, _ in shapes for c in header})) if c not in unwanted]
+    parts = [
+        read_csv(spark, paths, header).select(
+            *[(col(c) if c in header else F.lit(None).cast("string")).alias(c) for c in kept],
+            F.col("_metadata.file_name").alias(SOURCE_FILE),
+            F.lit(len(header)).alias(COLUMNS_BEFORE),
+            F.lit(len(unwanted & set(header))).alias(COLUMNS_DROPPED),
+        )
+        for header, paths in shapes
+    ]
+    return reduce(DataFrame.union, parts)
 
 
 def load_report(raw: DataFrame, label: str = N.LABEL) -> DataFrame:
-    """Rows read and removed, columns read and dropped, per source file, in one aggregate.
-
-    A file has as many columns as its fullest line.
-    """
+    """Rows read and removed, columns read and dropped, per source file, in one aggregate."""
     removed = ~F.coalesce(is_data_row(label), F.lit(False))
-    return raw.groupBy(SOURCE_FILE).agg(
-        F.max(COLUMNS_BEFORE).alias(COLUMNS_BEFORE),
-        F.max(COLUMNS_DROPPED).alias(COLUMNS_DROPPED),
+    return raw.groupBy(*TRACE).agg(
         F.count(F.lit(1)).alias("rows_before"),
         F.count_if(removed).alias("rows_removed"),
     )

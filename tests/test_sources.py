@@ -102,3 +102,21 @@ def test_odd_fields_keep_their_value(spark, tmp_path):
     rows = ingest.clean_raw(raw).select("x", "`it's a.b/c`", "Label").collect()
     assert [tuple(r) for r in rows] == [(7.0, 1.0, "Bot"), (math.inf, 8.0, "a,b"), (None, -math.inf, "true")]
     assert raw.filter("x = '1.5' and Label is null").count() == 1
+
+
+def test_fields_are_read_as_they_are_written(spark, tmp_path):
+    """No type is guessed, whatever the session zone; files of any name and header keep every character."""
+    odd = ["007", "1.10", "1e3", "TRUE", "true", "2018-02-14T08:31:00Z", "2018-02-14", "2018-02-14 08:31:00", "1.0", "010", "01", "1", "12345678901234567890123", "-0", " 8 "]
+    (tmp_path / "a [1].csv").write_text("x,Label\n" + "".join(f"{v},{v}\n" for v in odd))
+    (tmp_path / "b%20c.csv").write_text("\nLabel,\"y,z\",x\n" + "".join(f"{v},,{v}\n" for v in odd))
+    (tmp_path / "empty.csv").write_text("")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        raw = flow_csv.read_csv_folder(spark, str(tmp_path))
+        assert sorted(raw.columns) == sorted(["x", "Label", "y,z", *flow_csv.TRACE])
+        assert sorted(tuple(r) for r in raw.select("x", "Label").collect()) == sorted((v, v) for v in odd * 2)
+        report = {r["source_file"]: tuple(r)[1:] for r in flow_csv.load_report(raw).collect()}
+        assert sorted(report.values()) == [(2, 0, len(odd), 0), (3, 0, len(odd), 0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
