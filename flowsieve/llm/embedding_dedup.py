@@ -3,11 +3,11 @@
 Every vector, scaled to length one, is projected on `PROJECTIONS` random directions. Two vectors collide on
 one if their values are at most a window apart; the window is centred on the query. Of a pair at the least cosine the
 differences are normal with the pair's distance as deviation, so the number of collisions is binomial; the
-least count that a pair must reach is calibrated so that at most `MISSED` of such pairs stay below it (closer
-pairs collide more). Pairs that reach it are verified by their cosine in double precision.
+least count that a pair must reach is calibrated so that at most `MISSED` of such pairs stay below it or are lost
+by the ordering below (closer pairs collide more). Pairs that reach it are verified by their cosine in double precision.
 
 The first projection also orders the work: vectors are sorted by it into runs of about `RUN` vectors
-(a place where more meet is split by a hash), and only runs within four deviations of each other meet, two at a
+(a place where more meet is split by a hash), and only runs within `ORDER_DEVIATIONS` of each other meet, two at a
 time. Tasks hold two runs, count collisions in arrays, and return a row per vector: its links there and
 the least vector it is connected to, so that dense groups do not become pairs. Equal vectors are one class.
 For vectors without any structure one projection excludes only about a third of all pairs: the work then grows
@@ -35,7 +35,7 @@ from flowsieve.llm.tables import id_type, join_large_groups, stored
 
 PROJECTIONS, RUN, TILE = 24, 4096, 512
 MISSED = 1e-5
-WINDOW_DEVIATIONS, ORDER_DEVIATIONS = 2.0, 4.0
+WINDOW_DEVIATIONS, ORDER_DEVIATIONS = 2.0, 4.8
 BINS, SPAN, UNITS = 4096, 8.0, 1000
 
 
@@ -44,9 +44,9 @@ def directions(dim: int) -> np.ndarray:
 
 
 def least_collisions(missed: float = MISSED) -> int:
-    """The largest count that all but `missed` of the pairs at the least cosine reach."""
+    """The largest count with which all but `missed` of the pairs at the least cosine reach it and are met at all."""
     p = math.erf(WINDOW_DEVIATIONS / math.sqrt(2))
-    below = 0.0
+    below = math.erfc(ORDER_DEVIATIONS / math.sqrt(2))  # too far apart on the first projection to meet
     for k in range(PROJECTIONS + 1):
         below += math.comb(PROJECTIONS, k) * p**k * (1 - p) ** (PROJECTIONS - k)
         if below > missed:

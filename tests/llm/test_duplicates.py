@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -132,6 +133,33 @@ def test_near_vectors_across_runs(spark, monkeypatch):
     assert rows_of(found, "vec_id", "n_links", "component_id", "kept") == vectors_by_hand(rows, 0.95)
 
 
+def test_near_vectors_far_apart_in_the_order(spark, monkeypatch):
+    """A pair 4.5 deviations apart on the first projection, in runs of one vector, collides on enough others to be linked."""
+    monkeypatch.setattr(embedding_dedup, "RUN", 1)
+    lines, rng, apart = embedding_dedup.directions(32), np.random.default_rng(8), math.sqrt(0.098)
+    first = lines[:, 0] / np.linalg.norm(lines[:, 0])
+    share = 4.5 / np.linalg.norm(lines[:, 0])
+    while True:
+        other, middle = rng.standard_normal((2, 32))
+        other -= (other @ first) * first
+        step = apart * (share * first + math.sqrt(1 - share**2) * other / np.linalg.norm(other))
+        middle -= (middle @ step) / (step @ step) * step
+        middle *= math.sqrt(1 - apart**2 / 4) / np.linalg.norm(middle)
+        pair = np.array([middle - step / 2, middle + step / 2])
+        if len(embedding_dedup.verified_links(pair, pair, True, 0.95)[0]):
+            break
+    assert abs((pair[1] - pair[0]) @ lines[:, 0]) > 4.4 * math.sqrt(0.1)
+    rows = list(enumerate(pair.tolist()))
+    found = embedding_dedup.near_vectors(frame(spark, rows, "vec_id bigint, embedding array<double>"))
+    assert rows_of(found, "vec_id", "n_links", "component_id", "kept") == vectors_by_hand(rows, 0.95)
+
+
+def test_both_losses_of_near_vectors_are_bounded():
+    p = math.erf(embedding_dedup.WINDOW_DEVIATIONS / math.sqrt(2))
+    few = sum(math.comb(24, k) * p**k * (1 - p) ** (24 - k) for k in range(embedding_dedup.least_collisions()))
+    assert few + math.erfc(embedding_dedup.ORDER_DEVIATIONS / math.sqrt(2)) <= embedding_dedup.MISSED
+
+
 def test_empty_tables(spark):
     for found in (exact_dedup(no_docs(spark)), keep_one(no_docs(spark)), minhash.near_duplicates(no_docs(spark)), minhash.keep_representatives(no_docs(spark))):
         assert found.count() == 0
