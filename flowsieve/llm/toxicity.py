@@ -1,6 +1,7 @@
 """Toxicity scores: gradient-boosted trees over a few dense features of each text, calibrated isotonically.
 
-The labelled rows are dealt to five parts by a hash of their id. A lexicon holds words, and beginnings of
+The labelled rows are dealt to five parts by a hash of their id, the first fifth of each class in its order to
+the part for calibration, so that both sides hold both classes if each has two labelled documents. A lexicon holds words, and beginnings of
 words, that toxic texts hold much more often than others. Dense features (`FEATURES`) of a labelled row use
 the lexicon of the other parts: densities of lexicon hits, how close they stand to second-person words,
 capitals, punctuation and disguised words. Four parts train the trees, the fifth fits the isotonic map from
@@ -9,8 +10,8 @@ source and labels are no inputs of a score.
 
 `labelled_rows` bounds the labelled documents that are read for fitting: beyond it each is drawn with
 probability bound / count by a hash of the id. The lexicon is bounded by `LEXICON`. Labels: one per id (the
-largest where it repeats), null labels are left out. Null text is the empty text. Without labels of both
-classes every score is the share of toxic labels (0 without labels). Rows that repeat get the same score.
+largest where it repeats), null labels are left out. Null text is the empty text. Without two labelled
+documents of each class every score is the share of toxic labels (0 without labels), and `keep_clean` keeps all. Rows that repeat get the same score.
 An empty table gives no rows. Other columns are not read.
 """
 
@@ -253,9 +254,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / float(1 << 53)
     count = one.count()
     sample = F.broadcast(one.filter(draw < labelled_rows / max(1, count)))  # at most about `labelled_rows` short rows
-    part = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(PARTS))
-    used = stored(id_text(docs, id_column, text_column).join(sample, "doc_id").select("doc_id", "text", "toxic", part.alias("part")), "labelled")
+    dealt = F.xxhash64(F.lit(seed + 1), "doc_id")
+    place = F.shiftrightunsigned(dealt, 11).cast("double").alias("place")
+    used = stored(id_text(docs, id_column, text_column).join(sample, "doc_id").select("doc_id", "text", "toxic", place, (F.pmod(dealt, F.lit(PARTS - 1)) + 1).alias("part")), "labelled")
     seen = {r["toxic"]: r["n"] for r in used.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # Of n >= 2 distinct places in a class, at least one and never all are below the quantile.
+    bounds = {r["toxic"]: r["bound"] for r in used.select("toxic", "place").distinct().groupBy("toxic").agg(F.percentile("place", F.lit(1 / PARTS)).alias("bound")).collect()}
+    bound = F.when(F.col("toxic") == 1, F.lit(bounds.get(1, 0.0))).otherwise(F.lit(bounds.get(0, 0.0)))
+    used = used.select("doc_id", "text", "toxic", F.when(F.col("place") < bound, F.lit(0)).otherwise(F.col("part")).cast("bigint").alias("part"))
     share = seen.get(1, 0) / max(1, sum(seen.values()))
     lexicon, by_part = learn_lexicons(used)
     rows = stored(with_features(used, by_part, "toxic int,part bigint"), "toxic-features")
@@ -283,6 +289,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
-    """The documents, all columns as they were, without those scored at or above the threshold."""
+    """The documents, all columns as they were, without those scored at or above the threshold; all if no model can be fitted."""
     model = fit_toxicity(docs, labels.filter(~held_out(col(id_column))), id_column, text_column, **settings)
+    if model.trees is None:
+        return docs
     return model.with_score(docs, "__score", text_column).filter(F.col("__score") < THRESHOLD).select(*[col(c) for c in docs.columns])

@@ -318,6 +318,18 @@ def test_toxicity_edge_cases(spark):
     assert {r["score"] for r in toxicity.toxicity(edge_docs(spark), table.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_is_fitted_with_few_labels(spark):
+    """Toxic labels that the plain fifth by hash would miss, then two of each class, then one class alone."""
+    docs, labels = labelled(150)
+    texts, table = frame(spark, docs), frame(spark, labels, "doc_id bigint, toxic int")
+    few = table.filter("toxic = 0 or pmod(xxhash64(12, doc_id), 5) > 0")
+    model = toxicity.fit_toxicity(texts, few)
+    assert model.trees is not None and len({r["score"] for r in model.score(texts).collect()}) > 1
+    assert toxicity.fit_toxicity(texts, table.filter("doc_id in (0, 1, 2, 6)")).trees is not None
+    assert toxicity.fit_toxicity(texts, table.filter("doc_id in (0, 1, 2)")).trees is None
+    assert toxicity.keep_clean(texts, table.filter("toxic = 1")).count() == 150
+
+
 def test_toxicity_features_see_disguise_and_second_person():
     weights = toxicity.Weights({"dolt": 2.0, "grob*": 1.0})
     names = dict(zip(toxicity.FEATURES, toxicity.features_of(toxicity.filled(toxicity.pa.array(["YOU grobian d0lt doooolt!!"])), [weights])[0]))
