@@ -8,7 +8,8 @@ Captures are reduced to their distinct (host, day) first, so a host with a third
 rows as it has days. Intervals are cut into cells of `CELL` days; host suffixes meet them by equality of
 pattern and cell, and the exact bounds decide. The list is broadcast only if its counted cells are few.
 
-A null or malformed URL, or a null day, has no verdict and is not blocked. Of changes to one pattern on one
+The host stands after user information (`name:word@`) and before a port; a final dot, as in `x.org.`, is no part
+of it, nor of a pattern. A null or malformed URL, or a null day, has no verdict and is not blocked. Of changes to one pattern on one
 day, an addition beats a removal and 'block' beats 'allow'. Null patterns or days in the log are left out.
 Repeated captures each get their row. An empty log blocks nothing; no captures give no rows. Other columns
 are not read.
@@ -24,13 +25,13 @@ from flowsieve.functions.values import col
 from flowsieve.llm.tables import stored
 
 CELL = 32
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?+([^/?#:@]+?)\.?(?:[/?#:]|\z)"
 
 
 def intervals(log: DataFrame) -> DataFrame:
     """pattern, verdict, day, until from the log's pattern, day, action (add or remove), verdict (block or allow)."""
     rank = F.when(F.col("action") == "add", 2).otherwise(0) + F.when(F.col("verdict") == "block", 1).otherwise(0)
-    known = log.filter(F.col("pattern").isNotNull() & F.col("day").isNotNull()).select(F.lower("pattern").alias("pattern"), F.col("day").cast("int").alias("day"), rank.alias("rank"))
+    known = log.filter(F.col("pattern").isNotNull() & F.col("day").isNotNull()).select(F.regexp_replace(F.lower("pattern"), r"\.$", "").alias("pattern"), F.col("day").cast("int").alias("day"), rank.alias("rank"))
     one = known.groupBy("pattern", "day").agg(F.max("rank").alias("rank"))
     until = F.lead("day").over(Window.partitionBy("pattern").orderBy("day"))
     return one.withColumn("until", until).filter("rank >= 2").select("pattern", F.when(F.col("rank") == 3, "block").otherwise("allow").alias("verdict"), "day", "until")

@@ -275,6 +275,20 @@ def test_urls_against_the_definition(spark):
     assert url_filter.filter_urls(captures.limit(0), changes).count() == 0
 
 
+def test_hosts_after_user_information_and_before_a_final_dot(spark):
+    hosts = {
+        "http://good.example.com@bad.example.com/": "bad.example.com", "http://user:pw@BAD.example.com:80/": "bad.example.com", "http://a@b@bad.example.com?q": "bad.example.com",
+        "http://bad.example.com.": "bad.example.com", "http://bad.example.com.:80/x": "bad.example.com", "http://user@sub.bad.example.com./": "sub.bad.example.com",
+        "http://good.example.com/@bad.example.com/": "good.example.com", "http://good.example.com?u=a@bad.example.com": "good.example.com", "http://good.example.com#@bad.example.com": "good.example.com",
+        "http://bad.example.com": "bad.example.com", "http://bad.example.com@/": None, "http://user:pw@": None, "http://": None,
+    }
+    captures = frame(spark, [(i, url, 5) for i, url in enumerate(hosts)], "page_id bigint, url string, fetch_day int")
+    for pattern in ("bad.example.com", "bad.example.com."):
+        log = frame(spark, [(pattern, 1, "add", "block")], "pattern string, day int, action string, verdict string")
+        found = {r["url"]: (r["host"], r["blocked"]) for r in url_filter.filter_urls(captures, log).collect()}
+        assert found == {url: (host, host is not None and "bad" in host) for url, host in hosts.items()}
+
+
 # --- toxicity
 
 
