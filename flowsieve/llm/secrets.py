@@ -6,6 +6,10 @@ address (identifier), a token that looks random (secret), a host with port, a UR
 A weak part is reported only if a complementary part stands in its scope: the same document, starts at most
 `scope` code points apart. A weak secret needs an identifier or an endpoint, the other two need a secret.
 
+Left out as weak parts: secrets of fewer than 16 characters, of one kind of letter with hardly a digit (a passphrase,
+say), or with too few bits a character; hosts without a numeric port unless in a URL; URLs whose scheme is not of 2
+to 10 lower-case letters; IPv6 addresses.
+
 The interval join goes by cells of `scope` code points. For each document, role and cell only the first and
 last start are kept; these decide for the cells next to a candidate's, and any part in its own cell is
 in scope. So a candidate meets at most six rows, however many parts a text holds.
@@ -38,16 +42,18 @@ LOGIN = re.compile(r"(?<![A-Za-z])(?:user(?:_?name|_?id)?|login|account|client_?
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 URL = re.compile(r"(?<![a-z])[a-z]{2,10}://[^\s\"'<>]++")
 HOST = re.compile(r"(?<![A-Za-z0-9.-])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++:[0-9]{2,5}(?![0-9])")
-LEAST_ENTROPY = 3.2
+# The kind of character changes inside a word: between letters and digits, or of case other than after a leading capital.
+CHANGE = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z][A-Z])(?=[a-z])")
+LEAST_ENTROPY, ENTROPY_SHARE, CHANGES_SHARE = 3.2, 0.7, 1 / 6
 
 
 def looks_random(token: str) -> bool:
-    """Letters and at least three digits, and as many bits a character as drawn ones have."""
-    digits = sum(c.isdigit() for c in token)
-    if digits < 3 or digits == len(token):
+    """Enough bits a character for the length, and letters mixed with three digits or with other kinds of character often enough."""
+    n, digits = len(token), sum(c.isdigit() for c in token)
+    if digits == n or not (digits >= 3 or sum(1 for _ in CHANGE.finditer(token)) >= CHANGES_SHARE * n):
         return False
     counts = Counter(token).values()
-    return -sum(n / len(token) * math.log2(n / len(token)) for n in counts) >= LEAST_ENTROPY
+    return -sum(k / n * math.log2(k / n) for k in counts) >= min(LEAST_ENTROPY, ENTROPY_SHARE * math.log2(n))
 
 
 def weak_spans(text: str, strong: list[Span]) -> list[Span]:

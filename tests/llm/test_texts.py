@@ -124,6 +124,18 @@ def test_secrets_edge_cases(spark):
     assert secrets.find_secrets(no_docs(spark)).count() == 0
 
 
+def test_random_tokens_with_few_digits_are_candidates(spark):
+    rng = random.Random(9)
+    for alphabet, least in (("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.97), ("abcdefghijklmnopqrstuvwxyz0123456789", 0.9), ("0123456789abcdef", 0.9)):
+        for n in (16, 20, 32):
+            assert sum(secrets.looks_random("".join(rng.choices(alphabet, k=n))) for _ in range(2000)) >= least * 2000
+    for word in ("internationalization", "well-known-compound-words", "1234567890123456", "JavaScriptObjectNotation", "com/section-2/introduction", "INTERNATIONALIZATION", "to-be-or-not-to-be-that"):
+        assert not secrets.looks_random(word)
+    text = "user=alice https://db.example.com/x ZkTxQGhpLmNvRwBs"
+    found = secret_rows(secrets.find_secrets(frame(spark, [(1, text), (2, "ZkTxQGhpLmNvRwBs")])))
+    assert "token:36:52" in found[0][2] and found[1][2] == ""
+
+
 # --- packing
 
 
