@@ -128,12 +128,12 @@ def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
 # --- the operator
 
 
-def plan_table(df: DataFrame, plan: list[tuple[int, ...]]) -> DataFrame:
+def plan_table(df: DataFrame, plan: list[tuple[int, ...]], fields: list[str] = RANGE_FIELDS) -> DataFrame:
     """The plan as a table of fixed schema, through a literal: a few thousand rows at most."""
     rows = "[" + ",".join("[" + ",".join(map(str, r)) + "]" for r in plan) + "]"
     parsed = F.from_json(F.lit(rows), "array<array<bigint>>")
     one = df.sparkSession.range(1).select(F.explode(parsed).alias("r"))
-    return one.select(*[F.col("r")[i].alias(name) for i, name in enumerate(RANGE_FIELDS)])
+    return one.select(*[F.col("r")[i].alias(name) for i, name in enumerate(fields)])
 
 
 def with_rank(cut_pieces: DataFrame, total: int) -> DataFrame:

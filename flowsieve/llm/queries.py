@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsieve.llm.balanced_packing import balanced_pack
 from flowsieve.llm.bpe import RoundTrip, bpe_encode
 from flowsieve.llm.embedding_dedup import near_vectors
 from flowsieve.llm.exact_dedup import exact_dedup
+from flowsieve.llm.manifest import leaf_digest, manifest
 from flowsieve.llm.minhash import near_duplicates
 from flowsieve.llm.packing import pack
 from flowsieve.llm.pii import find_private
@@ -127,3 +129,18 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_embedding_near_dedup")
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+@query("op12_merkle_manifest")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh id, by its checksum, claims one more character than its document has."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(1)).otherwise(F.lit(0))
+    n_chars = (F.col("n_chars").cast("decimal(20,0)") + tampered).cast("decimal(20,0)")
+    leaf, claimed = (leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")]) for n in (F.col("n_chars"), n_chars))
+    return manifest(docs, "doc_id", "lang", leaf, claimed).withColumnsRenamed({"leaf_id": "doc_id", "tree_group": "lang"})
+
+
+@query("op13_balanced_packing")
+def op13_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_pack(table(spark, sf_dir, "documents"), byte_50k_files())
