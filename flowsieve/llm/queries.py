@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.llm.balanced_packing import balanced_pack
 from flowsieve.llm.bpe import RoundTrip, bpe_encode
+from flowsieve.llm.conversation_repair import diagnosed, digests, repaired
 from flowsieve.llm.embedding_dedup import near_vectors
 from flowsieve.llm.exact_dedup import exact_dedup
 from flowsieve.llm.manifest import leaf_digest, manifest
@@ -16,6 +17,7 @@ from flowsieve.llm.packing import pack
 from flowsieve.llm.pii import find_private
 from flowsieve.llm.secrets import find_secrets
 from flowsieve.llm.sharding import shuffle_shards
+from flowsieve.llm.tables import stored
 from flowsieve.llm.toxicity import toxicity
 from flowsieve.llm.url_filter import filter_urls
 from flowsieve.queries.registry import query, table
@@ -144,3 +146,27 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_balanced_packing")
 def op13_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_pack(table(spark, sf_dir, "documents"), byte_50k_files())
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a checksum of conversation and turn; null stands as one space."""
+    known = conversations.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    spot = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    fault = F.crc32(spot) % 20
+    text = F.when(fault == 1, F.lit("")).when(fault == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(fault == 4, F.lit("user")).otherwise(F.col("role"))
+    changed = known.filter(fault != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(fault == 3, 2).otherwise(1).alias("times"))
+    return changed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "copy")
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = damaged(conversations)
+    found = stored(diagnosed(rows), "diagnosed")
+    sums = digests(repaired(rows, found.select("conv_id", "audit")))
+    every = conversations.select("conv_id").distinct()
+    every = every.join(found.withColumnRenamed("conv_id", "found_id"), F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
+    every = every.join(sums.withColumnRenamed("conv_id", "sum_id"), F.col("conv_id").eqNullSafe(F.col("sum_id")), "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
