@@ -26,6 +26,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +46,19 @@ RANGE_FIELDS = ["unit_length", "first", "last", "cut", "taken", "sequence", "off
 # --- units: documents as tokens, in parts of one sequence's length at most
 
 
+@lru_cache(maxsize=1)
+def encoder(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...]) -> Byte50k:
+    """One encoder for all tasks of a worker."""
+    return Byte50k(ranks_path, pattern, dict(added))
+
+
 def units(docs: DataFrame, tokenizer_files: tuple[str, str, dict], capacity: int, end: int, id_column: str, text_column: str, vocabulary: int) -> DataFrame:
     """doc_id, doc_tokens, start, unit_length, unit_crc32, ids, and the unit's number `place` among those of its length in the task `part`."""
     narrow = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    ranks_path, pattern, added = tokenizer_files[0], tokenizer_files[1], tuple(tokenizer_files[2].items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, part = Byte50k(*tokenizer_files), Counter(), TaskContext.get().partitionId()
+        encode, seen, part = encoder(ranks_path, pattern, added), Counter(), TaskContext.get().partitionId()
         for batch in sliced(batches):
             owner, kept, columns = [], [], [[] for _ in range(5)]
             for i, text in enumerate(filled(batch.column("text"))):
