@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
@@ -14,23 +15,32 @@ from pyspark.sql import functions as F
 from flowsieve.functions import names as N
 from flowsieve.functions.values import col
 from flowsieve.operators.clean import is_data_row
+from flowsieve.sources.ledger import PATH, plain_path
 
 SOURCE_FILE, COLUMNS_BEFORE, COLUMNS_DROPPED = "source_file", "columns_before", "columns_dropped"
 TRACE = (SOURCE_FILE, COLUMNS_BEFORE, COLUMNS_DROPPED)
+LANE, RECORD = "lane", "malformed_record"
+# The lanes of read rows, and what their numbers are called in reports.
+LANES = {"header": "repeated_headers", "unlabelled": "unlabelled", "malformed": "malformed", "data": "rows_kept"}
 # The header pass gives each file a task of its own, which stops at the header line.
 HEADER_PASS = {"spark.sql.files.maxPartitionBytes": 1 << 36, "spark.sql.files.openCostInBytes": 1 << 36, "spark.sql.execution.arrow.maxRecordsPerBatch": 16}
 
 
+def literal(path: str) -> str:
+    """The path as a pattern that matches this name only, as readers take paths as patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def read_csv(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """Files of one header, every column as string. With `columns` given, no file is opened for its names."""
-    reader = spark.read.option("header", True).option("inferSchema", False).option("__globPaths__", False)
+    reader = spark.read.option("header", True).option("inferSchema", False)
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    return reader.csv(list(paths))
+    return reader.csv([literal(p) for p in paths])
 
 
-def files_by_header(spark: SparkSession, folder: str, pattern: str = "*.csv") -> dict[str, list[str]]:
-    """Paths of the folder's CSV files by their header line: one job for any number of files, which reads only their beginnings."""
+def files_by_header(spark: SparkSession, folder: str | Sequence[str], pattern: str = "*.csv") -> dict[str, list[str]]:
+    """Paths of a folder's CSV files, or of the named ones, by their header line: one job for any number of files, which reads only their beginnings."""
 
     def first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,7 +52,8 @@ def files_by_header(spark: SparkSession, folder: str, pattern: str = "*.csv") ->
     own = spark.newSession()
     for name, value in HEADER_PASS.items():
         own.conf.set(name, str(value))
-    lines = own.read.option("pathGlobFilter", pattern).text(folder).select(F.col("value").alias("line"), "_metadata.file_path", "_metadata.file_block_start")
+    files = own.read.option("pathGlobFilter", pattern).text(folder) if isinstance(folder, str) else own.read.text([literal(p) for p in folder])
+    lines = files.select(F.col("value").alias("line"), "_metadata.file_path", "_metadata.file_block_start")
     first = lines.filter("file_block_start = 0").select("file_path", "line").mapInArrow(first_line, "file_path string, line string")
     groups: dict[str, list[str]] = defaultdict(list)
     for path, line in sorted(tuple(r) for r in first.collect()):
@@ -76,6 +87,33 @@ def read_csv_folder(
     return reduce(DataFrame.union, parts)
 
 
+def read_csv_lanes(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], drop: Iterable[str] = tuple(N.RAW_DROP), label: str = N.LABEL) -> DataFrame:
+    """The named files as strings, one scan per header line, every row with its lane, its file's path and its file's column counts.
+
+    Lanes: `malformed` (a row with too few or too many fields, whose text is kept in `record`), `header` (the header line
+    once more), `unlabelled` and `data`. Columns that a file lacks are null.
+    """
+    parts = []
+    for header_paths in files_by_header(spark, paths).values():
+        header = read_csv(spark, header_paths[:1]).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, RECORD]])
+        reader = spark.read.options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD, columnPruning=False)  # the number of fields is only known if all are read
+        lane = (
+            F.when(col(RECORD).isNotNull(), "malformed").when(col(label) == label, "header").when(col(label).isNull(), "unlabelled").otherwise("data")
+            if label in header
+            else F.when(col(RECORD).isNotNull(), "malformed").otherwise("unlabelled")
+        )
+        parts.append(
+            reader.schema(schema).csv([literal(p) for p in header_paths]).select(
+                *[(col(c) if c in header else F.lit(None).cast("string")).alias(c) for c in columns],
+                plain_path(F.col("_metadata.file_path")).alias(PATH), lane.alias(LANE), col(RECORD),
+                F.lit(len(header)).alias(COLUMNS_BEFORE), F.lit(len(set(drop) & set(header))).alias(COLUMNS_DROPPED),
+            )
+        )
+    nothing = T.StructType([*(T.StructField(c, T.StringType()) for c in (*columns, PATH, LANE, RECORD)), *(T.StructField(c, T.IntegerType()) for c in (COLUMNS_BEFORE, COLUMNS_DROPPED))])
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], nothing)
+
+
 def load_report(raw: DataFrame, label: str = N.LABEL) -> DataFrame:
     """Rows read and removed, columns read and dropped, per source file, in one aggregate."""
     removed = ~F.coalesce(is_data_row(label), F.lit(False))
