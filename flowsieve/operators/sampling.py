@@ -126,3 +126,50 @@ def balance_keyed(
     fraction = F.least(F.lit(1.0), F.try_divide(F.lit(float(target)), majority_rows))
     kept = (col(label) != majority) | below(key_draw(keys, seed), fraction)
     return df.filter(col(label).isNotNull() & kept)
+
+
+def draw_histogram(drawn: DataFrame, label: str, low_bits: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(label, bucket, n): rows of each class by the 16 bits of their draw above `low_bits`; with `wanted`, only those in its bucket of their class."""
+    bucket = F.shiftright(F.col(DRAW), low_bits).bitwiseAND(DRAW_BUCKETS - 1)
+    rows = drawn if wanted is None else drawn.join(F.broadcast(wanted), label).filter(F.shiftright(F.col(DRAW), low_bits + 16) == F.col("bucket")).drop("bucket")
+    return rows.groupBy(col(label).alias(label), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cut_buckets(histogram: DataFrame, label: str, targets: dict) -> dict:
+    """For each class with more rows than its target: the bucket in which the target falls, and how many of its rows are still wanted."""
+    upto = F.sum("n").over(Window.partitionBy(label).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))  # at most DRAW_BUCKETS rows a class
+    target = F.coalesce(*[F.when(col(label) == F.lit(name), F.lit(rows)) for name, rows in targets.items()])
+    over = histogram.withColumn("upto", upto).withColumn("target", target).filter("upto > target")
+    first = over.groupBy(col(label).alias(label)).agg(F.min_by(F.struct("bucket", (F.col("target") - F.col("upto") + F.col("n")).alias("left")), "bucket").alias("cut"))
+    return {r[label]: (r["cut"]["bucket"], r["cut"]["left"]) for r in first.collect()}
+
+
+def balance_exact(
+    df: DataFrame, keys: Sequence[str], label: str = N.LABEL, targets: dict | None = None, seed: int = SAMPLE_SEED
+) -> DataFrame:
+    """Each class cut to exactly its target, or whole if it has no more rows; by default only the majority class has one.
+
+    The rows of a class that stay are those with its lowest draws. Two histograms of draws, of all classes at once, find the last
+    draw of each class: three scans for any number of rows and classes with targets. Rows below their class's cut pass a plain filter;
+    only rows with exactly the cut draw are ranked, by key and content. Null labels are in no class.
+    """
+    targets = {N.MAJORITY: N.BALANCE_TARGET} if targets is None else targets
+    labelled = df.filter(col(label).isNotNull())
+    if not targets:
+        return labelled
+    drawn = labelled.withColumn(DRAW, key_draw(keys, seed))
+    named = drawn.filter(col(label).isin(list(targets))).select(col(label).alias(label), DRAW)
+    coarse = cut_buckets(draw_histogram(named, label, 16), label, targets)
+    if not coarse:
+        return labelled
+    spark, kind = df.sparkSession, df.schema[label].dataType.simpleString()
+    wanted = spark.createDataFrame([(name, bucket) for name, (bucket, _) in coarse.items()], f"`{label}` {kind}, bucket bigint")
+    fine = cut_buckets(draw_histogram(named, label, 0, wanted), label, {name: left for name, (_, left) in coarse.items()})
+    # Without a finer cut the whole bucket is wanted.
+    cuts = {name: ((bucket << 16) + fine[name][0], fine[name][1]) if name in fine else ((bucket + 1) << 16, 0) for name, (bucket, _) in coarse.items()}
+    cut = F.coalesce(*[F.when(col(label) == F.lit(name), F.lit(at)) for name, (at, _) in cuts.items()], F.lit(DRAW_RANGE))
+    left = F.coalesce(*[F.when(col(label) == F.lit(name), F.lit(n)) for name, (_, n) in cuts.items()])
+    content = F.xxhash64(*[col(c) for c in df.columns])
+    place = F.row_number().over(Window.partitionBy(col(label)).orderBy(*[col(k) for k in keys], content))
+    tied = drawn.filter(F.col(DRAW) == cut).withColumn("__place", place).filter(F.col("__place") <= left).drop("__place")
+    return drawn.filter(F.col(DRAW) < cut).unionByName(tied).drop(DRAW)

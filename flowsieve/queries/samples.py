@@ -139,3 +139,16 @@ def balance_native(spark: SparkSession, sf: str) -> DataFrame:
     counts = profile.class_counts(sampling.balance(everything, target=TARGET), N.LABEL)
     is_majority, wanted = F.col(N.LABEL) == N.MAJORITY, F.least(majority, F.lit(TARGET))
     return counts.select(N.LABEL, F.when(~is_majority, F.col("n")).alias("n"), (~is_majority | F.col("n").between(0.9 * wanted, 1.1 * wanted)).alias("in_bounds"))
+
+
+EXACT = {"Benign": TARGET, "Flood": 700, "Scan": 1_000_000_000}
+EXACT_SQL = "CASE \"Label\" " + " ".join(f"WHEN '{name}' THEN {rows}" for name, rows in EXACT.items()) + " ELSE 9000000000 END"
+
+
+@query(
+    "balance_exact",
+    WITH_FLOWS + f'SELECT {KEY}, "Label" FROM flows WHERE "Label" IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "Label" ORDER BY {draw_sql([KEY])}, {KEY}) <= {EXACT_SQL}',
+)
+def balance_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Two classes cut to exact numbers of rows, one with fewer rows than its target, one without."""
+    return sampling.balance_exact(flows(spark, sf), [KEY], targets=EXACT).select(KEY, N.LABEL)

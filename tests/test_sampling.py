@@ -82,3 +82,31 @@ def test_balance_without_majority(rows):
 def test_head_sample_by_order(rows):
     assert ids(sampling.head_sample(rows.repartition(5), 7, ["id"])) == list(range(7))
     assert sampling.head_sample(rows, 7).count() == 7
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(target=st.integers(0, 4500), small=st.integers(0, 600))
+def test_exact_balance_takes_the_lowest_draws(rows, target, small):
+    targets = {"Benign": target, "Bot": small}
+    kept = sampling.balance_exact(rows, ["id"], targets=targets)
+    drawn = rows.select("id", "Label", key_draw(["id"], sampling.SAMPLE_SEED).alias("draw")).collect()
+    expected = set()
+    for name in {r["Label"] for r in drawn} - {None}:
+        own = sorted((r["draw"], r["id"]) for r in drawn if r["Label"] == name)
+        expected |= {i for _, i in own[: targets.get(name, len(own))]}
+    assert sorted(ids(kept)) == sorted(expected) and kept.columns == rows.columns
+
+
+def test_exact_balance_with_one_key_for_all(spark):
+    """All rows share their draw, and half of them are equal; the number is exact all the same, and the same rows stay."""
+    df = spark.createDataFrame([(1, "Benign", i // 2) for i in range(100)], "k int, Label string, v int").repartition(7)
+    kept = [sorted(r["v"] for r in sampling.balance_exact(part, ["k"], targets={"Benign": 31}).collect()) for part in (df, df.repartition(2))]
+    assert len(kept[0]) == 31 and kept[0] == kept[1]
+
+
+def test_exact_balance_sorts_no_rows_but_ties(spark, tmp_path):
+    spark.range(20_000).selectExpr("id", "if(id % 10 = 0, 'Bot', 'Benign') as Label").write.parquet(str(tmp_path / "t"))
+    kept = sampling.balance_exact(spark.read.parquet(str(tmp_path / "t")), ["id"], targets={"Benign": 1234})
+    assert kept.filter("Label = 'Benign'").count() == 1234 and kept.filter("Label = 'Bot'").count() == 2000
+    plain, tied = str(kept._jdf.queryExecution().optimizedPlan().toString()).split("Window")[0], kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plain and "Join" not in tied and tied.count("Window") <= 2
