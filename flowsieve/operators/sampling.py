@@ -84,15 +84,22 @@ def split(df: DataFrame, shares: Sequence[float] = N.FOREST_SPLIT, seed: int = N
 
 def split_keyed(df: DataFrame, keys: Sequence[str], shares: Sequence[float] = N.FOREST_SPLIT, seed: int = N.FOREST_SEED) -> list[DataFrame]:
     """Disjoint parts that together hold every row; each part is a plain filter, nothing is sorted."""
-    total, start, parts = float(sum(shares)), 0.0, []
     drawn = df.withColumn(DRAW, key_draw(keys, seed))
-    for i, share in enumerate(shares):
-        end = start + share / total
-        last = i == len(shares) - 1
-        inside = ~below(F.col(DRAW), start) & (F.lit(True) if last else below(F.col(DRAW), end))
-        parts.append(drawn.filter(inside).drop(DRAW))
-        start = end
-    return parts
+    return [drawn.filter(of_part(F.col(DRAW), shares, i)).drop(DRAW) for i in range(len(shares))]
+
+
+def of_part(draw: Column, shares: Sequence[float], part: int) -> Column:
+    """True for the draws of one part of a split."""
+    total = float(sum(shares))
+    ends = [0.0]
+    for share in shares:
+        ends.append(ends[-1] + share / total)
+    return ~below(draw, ends[part]) & (F.lit(True) if part == len(shares) - 1 else below(draw, ends[part + 1]))
+
+
+def in_part(keys: Sequence[str], shares: Sequence[float], seed: int, part: int) -> Column:
+    """True for rows that the keyed split puts into this part."""
+    return of_part(key_draw(keys, seed), shares, part)
 
 
 def balance_fraction(rows: Column, label: Column, majority: str, target: int) -> Column:

@@ -156,20 +156,22 @@ HELD_OUT = {
 USED = {"large": N.FEATURES, "light": [c for c in N.FEATURES if c not in N.REDUNDANT], "perceptron": N.FEATURES}
 
 
-def agreed(found: train.Trained) -> DataFrame:
-    """The metrics, rounded, and whether Spark's evaluator gives the same ones."""
+def agreed(scored: DataFrame) -> DataFrame:
+    """The metrics, rounded, and whether Spark's evaluator gives the same ones; the rows are scored once."""
     names = {"accuracy": "accuracy", "weighted_precision": "weightedPrecision", "weighted_recall": "weightedRecall", "f1": "f1"}
-    row = found.metrics.first().asDict()
-    theirs = {k: MulticlassClassificationEvaluator(labelCol=features.LABEL_INDEX, metricName=v).evaluate(found.scored) for k, v in names.items()}
+    with metrics.cached_projection(scored, [features.LABEL_INDEX, "prediction"]) as kept:
+        row = metrics.evaluate(kept).first().asDict()
+        theirs = {k: MulticlassClassificationEvaluator(labelCol=features.LABEL_INDEX, metricName=v).evaluate(kept) for k, v in names.items()}
     same = all(abs(row[k] - theirs[k]) < 1e-12 for k in names)
-    return round_columns(found.metrics, METRICS).withColumn("as_evaluator", F.lit(same))
+    table_ = local_table(scored.sparkSession, [tuple(row[m] for m in METRICS)], {m: "double" for m in METRICS})
+    return round_columns(table_, METRICS).withColumn("as_evaluator", F.lit(same))
 
 
 ALL_RIGHT = "SELECT CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS weighted_precision, CAST(1 AS DOUBLE) AS weighted_recall, CAST(1 AS DOUBLE) AS f1, true AS as_evaluator"
 
 
 def metrics_query(kind: str, name: str) -> None:
-    query(name, ALL_RIGHT)(lambda spark, sf: agreed(trained(spark, sf, kind)))
+    query(name, ALL_RIGHT)(lambda spark, sf: agreed(trained(spark, sf, kind).scored))
 
 
 def features_query(kind: str) -> None:
@@ -196,7 +198,7 @@ def bounds_query(kind: str, name: str) -> None:
     """Few trees, or a network, need not be exact, but must know nearly all rows."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return agreed(trained(spark, sf, kind)).select(*[(F.col(m) > 0.95).alias(m) for m in METRICS], "as_evaluator")
+        return agreed(trained(spark, sf, kind).scored).select(*[(F.col(m) > 0.95).alias(m) for m in METRICS], "as_evaluator")
 
     query(name, "SELECT " + ", ".join(f"true AS {m}" for m in [*METRICS, "as_evaluator"]))(run)
 
@@ -207,8 +209,9 @@ bounds_query("perceptron", "perceptron_metrics")
 
 @lru_cache(maxsize=4)
 def stored_forest(spark: SparkSession, sf: str) -> str:
-    """The large forest as a stored pipeline."""
-    return save_pipeline(trained(spark, sf, "large").model, scratch_path(spark, "forest"))
+    """The large forest as a stored pipeline, with its card."""
+    found = trained(spark, sf, "large")
+    return save_pipeline(found.model, scratch_path(spark, "forest"), found.card)
 
 
 def held_out(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,7 +240,23 @@ def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
 @query("stored_model_metrics", ALL_RIGHT)
 def stored_model_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """The stored forest, loaded again, on the part that it was not trained on."""
-    return agreed(stored.evaluate_stored(stored_forest(spark, sf), held_out(spark, sf)))
+    return agreed(stored.evaluate_stored(stored_forest(spark, sf), held_out(spark, sf)).scored)
+
+
+TRAINED_ON = f"count(*) FILTER (WHERE NOT ({HELD_OUT['large']}))"
+
+
+@query(
+    "stored_model_unseen_rows",
+    WITH_DECIDED + f"SELECT count(*) AS rows, {TRAINED_ON} AS trained_on, CAST(0 AS BIGINT) AS not_finite, count(*) FILTER (WHERE {HELD_OUT['large']} AND \"Label\" = 'Other') AS unseen_label, "
+    f"count(*) FILTER (WHERE {HELD_OUT['large']} AND \"Label\" <> 'Other') AS scored, f.* FROM (SELECT * REPLACE (CASE WHEN \"Label\" = 'Probe' THEN 'Other' ELSE \"Label\" END AS \"Label\") FROM decided), ({ALL_RIGHT}) f GROUP BY ALL",
+)
+def stored_model_unseen_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored forest on the whole table that it was trained on, with one class renamed: what is left out, and the metrics of the rest."""
+    renamed = F.when(F.col(N.LABEL) == "Probe", "Other").otherwise(F.col(N.LABEL)).alias(N.LABEL)
+    table_ = decided(spark, sf).select([renamed if c == N.LABEL else col(c) for c in decided(spark, sf).columns])
+    checked = stored.evaluate_unseen(spark, stored_forest(spark, sf), table_)
+    return checked.report.crossJoin(F.broadcast(agreed(checked.scored)))
 
 
 INDEX_OF = "(SELECT label_index FROM idx WHERE name = \"Label\")"

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from flowsieve.operators import features, metrics, models, sampling
 from flowsieve.plans import stored, train
-from flowsieve.sources.fitted import save_pipeline
+from flowsieve.queries import learning
+from flowsieve.sources.fitted import load_card, save_pipeline
 from flowsieve.sources.workspace import scratch_path
 
 SCORED = [(0, 0), (0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 0), (3, 0)]
@@ -110,3 +111,55 @@ def test_null_labels_are_reported_or_an_error(points):
     assert [(r["Label"], r["skipped"]) for r in found.skipped.collect()] == [(None, counts[1])]
     with pytest.raises(Exception, match="NULL"):
         features.index_labels(table).collect()
+
+
+def stored_forest(spark, points, **keys):
+    trained = train.train_forest_light(points, exclude=["id"], trees=3, depth=3, data="points-v1", **keys)
+    return save_pipeline(trained.model, scratch_path(spark, "model"), trained.card), trained
+
+
+def test_the_card_comes_back(spark, points):
+    path, trained = stored_forest(spark, points, keys=["id"])
+    card = load_card(spark, path)
+    assert card == trained.card and card.features == ["x", "noise/1", "flat"] == card.finite and card.keys == ["id"] and card.data == "points-v1"
+    assert stored.evaluate_stored(path, points).scored.count() == points.count()
+
+
+def test_training_rows_are_left_out(spark, points):
+    """Of the whole table, and of one with more rows, in which two have no finite feature and others a new label."""
+    path, trained = stored_forest(spark, points, keys=["id"])
+    whole = stored.evaluate_unseen(spark, path, points)
+    held_out = trained.scored.count()
+    assert tuple(whole.report.first()) == (1200, 1200 - held_out, 0, 0, held_out)
+    assert tuple(whole.metrics.first()) == tuple(trained.metrics.first())
+    test = sampling.split_keyed(points, ["id"])[1]
+    spoiled = [r["id"] for r in test.orderBy("id").limit(5).collect()]
+    odd = points.withColumn("x", F.when(F.col("id").isin(spoiled[:2]), F.lit(float("nan"))).otherwise(F.col("x")))
+    odd = odd.withColumn("Label", F.when(F.col("id").isin(spoiled[2:4]), "New").when(F.col("id") == spoiled[4], None).otherwise(F.col("Label")))
+    assert tuple(stored.evaluate_unseen(spark, path, odd).report.first()) == (1200, 1200 - held_out, 2, 3, held_out - 5)
+
+
+def test_missing_features_are_named(spark, points):
+    path, _ = stored_forest(spark, points, keys=["id"])
+    with pytest.raises(ValueError, match=r"lacks: \['x', 'id'\]; not numbers: \['flat \(string\)'\]"):
+        stored.evaluate_unseen(spark, path, points.drop("x", "id").withColumn("flat", F.lit("2")))
+
+
+def test_a_model_without_keys_cannot_tell_its_rows(spark, points):
+    path, _ = stored_forest(spark, points)
+    with pytest.raises(ValueError, match="cannot be told"):
+        stored.evaluate_unseen(spark, path, points)
+    assert stored.evaluate_unseen(spark, path, points, overlap=True).report.first()["scored"] == 1200
+
+
+def test_metrics_query_scores_once(spark, points, monkeypatch):
+    """All answers are taken from one cached projection of the scored rows."""
+    _, trained = stored_forest(spark, points, keys=["id"])
+    looked = spark.sparkContext.accumulator(0)
+
+    def count(value):
+        looked.add(1)
+        return value
+
+    counted = trained.scored.withColumn("prediction", F.udf(count, "double")("prediction"))
+    assert learning.agreed(counted).first()["as_evaluator"] and looked.value == trained.scored.count()
