@@ -9,19 +9,16 @@ its own rows; moments are merged by the exact formula for means, central squares
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions import names as N
-from flowsieve.functions.tables import local_table
 from flowsieve.functions.values import col
 
 MOMENTS = ["n", "mean_a", "mean_b", "square_a", "square_b", "product", "infinite"]
-PARTIAL_SCHEMA = "position_a int, position_b int, " + ", ".join(f"{m} double" for m in MOMENTS)
 
 
 CANCELLED = 1e-6
@@ -73,8 +70,12 @@ def merged(one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return np.array([n, mean_a, mean_b, one[3] + two[3] + extra(d_a, d_a), one[4] + two[4] + extra(d_b, d_b), one[5] + two[5] + extra(d_a, d_b), one[6] + two[6]])
 
 
-def pair_moments(width: int):
-    """The moments of all pairs over one task's rows, batch by batch."""
+def packed(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"moments": pa.array([np.ascontiguousarray(total).tobytes()], pa.binary())})
+
+
+def task_moments(width: int):
+    """The moments of all pairs over one task's rows, batch by batch, as one row."""
     upper_a, upper_b = np.triu_indices(width, k=1)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,39 +84,58 @@ def pair_moments(width: int):
             if batch.num_rows:
                 x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
                 total = merged(total, batch_moments(x, upper_a, upper_b))
-        positions = [pa.array(upper_a, pa.int32()), pa.array(upper_b, pa.int32())]
-        yield pa.RecordBatch.from_arrays(positions + [pa.array(row) for row in total], names=["position_a", "position_b", *MOMENTS])
+        yield packed(total)
 
     return task
 
 
+def merged_rows(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+    """One row after the other: memory for two of them."""
+    total = None
+    for batch in batches:
+        for row in batch.column("moments"):
+            moments = np.frombuffer(row.as_buffer(), dtype=float).reshape(len(MOMENTS), -1)
+            total = moments if total is None else merged(total, moments)
+    return total
+
+
+def merge_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = merged_rows(batches)
+    if total is not None:
+        yield packed(total)
+
+
+def coefficients(columns: Sequence[str]):
+    """The last merge, and a row for each pair."""
+    upper_a, upper_b = np.triu_indices(len(columns), k=1)
+    names = pa.array(list(columns), pa.string())
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, _, _, square_a, square_b, product, infinite = merged_rows(batches)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            raw = product / (np.sqrt(square_a) * np.sqrt(square_b))
+        usable = (n > 0) & (infinite == 0) & (square_a > 0) & (square_b > 0) & np.isfinite(raw)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(upper_a, pa.int32()), pa.array(upper_b, pa.int32()), names.take(pa.array(upper_a)), names.take(pa.array(upper_b)), pa.array(np.clip(raw, -1.0, 1.0), mask=~usable)],
+            names=["position_a", "position_b", "column_a", "column_b", "r"],
+        )
+
+    return last
+
+
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(position_a, position_b, column_a, column_b, r) for every pair of columns a before b, for any number of columns.
+    """(position_a, position_b, column_a, column_b, r) for every pair of columns a before b.
 
-    One scan; a task sends one row per pair, whatever its number of input rows.
+    One scan; a task sends one row with the moments of all pairs (56 bytes a pair). These rows are merged by the tasks of one shuffle and
+    then in one task, each holding two rows at a time; so what is shuffled grows with the tasks and not with tasks and pairs as rows.
+    A table without rows gives every pair without a value.
     """
     doubles = df.select([col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    partial = doubles.mapInArrow(pair_moments(len(columns)), PARTIAL_SCHEMA).filter("n > 0 or infinite > 0")
-    pair = Window.partitionBy("position_a", "position_b")  # a row per task
-    n = F.sum("n").over(pair)
-    common = {m: F.sum(F.col(m) * F.try_divide(F.col("n"), n)).over(pair) for m in ("mean_a", "mean_b")}
-    shifted = partial.select("*", *[(F.col(m) - mean).alias(f"off_{m[-1]}") for m, mean in common.items()])
-
-    def total(inside: str, x: str, y: str):
-        return F.sum(F.col(inside) + F.when(F.col("n") > 0, F.col("n") * F.col(x) * F.col(y)).otherwise(0.0))
-
-    summed = shifted.groupBy("position_a", "position_b").agg(
-        total("square_a", "off_a", "off_a").alias("square_a"), total("square_b", "off_b", "off_b").alias("square_b"),
-        total("product", "off_a", "off_b").alias("product"), F.sum("infinite").alias("infinite"),
-        *[(F.min(F.when(F.col("n") > 0, F.col(m))) == F.max(F.when(F.col("n") > 0, F.col(m)))).alias(f"one_{m[-1]}") for m in ("mean_a", "mean_b")],
-        *[(F.max(f"square_{k}") == 0).alias(f"still_{k}") for k in "ab"],
-    )
-    constant = (F.col("one_a") & F.col("still_a")) | (F.col("one_b") & F.col("still_b"))
-    raw = F.try_divide(F.col("product"), F.sqrt("square_a") * F.sqrt("square_b"))
-    r = F.when((F.col("infinite") == 0) & ~constant & ~F.isnan(raw) & (F.abs(raw) < float("inf")), F.least(F.greatest(raw, F.lit(-1.0)), F.lit(1.0)))
-    pairs = [(i, j, columns[i], columns[j]) for i, j in combinations(range(len(columns)), 2)]
-    listed = local_table(df.sparkSession, pairs, {"position_a": "int", "position_b": "int", "column_a": "string", "column_b": "string"})
-    return listed.join(F.broadcast(summed.select("position_a", "position_b", r.alias("r"))), ["position_a", "position_b"], "left")
+    nothing = df.sparkSession.range(1, numPartitions=1).select(*[F.lit(None).cast("double").alias(f"c{i}") for i in range(len(columns))])
+    task = task_moments(len(columns))
+    partial = doubles.mapInArrow(task, "moments binary").union(nothing.mapInArrow(task, "moments binary"))
+    merged_once = partial.withColumn("task", F.spark_partition_id()).repartition("task").select("moments").mapInArrow(merge_some, "moments binary")
+    return merged_once.repartition(1).mapInArrow(coefficients(columns), "position_a int, position_b int, column_a string, column_b string, r double")
 
 
 def high_correlation(pairs: DataFrame, threshold: float = N.HIGH_CORRELATION) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +22,8 @@ QUARTILES = (0.25, 0.5, 0.75)
 # Rows of one bracket that may be ranked in a single window; above it the bracket is narrowed first.
 BRACKET_ROWS = 1_000_000
 GRID_STEPS, SKETCH_ACCURACY = 1000, 10_000
-# Grid points left around a wanted rank; wider ones are for ranks that the sketch missed.
-GRID_MARGINS = (2, 20, 200, 1000)
+# Grid points left around a wanted rank.
+GRID_MARGIN = 2
 
 
 def long_values(df: DataFrame, group: str, variables: Sequence[str]) -> DataFrame:
@@ -86,7 +89,7 @@ def sketch() -> list[Column]:
     ]
 
 
-def whole_brackets(values: DataFrame, shares: Sequence[float], margin: int = GRID_MARGINS[0]) -> tuple[list[Bracket], dict]:
+def whole_brackets(values: DataFrame, shares: Sequence[float], margin: int = GRID_MARGIN) -> tuple[list[Bracket], dict]:
     """One scan for the size and the sketch of every class and variable: brackets around the shares, and the sketches."""
     sketches = {(r[GROUP], r[VARIABLE]): r for r in values.groupBy(GROUP, VARIABLE).agg(*sketch()).collect()}
     whole = [Bracket(*key, q, r["rows"], r["rows"]) for key, r in sketches.items() for q in shares]
@@ -101,10 +104,7 @@ def narrow(values: DataFrame, brackets: Sequence[Bracket], margin: int) -> list[
 
 
 def narrow_large(values: DataFrame, brackets: list[Bracket], bracket_rows: int, margin: int) -> list[Bracket]:
-    """Narrow every bracket of many rows again and again, for as long as that helps.
-
-    Equal values are one row afterwards, so a bracket that cannot shrink is one of few distinct values.
-    """
+    """Narrow every bracket of many rows again and again, for as long as that helps."""
     while large := [b for b in brackets if b.rows > bracket_rows and b.low < b.high]:
         cut = {b.key: b for b in narrow(values, large, margin)}
         if all(cut[b.key].rows >= b.rows for b in large):
@@ -154,6 +154,61 @@ def ranked_values(values: DataFrame, brackets: Sequence[Bracket]) -> dict[tuple,
     return answer
 
 
+def cell_counts(values: DataFrame, brackets: Sequence[Bracket], grids: dict[tuple, list[float]]) -> dict[tuple, np.ndarray]:
+    """Exact numbers of values in the cells of each bracket's grid, in one scan: cell 2i is below grid point i, cell 2i + 1 is the point itself.
+
+    The grids have a bounded number of points for each wanted quantile; a task sends one row a bracket.
+    """
+    points: dict[tuple, list] = {}
+    for number, b in enumerate(brackets):
+        points.setdefault(b.key[:2], []).append((number, np.array(grids[b.key])))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            rows = batch.to_pandas()
+            for key, part in rows.groupby([GROUP, VARIABLE], dropna=False)[VALUE]:
+                name = (None if pd.isna(key[0]) else key[0], key[1])
+                for number, grid in points.get(name, ()):
+                    x = part.to_numpy()
+                    left = np.searchsorted(grid, x, "left")
+                    cell = 2 * left + (np.searchsorted(grid, x, "right") > left)
+                    totals[number] = totals.get(number, 0) + np.bincount(cell, minlength=2 * len(grid) + 1)
+        found = [(number, cell, int(n)) for number, cells in totals.items() for cell, n in enumerate(cells) if n]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 3, names=["number", "cell", "n"])
+
+    counted = values.select(GROUP, VARIABLE, VALUE).mapInArrow(count, "number bigint, cell bigint, n bigint").groupBy("number", "cell").agg(F.sum("n").alias("n"))
+    cells = {b.key: np.zeros(2 * len(grids[b.key]) + 1, dtype=np.int64) for b in brackets}
+    for row in counted.collect():
+        cells[brackets[row["number"]].key][row["cell"]] = row["n"]
+    return cells
+
+
+def cells_of_ranks(b: Bracket, grid: Sequence[float], counts: np.ndarray) -> Bracket:
+    """The bracket cut to the cells that hold its ranks; their counts are exact, so it holds them."""
+    upto = np.cumsum(counts)
+    first, last = (int(np.searchsorted(upto, rank, "right")) for rank in (math.floor(b.position), math.ceil(b.position)))
+    low = grid[first // 2] if first % 2 else math.nextafter(grid[first // 2 - 1], math.inf) if first else -INFINITY
+    high = grid[last // 2] if last % 2 else math.nextafter(grid[last // 2], -math.inf) if last // 2 < len(grid) else INFINITY
+    return Bracket(b.group, b.variable, b.share, b.total, int(counts[first : last + 1].sum()), max(b.low, low), min(b.high, high))
+
+
+def surely_narrowed(values: DataFrame, brackets: list[Bracket], bracket_rows: int) -> list[Bracket]:
+    """Brackets that hold their ranks for certain, cut by exact counts until their rows are few or their values equal.
+
+    The cells are those of a sketch of the bracket and of the middle of its range, so that a bracket is at least halved even
+    where the sketch tells nothing.
+    """
+    while large := [b for b in brackets if b.rows > bracket_rows and b.low < b.high]:
+        sketches = within(values, large).filter(F.col(VALUE).isNotNull()).groupBy(GROUP, VARIABLE, "share").agg(*sketch())
+        found = {(r[GROUP], r[VARIABLE], r["share"]): r["grid"] for r in sketches.collect()}
+        grids = {key: sorted({*grid, grid[0] / 2 + grid[-1] / 2}) for key, grid in found.items()}
+        counts = cell_counts(values, large, grids)
+        cut = {b.key: cells_of_ranks(b, grids[b.key], counts[b.key]) for b in large}
+        brackets = [cut.get(b.key, b) for b in brackets]
+    return brackets
+
+
 def exact_quantiles(
     values: DataFrame, shares: Sequence[float] = QUARTILES, bracket_rows: int = BRACKET_ROWS
 ) -> dict[tuple, float]:
@@ -162,19 +217,13 @@ def exact_quantiles(
     For few classes (their names reach the driver, as in label indexing). A bounded sketch brackets
     each wanted rank; only the values inside a bracket are counted and put in order. A bracket that
     still holds many rows is narrowed again, so memory per task stays bounded. Ranks that a bracket turns out not
-    to hold are looked for in wider ones.
+    to hold, and brackets that do not shrink, are looked for again by exact counts, which cannot miss them.
     """
-    brackets, sketches = whole_brackets(values, shares)
-    answer: dict[tuple, float] = {}
-    for margin in GRID_MARGINS:
-        open_ones = [b for b in brackets if b.key not in answer]
-        if not open_ones:
-            break
-        if margin != GRID_MARGINS[0]:  # the sketch missed their ranks: start again with wider brackets
-            whole = [Bracket(*b.key, b.total, b.total) for b in open_ones]
-            open_ones = [b.narrowed(sketches[b.key[:2]]["grid"], 0, b.total, margin) for b in whole]
-        answer |= ranked_values(values, narrow_large(values, open_ones, bracket_rows, margin))
-    return answer
+    brackets, _ = whole_brackets(values, shares)
+    small = [b for b in narrow_large(values, brackets, bracket_rows, GRID_MARGIN) if b.rows <= bracket_rows or b.low == b.high]
+    answer = ranked_values(values, small) if small else {}
+    missed = [Bracket(*b.key, b.total, b.total) for b in brackets if b.key not in answer]
+    return answer | ranked_values(values, surely_narrowed(values, missed, bracket_rows)) if missed else answer
 
 
 def box_statistics(df: DataFrame, group: str = N.BINARY_COLUMN, variables: Sequence[str] = tuple(N.BOX_COLUMNS)) -> DataFrame:

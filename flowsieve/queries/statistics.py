@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions import names as N
 from flowsieve.functions.tables import local_table
-from flowsieve.operators import clean, correlation, distribution
+from flowsieve.operators import clean, correlation, distribution, sketches
 from flowsieve.queries.profiles import LINE_FEATURES
 from flowsieve.queries.registry import query, round_columns, sql_name, sql_round, sql_text, table
-from flowsieve.queries.standin import WITH_FLOWS, flows
+from flowsieve.queries.standin import KEY, WITH_FLOWS, flows
+from flowsieve.sources.workspace import scratch_path
 
 # Features of lineitem with nulls, NaN and a constant, for the pairwise rules.
 GAPS = {
@@ -204,3 +206,63 @@ DENSITY_SQL = (
 def class_density(spark: SparkSession, sf: str) -> DataFrame:
     curves = distribution.density(clean.binary_label(flows(spark, sf)))
     return round_columns(round_columns(curves, ["x"], 4), ["density"])
+
+
+# --- stored sketches
+
+PARTS = 5
+PART_SQL = f"CAST(split_part({KEY}, '|', 1) AS BIGINT) % {PARTS}"
+SHARES = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+@lru_cache(maxsize=4)
+def stored_sketches(spark: SparkSession, sf: str) -> str:
+    """Sketches of the box columns for each part of the records, as they would be stored file by file."""
+    rows = clean.binary_label(flows(spark, sf)).withColumn("part", F.expr(PART_SQL))
+    path = scratch_path(spark, "sketches")
+    sketches.quantile_sketches(rows, by="part").write.parquet(path)
+    return path
+
+
+SHARES_SQL = "(SELECT unnest([" + ", ".join(f"CAST({q} AS DOUBLE)" for q in SHARES) + "]) AS share)"
+
+
+@query("sketched_quantile_ranks", WITH_FLOWS.rstrip() + ", " + long_sql(N.BOX_COLUMNS) + f" SELECT class, variable, share, n, true AS within FROM (SELECT class, variable, count(*) AS n FROM long GROUP BY 1, 2), {SHARES_SQL}")
+def sketched_quantile_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of the merged sketches, and whether the exact ranks of the answers are within the stated error."""
+    asked = sketches.sketched_quantiles(spark.read.parquet(stored_sketches(spark, sf)), SHARES)
+    values = distribution.long_values(clean.binary_label(flows(spark, sf)), N.BINARY_COLUMN, N.BOX_COLUMNS)
+    met = values.withColumnRenamed("value", "v").join(F.broadcast(asked), ["class", "variable"]).groupBy("class", "variable", "share", "n")
+    counted = met.agg(F.count_if(F.col("v") < F.col("value")).alias("below"), F.count_if(F.col("v") <= F.col("value")).alias("upto"))
+    error = sketches.rank_error()
+    within = (F.col("below") / F.col("n") <= F.col("share") + error) & (F.col("upto") / F.col("n") >= F.col("share") - error)
+    return counted.select("class", "variable", "share", "n", within.alias("within"))
+
+
+# Many labels, a few of them frequent.
+MANY_LABELS = "CASE WHEN l_linenumber <= 2 THEN concat('hot ', l_returnflag) ELSE concat('part ', CAST(l_partkey AS VARCHAR(20))) END"
+FREQUENT = 0.04
+
+
+def many_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").selectExpr(f"{MANY_LABELS} AS label", f"l_orderkey % {PARTS} AS part")
+
+
+@query(
+    "frequent_labels",
+    f"WITH labels AS (SELECT {MANY_LABELS} AS label FROM lineitem) SELECT label, count(*) AS n, {sql_round('count(*) / (SELECT count(*) FROM labels)')} AS share "
+    f"FROM labels GROUP BY label HAVING count(*) >= {FREQUENT} * (SELECT count(*) FROM labels)",
+)
+def frequent_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Exactly the labels with 4 rows of 100, nominated by sketches of all parts."""
+    rows = many_labels(spark, sf)
+    return round_columns(sketches.frequent_labels(rows, sketches.label_sketches(rows, "label", by="part"), FREQUENT, "label"), ["share"])
+
+
+@query("distinct_labels", f"SELECT count(*) AS n, true AS within FROM (SELECT {MANY_LABELS} AS label FROM lineitem)")
+def distinct_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, and whether the estimate from merged sketches is within its error of the exact number of labels."""
+    rows = many_labels(spark, sf)
+    exact = rows.select("label").distinct().agg(F.count(F.lit(1))).scalar()
+    found = sketches.distinct_labels(sketches.label_sketches(rows, "label", by="part"))
+    return found.select("n", (F.abs(F.col("labels") - exact) <= sketches.distinct_error() * exact).alias("within"))

@@ -77,6 +77,36 @@ def test_quantiles_are_exact_with_hot_values(spark, bracket_rows):
     assert len(got) == 2 * 2 * len(shares)
 
 
+@pytest.mark.parametrize("bracket_rows", [3, 500])
+def test_missed_ranks_are_found_by_exact_counts(spark, monkeypatch, bracket_rows):
+    """A sketch that is wrong everywhere: no bracket holds its rank at first, and none is ever ranked whole."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.full(2000, 3.0), rng.lognormal(0, 3, 4000), -rng.lognormal(0, 200, 300), [0.0, -0.0, 5e-324, 1.7e308, -1.7e308]])
+    frame = pd.DataFrame({"Clase": [None if i % 3 else "a" for i in range(len(x))], "x": x})
+    values = distribution.long_values(spark.createDataFrame(frame).repartition(5), "Clase", ["x"])
+    ranked, plain = [], distribution.ranked_values
+
+    def watched(values, brackets):
+        ranked.append([b for b in brackets])
+        return plain(values, brackets)
+
+    monkeypatch.setattr(distribution, "ranked_values", watched)
+    monkeypatch.setattr(distribution, "narrow_large", lambda values, brackets, *_: [distribution.Bracket(*b.key, b.total, 1, 1e5, 1e5) for b in brackets])
+    got = distribution.exact_quantiles(values, (0.0, 0.1, 0.5, 0.9, 1.0), bracket_rows)
+    assert len(got) == 10 and len(ranked) == 2 and all(b.rows <= bracket_rows or b.low == b.high for b in ranked[1])
+    for (group, _, share), value in got.items():
+        own = frame.x[frame.Clase.isna() if group is None else frame.Clase == group]
+        assert value == pytest.approx(np.quantile(own, share), rel=1e-12)
+
+
+def test_correlation_sends_a_row_a_task(spark):
+    df = spark.range(0, 1000, 1, 40).selectExpr("id * 1.0 as a", "rand(1) as b", "id * -2.0 as c")
+    found = correlation.correlation(df, ["a", "b", "c"])
+    assert found.rdd.getNumPartitions() == 1 and {(r["column_a"], r["column_b"]) for r in found.collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+    assert found.filter("column_a = 'a' and column_b = 'c'").first()["r"] == pytest.approx(-1.0, abs=1e-12)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_whiskers_never_enter_the_box(spark):
     df = spark.createDataFrame([("a", v) for v in (0.0, 10.0, 11.0, 12.0, 100.0)] + [("b", 1.0)], "Clase string, v double")
     got = {r["class"]: r for r in distribution.box_statistics(df, "Clase", ["v"]).collect()}
