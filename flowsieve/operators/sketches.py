@@ -94,7 +94,7 @@ def frequent_labels(df: DataFrame, sketches: DataFrame, share: float, label: str
     """
     if share * tracked < 8:
         raise ValueError(f"{tracked} tracked labels cannot tell those with a share of {share}; track {round(8 / share)}")
-    merged = sketches.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(frequent, {tracked})").alias("frequent"), F.sum("n").alias("total"))
+    merged = sketches.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(frequent, {tracked})").alias("frequent"), F.sum("n").alias("total"))
     nominated = merged.select(F.explode(F.expr(f"approx_top_k_estimate(frequent, {tracked})")).alias("f"), "total").select("f.item", "total")
     counted = df.select(col(label).cast("string").alias("label")).join(F.broadcast(nominated), F.col("label") == F.col("item"))
     counts = counted.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("total").alias("total"))
