@@ -123,41 +123,62 @@ def test_near_vectors_on_edge_cases(spark):
     assert rows_of(found, "vec_id", "n_links", "component_id", "kept") == vectors_by_hand(rows, 0.95)
 
 
-def test_near_vectors_across_runs(spark, monkeypatch):
-    """Many small runs, so that links cross them."""
-    monkeypatch.setattr(embedding_dedup, "RUN", 16)
+def test_near_vectors_across_parts_and_groups(spark, monkeypatch):
+    """Small cells and parts, so that links cross parts and pairs meet in several groups; each is counted once."""
+    monkeypatch.setattr(embedding_dedup, "PART", 16)
+    monkeypatch.setattr(embedding_dedup, "MATES", 24)
     rng = np.random.default_rng(4)
     centre = rng.standard_normal((60, 24))
-    rows = [(i, (centre[i % 60] + 0.12 * rng.standard_normal(24)).astype("f4").tolist()) for i in range(300)]
+    rows = [(i, (centre[i % 60] + 0.08 * rng.standard_normal(24)).astype("f4").tolist()) for i in range(300)]
+    assert embedding_dedup.cells_for(300, 0.4, 0.95).groups > 3
     found = embedding_dedup.near_vectors(frame(spark, rows, "vec_id bigint, embedding array<float>"))
     assert rows_of(found, "vec_id", "n_links", "component_id", "kept") == vectors_by_hand(rows, 0.95)
 
 
-def test_near_vectors_far_apart_in_the_order(spark, monkeypatch):
-    """A pair 4.5 deviations apart on the first projection, in runs of one vector, collides on enough others to be linked."""
-    monkeypatch.setattr(embedding_dedup, "RUN", 1)
-    lines, rng, apart = embedding_dedup.directions(32), np.random.default_rng(8), math.sqrt(0.098)
-    first = lines[:, 0] / np.linalg.norm(lines[:, 0])
-    share = 4.5 / np.linalg.norm(lines[:, 0])
-    while True:
-        other, middle = rng.standard_normal((2, 32))
-        other -= (other @ first) * first
-        step = apart * (share * first + math.sqrt(1 - share**2) * other / np.linalg.norm(other))
-        middle -= (middle @ step) / (step @ step) * step
-        middle *= math.sqrt(1 - apart**2 / 4) / np.linalg.norm(middle)
-        pair = np.array([middle - step / 2, middle + step / 2])
-        if len(embedding_dedup.verified_links(pair, pair, True, 0.95)[0]):
-            break
-    assert abs((pair[1] - pair[0]) @ lines[:, 0]) > 4.4 * math.sqrt(0.1)
-    rows = list(enumerate(pair.tolist()))
-    found = embedding_dedup.near_vectors(frame(spark, rows, "vec_id bigint, embedding array<double>"))
-    assert rows_of(found, "vec_id", "n_links", "component_id", "kept") == vectors_by_hand(rows, 0.95)
-
-
-def test_both_losses_of_near_vectors_are_bounded():
+def planted(rng, clusters, size, dim, noise):
+    centre = rng.standard_normal((clusters, dim))
+    return (centre[np.arange(clusters * size) % clusters] + noise * rng.standard_normal((clusters * size, dim))).astype("f4")
+
+
+def test_recall_on_planted_vectors(spark):
+    """12,000 vectors, most of them alone, thousands of pairs just above the least cosine, and one dense cluster of 1,500."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([planted(rng, 2500, 3, 64, 0.22), planted(rng, 1, 1500, 64, 0.1), rng.standard_normal((3000, 64)).astype("f4")])
+    units = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = [(units[i : i + 1000] @ units.T >= 0.95).sum(axis=1) - 1 for i in range(0, len(x), 1000)]
+    near = np.concatenate(near)
+    close = units[:7500].reshape(3, 2500, 64)
+    cosines = np.einsum("ijk,ijk->ij", close[[0, 0, 1]], close[[1, 2, 2]])
+    assert ((cosines >= 0.95) & (cosines < 0.96)).sum() > 400 and near[7500:9000].min() > 1000
+    found = embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>"))
+    links = np.zeros(len(x), dtype=int)
+    for r in found.select("vec_id", "n_links").collect():
+        links[r["vec_id"]] = r["n_links"]
+    assert (links <= near).all() and links[:7500].sum() >= 0.995 * near[:7500].sum() and (links[7500:9000] == near[7500:9000]).mean() > 0.98
+
+
+def test_vectors_sent_grow_like_their_number(spark):
+    """Four times the vectors, at most seven times the rows; if all runs met all others, sixteen times as many."""
+    sent = []
+    for n in (12_000, 48_000):
+        x = np.random.default_rng(n).standard_normal((n, 64))
+        classes = spark.createDataFrame([(i.to_bytes(4, "big"), 1, 64, v.tobytes()) for i, v in enumerate(x)], "node binary, size bigint, dim int, vector binary")
+        sent.append(embedding_dedup.meetings(classes, 0.95).count())
+    assert sent[1] < 7 * sent[0]
+
+
+def test_chances_of_near_vectors():
+    """The stated losses: few collisions, and no common cell."""
     p = math.erf(embedding_dedup.WINDOW_DEVIATIONS / math.sqrt(2))
-    few = sum(math.comb(24, k) * p**k * (1 - p) ** (24 - k) for k in range(embedding_dedup.least_collisions()))
-    assert few + math.erfc(embedding_dedup.ORDER_DEVIATIONS / math.sqrt(2)) <= embedding_dedup.MISSED
+    assert sum(math.comb(24, k) * p**k * (1 - p) ** (24 - k) for k in range(embedding_dedup.least_collisions())) <= embedding_dedup.MISSED
+    rng = np.random.default_rng(2)
+    for width in (0.5, 2.0, 6.0):
+        start, step = rng.random(400_000) * width, rng.standard_normal(400_000)
+        assert abs(np.mean(np.floor(start / width) == np.floor((start + step) / width)) - embedding_dedup.same_cell(width)) < 0.004
+    for n in (100, 5_000, 10**5, 10**9):
+        cells = embedding_dedup.cells_for(n, 0.467, 0.95)
+        assert (1 - embedding_dedup.same_cell(6.0) ** cells.lines) ** cells.groups <= embedding_dedup.UNMET
+        assert n * 0.467**cells.lines < 3 * embedding_dedup.MATES and cells.groups < 150
 
 
 def test_empty_tables(spark):
