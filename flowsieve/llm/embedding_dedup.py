@@ -101,7 +101,7 @@ def cells_for(n: int, together: float, cosine: float) -> Cells:
 
 
 def scan(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """One row per vector: vec_id, node (digest; null where it cannot be linked), dim, vector (bytes of doubles)."""
+    """One row per vector: vec_id, node (digest; null where it cannot be linked), dim, vector (bytes of its numbers, of four each if these hold them exactly, else of eight)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,19 +116,29 @@ def scan(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
                     nodes.append(None), dims.append(None), data.append(None)
                     continue
                 nodes.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest())
-                dims.append(len(x)), data.append(x.tobytes())
+                with np.errstate(over="ignore"):
+                    single = x.astype("<f4")
+                dims.append(len(x)), data.append((single if (single == x).all() else x).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(nodes, pa.binary()), pa.array(dims, pa.int32()), pa.array(data, pa.binary())], names=["vec_id", "node", "dim", "vector"])
 
     plain = vectors.select(col(id_column).alias("vec_id"), col(vector_column).cast("array<double>").alias("vector"))
     return plain.mapInArrow(run, f"vec_id {id_type(plain, 'vec_id')}, node binary, dim int, vector binary")
 
 
+def rows_of_numbers(data: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of one dimension as rows of doubles."""
+    values = data.to_pylist()
+    if all(len(v) == 4 * dim for v in values):
+        return np.frombuffer(b"".join(values), dtype="<f4").reshape(-1, dim).astype("<f8")
+    return np.array([np.frombuffer(v, dtype="<f4" if len(v) == 4 * dim else "<f8") for v in values], dtype="<f8").reshape(-1, dim)
+
+
 def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and vectors of each dimension's rows."""
     dims = batch.column("dim").to_numpy()
     for dim in np.unique(dims):
         at = np.flatnonzero(dims == dim)
-        yield at, np.frombuffer(b"".join(batch.column("vector").take(pa.array(at)).to_pylist()), dtype="<f8").reshape(len(at), dim)
+        yield at, rows_of_numbers(batch.column("vector").take(pa.array(at)), int(dim))
 
 
 def shares_of_cells(classes: DataFrame, width: float) -> float:
@@ -191,13 +201,13 @@ def verified_links(a: np.ndarray, b: np.ndarray, same: bool, cosine: float) -> t
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
-def links_of_part(rows: list[pa.RecordBatch], group: int, same: bool, cosine: float) -> pa.RecordBatch:
+def links_of_part(rows: list[pa.RecordBatch], group: int, dim: int, same: bool, cosine: float) -> pa.RecordBatch:
     """node, links, least of the vectors of one part, or of two parts that meet, by the pairs that meet here first."""
     table = pa.Table.from_batches(rows).combine_chunks()
     second = table["second"].to_numpy().astype(bool)
     table = table.take(pa.array(np.argsort(second, kind="stable")))
     n_first = len(second) if same else int((~second).sum())
-    x = np.frombuffer(b"".join(table["vector"].to_pylist()), dtype="<f8").reshape(len(second), -1)
+    x = rows_of_numbers(table["vector"], dim)
     keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(second), -1)[:, :group]
     left, right = verified_links(x[:n_first], x[:n_first] if same else x[n_first:], same, cosine)
     right = right if same else right + n_first
@@ -225,11 +235,11 @@ def meet(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Record
             here = tuple(int(c[start]) for c in columns)
             if here != place:
                 if sum(part.num_rows for part in held) > 1:
-                    yield links_of_part(held, place[0], place[3] == place[4], cosine)
+                    yield links_of_part(held, place[0], place[1], place[3] == place[4], cosine)
                 place, held = here, []
             held.append(batch.slice(start, end - start))
     if sum(part.num_rows for part in held) > 1:
-        yield links_of_part(held, place[0], place[3] == place[4], cosine)
+        yield links_of_part(held, place[0], place[1], place[3] == place[4], cosine)
 
 
 PLACE = ["group", "dim", "key", "a", "b"]
