@@ -2,8 +2,9 @@
 
 Words are runs of bytes other than space and tab to carriage return, with A-Z lower-cased. A text's set
 holds the hashes of its distinct shingles of five words; a text of fewer words has its whole sequence as the
-only one, and a text without words has none. A word's hash is a difference of running sums, so that no
-word is cut out as an object. Different shingles share a hash with a probability of about 2^-64.
+only one, and a text without words has none. A word's hash is a polynomial of its bytes in two prime fields, as a difference
+of running sums, so that no word is cut out as an object. Two words of up to n bytes share both values with a probability of
+about (n / 2^31)^2 at a random base, whatever the words (a power of two as modulus would not do: words of the Thue-Morse kind agree at any base).
 """
 
 from __future__ import annotations
@@ -17,25 +18,30 @@ from flowsieve.llm.tables import raw_values
 
 WIDTH = 5
 PIECE = 1 << 19
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-MASK = (1 << 64) - 1
+PRIMES = ((1 << 31) - 1, (1 << 31) - 19)  # Mersenne's, and the greatest prime below it
 
 random_values = np.random.default_rng(20240229)
-VALUE = random_values.integers(0, 1 << 64, 256, dtype=np.uint64)
-VALUE[ord("A") : ord("Z") + 1] = VALUE[ord("a") : ord("z") + 1]
+BASES = [int(random_values.integers(1 << 30, p)) for p in PRIMES]
+VALUES = [random_values.integers(1, p, 256, dtype=np.uint64) for p in PRIMES]
+for values in VALUES:
+    values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 STEP = random_values.integers(0, 1 << 64, WIDTH, dtype=np.uint64) | np.uint64(1)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    run = np.full(n, base, dtype=np.uint64)
-    run[0] = 1
-    return np.cumprod(run, dtype=np.uint64)
+def powers(base: int, n: int, prime: int) -> np.ndarray:
+    run = np.ones(max(n, 1), dtype=np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        run[done : done + more] = run[:more] * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+        done += more
+    return run
 
 
-UP, DOWN = powers(BASE, PIECE), powers(INVERSE, PIECE)
+UP = [powers(b, PIECE, p) for b, p in zip(BASES, PRIMES)]
+DOWN = [powers(pow(b, -1, p), PIECE, p) for b, p in zip(BASES, PRIMES)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -58,11 +64,14 @@ def word_hashes(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nda
     first[1:] &= ~word[:-1] | edge[1:-1]
     last[:-1] &= ~word[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = (UP, DOWN) if n <= PIECE else (powers(BASE, n), powers(INVERSE, n))
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(VALUE[raw] * up[:n], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * down[starts] if n else np.zeros(0, np.uint64)
-    return mixed(hashes + (ends - starts).astype(np.uint64) * np.uint64(BASE)), np.searchsorted(starts, begins)
+    found = (ends - starts).astype(np.uint64)
+    for k, p in enumerate(PRIMES):
+        up, down = (UP[k], DOWN[k]) if n <= PIECE else (powers(BASES[k], n, p), powers(pow(BASES[k], -1, p), n, p))
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(VALUES[k][raw] * up[:n] % np.uint64(p), out=sums[1:])  # of fewer than 2^32 numbers below 2^31
+        inside = (sums[ends] - sums[starts]) % np.uint64(p) * down[starts] % np.uint64(p)
+        found = mixed(found ^ inside << np.uint64(16 * k))
+    return found, np.searchsorted(starts, begins)
 
 
 def long_text_hashes(raw: np.ndarray) -> np.ndarray:

@@ -185,3 +185,16 @@ def test_empty_tables(spark):
     for found in (exact_dedup(no_docs(spark)), keep_one(no_docs(spark)), minhash.near_duplicates(no_docs(spark)), minhash.keep_representatives(no_docs(spark))):
         assert found.count() == 0
     assert embedding_dedup.near_vectors(frame(spark, [], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_defeat_polynomials_modulo_powers_of_two(spark):
+    """Words that share all such hashes, alone, inside long texts and as one word longer than a piece, are not linked."""
+    words = [thue_morse(2048, "ab"), thue_morse(2048, "ba"), thue_morse(4096, "xy"), thue_morse(4096, "yx")]
+    docs = [*enumerate(words), (10, f"{words[0]} tail"), (11, f"{words[1]} tail"), (12, words[0].upper())]
+    docs += [(20, words[2] * 200), (21, words[3] * 200)]
+    found = minhash.near_duplicates(frame(spark, docs))
+    assert rows_of(found, "doc_id", "n_shingles", "component_id") == sorted(near_components(docs), key=repr)
