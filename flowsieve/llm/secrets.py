@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,10 +67,9 @@ def weak_spans(text: str, strong: list[Span]) -> list[Span]:
     if "://" in text:
         found += [("url", *m.span()) for m in URL.finditer(text)]
     found += [s for s in private_spans(text) if s[0] == "ip"] if found or strong else []
-    if not strong:
-        return found
     taken = sorted((a, b) for _, a, b in strong)
-    return [s for s in found if not any(a < s[2] and s[1] < b for a, b in taken)]
+    starts, reach = [a for a, _ in taken], [0, *accumulate((b for _, b in taken), max)]
+    return [s for s in found if reach[bisect_left(starts, s[2])] <= s[1]]  # how far those that start before its end reach
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
