@@ -136,15 +136,15 @@ def plan_table(df: DataFrame, plan: list[tuple[int, ...]], fields: list[str] = R
     return one.select(*[F.col("r")[i].alias(name) for i, name in enumerate(fields)])
 
 
-def with_rank(cut_pieces: DataFrame, total: int) -> DataFrame:
+def with_rank(cut_pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """The pieces with their rank within their length, from 0.
 
-    Each length is dealt to groups by a hash of the row; groups are ordered by themselves and start
-    where the groups before them end, so no length has to fit one task.
+    Each length is dealt to groups by a hash of the row, as many as its pieces need; groups are ordered by themselves and start
+    where the groups before them end, so no length has to fit one task, and the table of starts stays thousands of times smaller than the pieces.
     """
     row = ["doc_id", "piece", "start", "ids_crc32"]
-    groups = max(1, total // ROWS_PER_TASK)
-    dealt = cut_pieces.withColumn("dealt", F.pmod(F.xxhash64(*row), F.lit(groups)))
+    groups = plan_table(cut_pieces, [(length, max(1, n // ROWS_PER_TASK)) for length, n in histogram.items()], ["length", "groups"])  # a row per length
+    dealt = cut_pieces.join(F.broadcast(groups), "length").withColumn("dealt", F.pmod(F.xxhash64(*row), F.col("groups"))).drop("groups")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1))
     starts = dealt.groupBy("length", "dealt").agg(F.count("*").alias("n")).select("length", "dealt", F.coalesce(before, F.lit(0)).alias("group_start"))
     place = F.row_number().over(Window.partitionBy("length", "dealt").orderBy(*row))
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer_files: tuple[str, str, dict], capacity: int
     cut_pieces = stored(pieces(docs, tokenizer_files, capacity, end, id_column, text_column), "pieces")
     histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     ranges = F.broadcast(plan_table(docs, best_fit_plan(histogram, capacity)))
-    ranked = with_rank(cut_pieces, sum(histogram.values()))
+    ranked = with_rank(cut_pieces, histogram)
     planned = ranked.join(ranges, "length").filter((F.col("first") <= F.col("rank")) & (F.col("rank") < F.col("last")))
     at = F.col("rank") - F.col("first")
     return planned.select(
