@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.values import col
-from flowsieve.llm.tables import ascii_lower, filled, id_type, join_large_groups, sha256_values, stored
+from flowsieve.llm.tables import ascii_lower, filled, free_names, id_type, join_large_groups, sha256_values, stored
 
 SEGMENT = 1024
 KEYS_PER_PILOT = 4
@@ -175,8 +175,9 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, id_column: str =
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents without repeats: one row of each group of equal texts, all columns as they were."""
-    winners = exact_dedup(docs, None, id_column, text_column).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    keyed = with_digest(docs, "__text_digest", text_column)
-    same = keyed["__text_digest"].eqNullSafe(winners["__digest"]) & keyed[id_column].eqNullSafe(winners["__id"])
-    first = F.row_number().over(Window.partitionBy(col(id_column), F.col("__text_digest")).orderBy(F.lit(1)))
-    return keyed.join(winners, same, "left_semi").withColumn("__first", first).filter("__first = 1").select(*[col(c) for c in docs.columns])
+    digest, first, winner, won = free_names(docs, "digest", "first", "winner", "won")
+    winners = exact_dedup(docs, None, id_column, text_column).filter("kept").select(F.col("doc_id").alias(winner), F.col("digest").alias(won)).distinct()
+    keyed = with_digest(docs, digest, text_column)
+    same = F.col(digest).eqNullSafe(F.col(won)) & col(id_column).eqNullSafe(F.col(winner))
+    place = F.row_number().over(Window.partitionBy(col(id_column), F.col(digest)).orderBy(F.lit(1)))
+    return keyed.join(winners, same, "left_semi").withColumn(first, place).filter(F.col(first) == 1).select(*[col(c) for c in docs.columns])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions.values import col
 from flowsieve.llm.components import components, least_connected
 from flowsieve.llm.shingles import mixed, shingle_sets
-from flowsieve.llm.tables import filled, id_text, id_type, join_large_groups, sliced, stored
+from flowsieve.llm.tables import filled, free_names, id_text, id_type, join_large_groups, sliced, stored
 
 BANDS, ROWS = 32, 4
 SHIFTS = np.arange(1, BANDS * ROWS + 1, dtype=np.uint32)[:, None]
@@ -249,8 +249,9 @@ def keep_representatives(docs: DataFrame, id_column: str = "doc_id", text_column
 
     Rows that repeat that id and its text stay one row.
     """
-    kept = near_duplicates(docs, id_column, text_column, percent).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    keyed = docs.withColumn("__text_hash", F.xxhash64(col(text_column).cast("string")))
-    same = (keyed["__text_hash"] == kept["__hash"]) & keyed[id_column].eqNullSafe(kept["__id"])
-    first = F.row_number().over(Window.partitionBy(col(id_column), F.col("__text_hash")).orderBy(F.lit(1)))
-    return keyed.join(kept, same, "left_semi").withColumn("__first", first).filter("__first = 1").select(*[col(c) for c in docs.columns])
+    own, first, kept_id, kept_hash = free_names(docs, "own_hash", "first", "kept_id", "kept_hash")
+    kept = near_duplicates(docs, id_column, text_column, percent).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)).distinct()
+    keyed = docs.withColumn(own, F.xxhash64(col(text_column).cast("string")))
+    same = (F.col(own) == F.col(kept_hash)) & col(id_column).eqNullSafe(F.col(kept_id))
+    place = F.row_number().over(Window.partitionBy(col(id_column), F.col(own)).orderBy(F.lit(1)))
+    return keyed.join(kept, same, "left_semi").withColumn(first, place).filter(F.col(first) == 1).select(*[col(c) for c in docs.columns])

@@ -8,7 +8,8 @@ span, too: it is generalised to its beginning of three letters if that beginning
 for every such e, else removed. Estimates need `support` documents with both.
 
 Terms are words (`\\w+`, lower case) of two letters or more outside the entities, counted once per document.
-Rows count as documents, repeated ones too. Null text is the empty text, a null id is an id like any other,
+Of the same text, ties between terms do not matter, as each is judged by itself; very long texts are
+scanned whole, in time linear in their length. Rows count as documents, repeated ones too. Null text is the empty text, a null id is an id like any other,
 and an empty table gives no rows. Rows that share id and text get the same result. Other columns are not read.
 """
 
@@ -22,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve.functions.tables import BROADCAST_ROWS
 from flowsieve.functions.values import col
 from flowsieve.llm.spans import Span, joined, private_spans, row_key, sha256_hex
-from flowsieve.llm.tables import filled, id_text, id_type, sliced, stored
+from flowsieve.llm.tables import filled, free_names, id_text, id_type, join_large_groups, sliced, stored
 
 THRESHOLD, SUPPORT, BEGINNING = 0.95, 3, 3
 KINDS = ["email", "ip", "card", "phone", "general", "removed"]
@@ -104,10 +106,19 @@ def term_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def with_shared_entities(scanned: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """Entities that enough documents have, with their counts; and key, terms and those entities of each document that has some."""
-    named = scanned.select("key", F.explode("entities").alias("entity"))
-    entities = named.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
-    of_document = named.join(entities.select("entity"), "entity").groupBy("key").agg(F.collect_set("entity").alias("shared"))
+    """Entities that enough documents have, with their counts; and key, terms and those entities of each document that has some.
+
+    Entities that stand in the same documents disclose, and are disclosed, alike: one of them stands for all, so that a list
+    of thousands of addresses is one entity. Documents are compared by their number and three sums of 32-bit hashes.
+    """
+    named = stored(scanned.select("key", F.explode("entities").alias("entity")), "entities")
+    sums = [F.sum(F.pmod(F.xxhash64(F.lit(i), "key"), F.lit(1 << 32))).alias(f"sum_{i}") for i in range(3)]
+    every = stored(named.groupBy("entity").agg(F.count("*").alias("n_entity"), *sums).filter(F.col("n_entity") >= support), "shared-entities")
+    same = ["n_entity", *(f"sum_{i}" for i in range(3))]
+    alike = every.groupBy(*same).agg(F.min("entity").alias("one"))
+    groups = stored(every.join(alike, same).select("entity", "one", "n_entity"), "alike-entities")
+    of_document = join_large_groups(named, groups, "entity", "n_entity", named.count()).groupBy("key").agg(F.collect_set("one").alias("shared"))
+    entities = groups.filter("entity = one").select("entity", "n_entity")
     return entities, scanned.filter(F.size("entities") > 0).join(of_document, "key").select("key", "terms", F.col("shared").alias("entities"))
 
 
@@ -135,6 +146,7 @@ def find_private(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     scanned = stored(scan(docs, id_column, text_column), "private-spans")
     entities, named = (stored(t, "shared-entities") for t in with_shared_entities(scanned, support))
     telling = stored(disclosures(named, entities, term_counts(docs, text_column), scanned.count(), threshold, support), "telling-terms")
+    telling = F.broadcast(telling) if telling.count() <= BROADCAST_ROWS else telling
     met = beside(named).filter(F.size("places") > 0).join(telling, ["entity", "term"])
     words = met.groupBy("key", "term").agg(F.first("places").alias("places"), F.min("generalised").alias("generalised"))
     kind = F.when(F.col("generalised"), "general").otherwise("removed")
@@ -164,10 +176,11 @@ def cleaned(text: str, spans: list[dict]) -> str:
 
 def sanitise(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """The documents, all rows and columns, with sanitised text; null text stays null."""
+    own, found_key, found_spans = free_names(docs, "own_key", "found_key", "found_spans")
     spans = find_private(docs, id_column, text_column, threshold, support).filter(F.size("spans") > 0)
-    found = spans.groupBy("key").agg(F.first("spans").alias("__spans")).withColumnRenamed("key", "__key").hint("shuffle_hash")
+    found = spans.groupBy(F.col("key").alias(found_key)).agg(F.first("spans").alias(found_spans)).hint("shuffle_hash")
     key = F.arrow_udf(lambda ids, texts: pa.array([row_key(i, t.as_py()) for i, t in zip(ids.to_pylist(), filled(texts))], pa.binary()), "binary")
     write = F.arrow_udf(lambda texts, found: pa.array([t if t is None or s is None else cleaned(t, s) for t, s in zip(texts.to_pylist(), found.to_pylist())], pa.string()), "string")
-    keyed = docs.withColumn("__text_key", key(col(id_column), col(text_column).cast("string")))
-    joined_docs = keyed.join(found, keyed["__text_key"] == found["__key"], "left")
-    return joined_docs.select(*[write(col(c).cast("string"), F.col("__spans")).alias(c) if c == text_column else col(c) for c in docs.columns])
+    keyed = docs.withColumn(own, key(col(id_column), col(text_column).cast("string")))
+    joined_docs = keyed.join(found, F.col(own) == F.col(found_key), "left")
+    return joined_docs.select(*[write(col(c).cast("string"), F.col(found_spans)).alias(c) if c == text_column else col(c) for c in docs.columns])

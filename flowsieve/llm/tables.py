@@ -27,6 +27,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with a beginning that no column of the table has, so that what is added for a while cannot clash."""
+    room, taken = "_", tuple(c.lower() for c in df.columns)
+    while any(c.startswith(room) for c in taken):
+        room += "_"
+    return [room + name.lower() for name in names]
+
+
 def id_text(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Only the id and the text, under fixed names, so that no other column can clash."""
     return docs.select(col(id_column).alias("doc_id"), col(text_column).cast("string").alias("text"))

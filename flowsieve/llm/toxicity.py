@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.values import col
-from flowsieve.llm.tables import filled, id_text, id_type, raw_values, sliced, stored
+from flowsieve.llm.tables import filled, free_names, id_text, id_type, raw_values, sliced, stored
 
 LABELLED_ROWS = 40_000
 LEXICON = 5000
@@ -176,6 +177,17 @@ def lexicon_from(counts: list[tuple[str, float, float]], toxic: int, clean: int)
     return {term: ratio for _, term, ratio in sorted(chosen)[:LEXICON]}
 
 
+def likely_terms(counted: DataFrame, totals: dict[tuple[int, int], int], left_out: int | None) -> DataFrame:
+    """The counts of the terms that the lexicon without one part may hold: the surest `LEXICON` by that lexicon's own measure."""
+    parts = [p for p in range(PARTS) if p != left_out]
+    toxic, clean = (sum(totals.get((y, p), 0) for p in parts) for y in (1, 0))
+    t, c = (sum((F.col(f"n{y}{p}") for p in parts), F.lit(0)) for y in (1, 0))
+    ratio = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
+    z = ratio / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+    sure = counted.withColumn("z", z).filter((t >= LEAST_DOCUMENTS) & (ratio >= math.log(LEAST_RATIO)) & (F.col("z") >= LEAST_Z))
+    return sure.orderBy(F.desc("z"), "term").limit(LEXICON).drop("z")
+
+
 def learn_lexicons(docs: DataFrame) -> tuple[dict[str, float], list[dict[str, float]]]:
     """The lexicon from all of doc_id, text, toxic, part, and for each part the one from all other parts."""
 
@@ -195,12 +207,10 @@ def learn_lexicons(docs: DataFrame) -> tuple[dict[str, float], list[dict[str, fl
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["term", "toxic", "part", "n"])
 
     totals = {(r["toxic"], r["part"]): r["n"] for r in docs.groupBy("toxic", "part").agg(F.count("*").alias("n")).collect()}
-    n = [sum(v for (y, _), v in totals.items() if y == label) for label in (0, 1)]
     sums = [F.sum(F.when((F.col("toxic") == y) & (F.col("part") == p), F.col("n")).otherwise(0)).alias(f"n{y}{p}") for y in (0, 1) for p in range(PARTS)]
-    counted = docs.select("text", "toxic", "part").mapInArrow(run, "term string, toxic int, part bigint, n bigint").groupBy("term").agg(*sums)
-    t, c = (sum((F.col(f"n{y}{p}") for p in range(PARTS)), F.lit(0)) for y in (1, 0))
-    ratio = F.log((t + 0.5) / (n[1] + 1)) - F.log((c + 0.5) / (n[0] + 1))
-    likely = counted.withColumn("z", ratio / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))).filter((t >= LEAST_DOCUMENTS) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "term").limit(2 * LEXICON).collect()
+    counted = stored(docs.select("text", "toxic", "part").mapInArrow(run, "term string, toxic int, part bigint, n bigint").groupBy("term").agg(*sums), "term-counts")
+    nominated = reduce(DataFrame.union, [likely_terms(counted, totals, part) for part in (None, *range(PARTS))]).distinct()
+    likely = nominated.collect()  # at most LEXICON terms for each part left out, and for none
 
     def without(part: int | None) -> dict[str, float]:
         parts = [p for p in range(PARTS) if p != part]
@@ -228,13 +238,14 @@ class Toxicity:
         """The documents with their score as one more column, for tables of any columns."""
         if self.trees is None:
             return docs.withColumn(name, F.lit(self.share))
-        lexicon, room = self.lexicon, "__toxicity_"
+        lexicon = self.lexicon
 
         def run(texts: pa.Array) -> pa.Array:
             found = filled(texts)
             return pa.array(features_of(found, [Weights(lexicon)] * len(found)), pa.list_(pa.float64()))
 
-        names = {c: room + c for c in ("features", "rawPrediction", "probability", "prediction", "margin", "calibrated")}
+        columns = ("features", "rawPrediction", "probability", "prediction", "margin", "calibrated")
+        names = dict(zip(columns, free_names(docs.withColumn(name, F.lit(0)), *columns)))
         given = docs.withColumn(names["features"], array_to_vector(F.arrow_udf(run, "array<double>")(col(text_column).cast("string"))))
         trees = self.trees.copy().setFeaturesCol(names["features"]).setRawPredictionCol(names["rawPrediction"]).setProbabilityCol(names["probability"]).setPredictionCol(names["prediction"])
         scored = trees.transform(given).withColumn(names["margin"], vector_to_array(names["probability"])[1])
@@ -293,4 +304,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     model = fit_toxicity(docs, labels.filter(~held_out(col(id_column))), id_column, text_column, **settings)
     if model.trees is None:
         return docs
-    return model.with_score(docs, "__score", text_column).filter(F.col("__score") < THRESHOLD).select(*[col(c) for c in docs.columns])
+    score = free_names(docs, "score")[0]
+    return model.with_score(docs, score, text_column).filter(F.col(score) < THRESHOLD).select(*[col(c) for c in docs.columns])

@@ -132,6 +132,25 @@ def test_toxicity_query_on_held_out_rows(spark):
     assert sum((s >= 0.3) == y for s, y in labels) > 0.85 * len(labels)
 
 
-def test_clashing_columns_survive(spark):
-    docs = clashing(frame(spark, [(1, "a b c d e f"), (2, "g h i j k l")]))
-    assert corpus_pipeline.near_stage(spark, corpus_pipeline.exact_stage(spark, docs, SF), SF).columns == docs.columns
+# Names that the stages could use inside, in any case of letters.
+TEMPORARY = [
+    "__first", "__text_digest", "__text_hash", "__spans", "__key", "__text_key", "__score", "__id", "__hash", "__digest", "_first", "_digest", "_winner", "_won", "_Own_Hash", "_kept_id",
+    "_kept_hash", "_own_key", "_found_key", "_found_spans", "_score", "_features", "_margin", "__toxicity_features", "digest", "winner", "score", "node", "key", "a.b", "c d", "label",
+]
+
+
+def test_extra_columns_keep_their_values(spark):
+    """Through every stage, each row that stays has what it had in all columns but the text and its length."""
+    from pyspark.sql import functions as F
+
+    docs = table(spark, SF, "documents")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.lit(" of "), F.col("doc_id").cast("string")) for c in TEMPORARY})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stored(stage(spark, docs, SF), f"extra-{name}")
+        assert out.columns == docs.columns, name
+        wrong = F.lit(False)
+        for c in TEMPORARY:
+            wrong = wrong | ~F.col(f"`{c}`").eqNullSafe(F.concat(F.lit(c), F.lit(" of "), F.col("doc_id").cast("string")))
+        assert out.count() > 0 and out.filter(wrong).count() == 0, name
+        docs = out
+    assert STAGE["best_fit_packing"](spark, docs, SF).count() > 0
