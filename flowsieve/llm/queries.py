@@ -17,6 +17,7 @@ from flowsieve.llm.packing import pack
 from flowsieve.llm.pii import find_private
 from flowsieve.llm.secrets import find_secrets
 from flowsieve.llm.sharding import shuffle_shards
+from flowsieve.llm.sql import CONVERSATION_REPAIR, MERKLE_MANIFEST
 from flowsieve.llm.tables import stored
 from flowsieve.llm.toxicity import toxicity
 from flowsieve.llm.url_filter import filter_urls
@@ -133,7 +134,7 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
-@query("op12_merkle_manifest")
+@query("op12_merkle_manifest", MERKLE_MANIFEST)
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh id, by its checksum, claims one more character than its document has."""
     docs = table(spark, sf_dir, "documents")
@@ -159,7 +160,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
     return changed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "copy")
 
 
-@query("op11_conversation_repair")
+@query("op11_conversation_repair", CONVERSATION_REPAIR)
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     rows = damaged(conversations)
