@@ -34,10 +34,43 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def log_factorial(x: Column) -> Column:
-    """Exact to 1e-12: a table up to 20, Stirling's series beyond."""
-    series = (x + 0.5) * F.log(x) - x + 0.5 * LOG_2PI + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    return F.when(x <= 20, F.log(F.factorial(x.cast("int")).cast("double"))).otherwise(series)
+def stirling_error(x: Column) -> Column:
+    """log(x!) without its leading terms (x + 1/2) log x - x + log(2 pi) / 2, for x of one or more."""
+
+    def series(y: Column) -> Column:
+        return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - y / 1188) * y) * y) * y) / x
+
+    exact = F.log(F.factorial(F.least(x, F.lit(15.0)).cast("int")).cast("double")) - ((x + 0.5) * F.log(x) - x + 0.5 * LOG_2PI)
+    return F.when(x <= 15, exact).otherwise(bound(1 / (x * x), series))
+
+
+def deviance(x: Column, mean: Column) -> Column:
+    """x log(x / mean) + mean - x, without cancellation where the two are close."""
+
+    def close(v: Column) -> Column:
+        odd = F.array(*[F.lit(1 / k) for k in range(19, 2, -2)])
+        tail = bound(v * v, lambda square: square * F.aggregate(odd, F.lit(0.0), lambda sum, k: sum * square + k))
+        return (x - mean) * v + 2 * x * v * tail
+
+    far = F.when(x > 0, x * F.log(F.greatest(x, F.lit(1.0)) / mean)).otherwise(0.0) + mean - x
+    return F.when(F.abs(x - mean) < 0.1 * (x + mean), bound((x - mean) / (x + mean), close)).otherwise(far)
+
+
+def log_binomial(x: Column, n: Column, p: Column) -> Column:
+    """Log probability of x among n with the chance p: the large terms of the factorials and powers are cancelled on paper."""
+
+    def middle(s: Column) -> Column:
+        x, n, p = s["x"], s["n"], s["p"]
+        return stirling_error(n) - stirling_error(x) - stirling_error(n - x) - deviance(x, n * p) - deviance(n - x, n * (1 - p)) + 0.5 * (F.log(n / (x * (n - x))) - LOG_2PI)
+
+    inside = bound(F.struct(x.alias("x"), n.alias("n"), p.alias("p")), middle)
+    return F.when(n <= 0, 0.0).when(x <= 0, n * F.log1p(-p)).when(x >= n, n * F.log(p)).otherwise(inside)
+
+
+def log_probability(total: Column, good: Column, draws: Column, found: Column) -> Column:
+    """Log of the hypergeometric probability, as three binomial ones; right to 1e-10 for 10^11 rows, and to more digits for fewer."""
+    p = draws / F.greatest(total, F.lit(1.0))
+    return log_binomial(found, good, p) + log_binomial(draws - found, total - good, p) - log_binomial(draws, total, p)
 
 
 def hypergeometric(total: Column, good: Column, draws: Column, uniform: Column) -> Column:
@@ -48,11 +81,7 @@ def hypergeometric(total: Column, good: Column, draws: Column, uniform: Column)
 
     def walk(p: Column) -> Column:
         t, k, n, m = p["t"], p["k"], p["n"], p["m"]
-        log_p = (
-            log_factorial(k) - log_factorial(m) - log_factorial(k - m)
-            + log_factorial(t - k) - log_factorial(n - m) - log_factorial(t - k - n + m)
-            - log_factorial(t) + log_factorial(n) + log_factorial(t - n)
-        )
+        log_p = log_probability(t, k, n, m)
         share = k / F.greatest(t, F.lit(1.0))
         spread = F.sqrt(F.greatest(n * share * (1 - share) * (t - n) / F.greatest(t - 1, F.lit(1.0)), F.lit(0.0)))
         steps = F.sequence(F.lit(1), F.ceil(12 * spread).cast("int") + 12)

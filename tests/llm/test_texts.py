@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from decimal import Decimal, localcontext
 
 import numpy as np
 import public_tokenizers
@@ -259,6 +260,36 @@ def test_matrix_follows_the_hypergeometric_law(spark):
     assert all(0 <= k <= 20 for k in counts)
 
 
+def exact_log_factorial(n):
+    """To some forty digits: a product for small numbers, Stirling's series beyond."""
+    x = Decimal(n)
+    if n < 200:
+        return Decimal(math.factorial(n)).ln()
+    two_pi = 2 * Decimal("3.14159265358979323846264338327950288419716939937510582097494459")
+    bernoulli = [(1, 6), (-1, 30), (1, 42), (-1, 30), (5, 66), (-691, 2730), (7, 6), (-3617, 510), (43867, 798), (-174611, 330)]
+    tail = sum(Decimal(a) / b / (2 * k * (2 * k - 1)) / x ** (2 * k - 1) for k, (a, b) in enumerate(bernoulli, 1))
+    return (x + Decimal("0.5")) * x.ln() - x + two_pi.ln() / 2 + tail
+
+
+def test_probabilities_are_exact_at_any_size(spark):
+    """Against arithmetic of sixty digits, up to 10^11 rows, at the mode and several deviations away."""
+    rng, cases = random.Random(6), [(0, 0, 0, 0), (5, 0, 3, 0), (5, 5, 3, 3), (7, 3, 7, 3), (9, 4, 0, 0), (30, 20, 18, 10), (40, 17, 11, 0), (40, 17, 30, 17)]
+    for total in (10**3, 10**6, 10**9, 10**11):
+        for _ in range(12):
+            good, draws = rng.randrange(1, total), rng.randrange(1, total)
+            deviation = math.sqrt(draws * (good / total) * (1 - good / total) * (total - draws) / total)
+            found = round(draws * good / total + rng.choice([0, 0, 1, -2, 4]) * deviation)
+            cases.append((total, good, draws, min(max(found, 0, draws + good - total), good, draws)))
+    rows = frame(spark, [(i, *map(float, c)) for i, c in enumerate(cases)], "i int, total double, good double, draws double, found double")
+    logs = {r["i"]: r["p"] for r in rows.select("i", sharding.log_probability(*map(F.col, ("total", "good", "draws", "found"))).alias("p")).collect()}
+    with localcontext() as context:
+        context.prec = 60
+        for i, (t, k, n, m) in enumerate(cases):
+            plus, minus = (k, t - k, n, t - n), (m, k - m, n - m, t - k - n + m, t)
+            exact = sum(map(exact_log_factorial, plus)) - sum(map(exact_log_factorial, minus))
+            assert abs(Decimal(logs[i]) - exact) < Decimal("1e-10"), (t, k, n, m, logs[i], exact)
+
+
 def test_matrix_sums(spark):
     sizes = {0: 1000, 1: 3, 2: 417, 5: 80}
     matrix = sharding.communication_matrix(frame(spark, list(sizes.items()), "block bigint, n bigint"), 9, seed=3).collect()
