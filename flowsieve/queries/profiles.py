@@ -18,7 +18,9 @@ from flowsieve.queries.registry import (
     table,
 )
 from flowsieve.queries.standin import COPY_OF, KEY, WITH_FLOWS, flows
-from flowsieve.sources import parquet
+from flowsieve.sources import footers, parquet
+from flowsieve.sources.parquet import write_version
+from flowsieve.sources.workspace import scratch_path
 
 LINE_LABEL = "l_returnflag"
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -125,6 +127,24 @@ def constant_columns(spark: SparkSession, sf: str) -> DataFrame:
     return profile.constant_columns(table(spark, sf, "lineitem").selectExpr("*", *extra), exclude=[])
 
 
+@query("stored_constants", f'SELECT "column", present, is_constant FROM ({CONSTANT_SQL})')
+def stored_constants(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of the written table: whole numbers from the footers, a scan of the others."""
+    extra = [f"{sql} AS {name}" for name, sql in EXTRA.items()]
+    path = write_version(table(spark, sf, "lineitem").selectExpr("*", *extra), scratch_path(spark, "wide"), "rows")
+    return footers.stored_constants(spark, path, exclude=())
+
+
+KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+@query("stored_ranges", per_column_sql("lineitem", KEYS, {"present": "count({0})".format, "low": "CAST(min({0}) AS VARCHAR)".format, "high": "CAST(max({0}) AS VARCHAR)".format, "rows": lambda _: "count(*)"}))
+def stored_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, and present, least and greatest keys of the stored lineitem, from its footers."""
+    path = f"{sf}/lineitem.parquet"
+    return footers.stored_ranges(spark, path, KEYS).withColumn("rows", F.lit(footers.stored_rows(spark, path)).cast("bigint"))
+
+
 TYPE_SQL = (
     "CASE any_value(typeof({0})) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
     "WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END"

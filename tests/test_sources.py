@@ -6,7 +6,7 @@ import pytest
 
 from flowsieve.functions import names as N
 from flowsieve.plans import ingest
-from flowsieve.sources import flow_csv, parquet
+from flowsieve.sources import flow_csv, parquet, workspace
 
 
 @pytest.fixture
@@ -120,3 +120,14 @@ def test_fields_are_read_as_they_are_written(spark, tmp_path):
         assert sorted(report.values()) == [(2, 0, len(odd), 0), (3, 0, len(odd), 0)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_scratch_of_this_application_is_cleared(spark, tmp_path, monkeypatch):
+    """Only its own tables go; other applications' stay."""
+    shared = workspace.shared_folder
+    monkeypatch.setattr(workspace, "shared_folder", lambda spark, _: shared(spark, str(tmp_path)))
+    spark.range(3).write.parquet(workspace.scratch_path(spark, "mine"))
+    other = tmp_path / "flowsieve" / "app-of-another"
+    other.mkdir()
+    assert workspace.clear_scratch(spark) and [p.name for p in (tmp_path / "flowsieve").iterdir()] == ["app-of-another"]
+    assert not workspace.clear_scratch(spark)
