@@ -7,8 +7,8 @@ put together again by position. What is shuffled is a block's word list and its
 than a row for each of the corpus's tokens. Decoding looks up each id in the table of token bytes, whose size is the vocabulary's.
 
 The documents are read twice: for the word lists and for the positions. A block is named by a digest of its
-word list and its documents' ids. If a second read gives other blocks (an input without a stable order), no list fits and the job
-fails rather than give wrong ids; store such an input first.
+word list and its documents' ids. Documents that do not come straight from files may read differently the second time; they are written once
+first. Should blocks differ all the same, no list fits and the job fails rather than give wrong ids.
 
 Null text is the empty text, which has no ids. Repeated rows and ids are encoded as often as they occur. An
 empty table gives no rows. Other columns are not read. A text longer than a block is a block of its own.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,10 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.values import col
-from flowsieve.llm.tables import filled, id_text, id_type, sliced
+from flowsieve.llm.tables import filled, id_text, id_type, sliced, stored
 
 BLOCK_CHARACTERS = 6_000_000
-LEAST_BUCKETS = 64
+LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
+# What may stand between the files and the documents so that both readings give the same rows in the same order.
+SAME_AGAIN = {"Project", "Filter", "Relation", "LogicalRelation", "LocalRelation", "LogicalRDD"}
 
 
 # --- packed columns
@@ -151,26 +154,35 @@ def encoder(ranks_path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def encode_words(lists: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Each distinct word of a bucket encoded once; block, bucket, sizes and ids of its words (packed)."""
+    """Each distinct word of a bucket encoded once; block, bucket, sizes and ids of its words (packed).
 
-    def run(table: pa.Table) -> pa.Table:
+    The lists of a bucket come one after the other, so that a task holds a bucket's words and one batch of lists.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path, pattern).encode_ordinary
         known: dict[bytes, list[int]] = {}
-        sizes, ids, first = [], [], {}
-        for i, block in enumerate(table["block"].to_pylist()):
-            first.setdefault(block, i)
-        table = table.take(pa.array(list(first.values())))  # repeated rows may give a block twice
-        for packed in table["words"]:
-            found = []
-            for word in unpack_words(packed.as_py()):
-                if word not in known:
-                    known[word] = encode(word.decode())
-                found.append(known[word])
-            sizes.append(pack_numbers(np.fromiter(map(len, found), dtype=np.uint32, count=len(found))))
-            ids.append(pack_numbers(np.array([i for f in found for i in f], dtype=np.uint32)))
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
-
-    return lists.groupBy("bucket").applyInArrow(run, "block binary, bucket bigint, sizes binary, ids binary")
+        here, last = None, None
+        for batch in batches:
+            kept, sizes, ids = [], [], []
+            for i, (bucket, block) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist())):
+                if bucket != here:
+                    known, here, last = {}, bucket, None
+                if block == last:  # repeated rows may give a block twice
+                    continue
+                last, found = block, []
+                for word in unpack_words(batch.column("words")[i].as_py()):
+                    if word not in known:
+                        known[word] = encode(word.decode())
+                    found.append(known[word])
+                kept.append(i)
+                sizes.append(pack_numbers(np.fromiter(map(len, found), dtype=np.uint32, count=len(found))))
+                ids.append(pack_numbers(np.array([i for f in found for i in f], dtype=np.uint32)))
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("block").take(at), batch.column("bucket").take(at), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["block", "bucket", "sizes", "ids"])
+
+    in_order = lists.repartition("bucket").sortWithinPartitions("bucket", "block")
+    return in_order.mapInArrow(run, "block binary, bucket bigint, sizes binary, ids binary")
 
 
 @dataclass(frozen=True)
@@ -215,10 +227,19 @@ def reassemble(placed: DataFrame, encoded: DataFrame, kind: str, result: IdLists
     return placed.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(run, f"doc_id {kind}, {result.schema}")
 
 
+def reads_alike(docs: DataFrame) -> bool:
+    """Whether the documents come straight from files, so that each reading gives the same rows in the same order."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m.group() for line in plan.splitlines() if (m := re.search(r"[A-Za-z]+", line))}
+    return nodes <= SAME_AGAIN and not re.search(r"\b(rand|randn|uuid|shuffle|monotonically_increasing_id)\(", plan)
+
+
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", result: IdLists = IdLists()) -> DataFrame:
     """One row per document: doc_id and ids, as the rank file's encoder gives them without special tokens, or what `result` makes of them."""
     plain = id_text(docs, id_column, text_column)
-    buckets = max(LEAST_BUCKETS, 2 * docs.rdd.getNumPartitions())
+    if not reads_alike(plain):
+        plain = stored(plain, "bpe-documents")
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 * plain.rdd.getNumPartitions()))
     encoded = encode_words(word_lists(plain, pattern, buckets), ranks_path, pattern)
     return reassemble(positions(plain, pattern, buckets), encoded, id_type(plain), result)
 

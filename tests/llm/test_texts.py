@@ -18,6 +18,7 @@ from tokenizers import Tokenizer
 
 from flowsieve.llm import bpe, packing, pii, secrets, sharding, spans, toxicity, url_filter
 from flowsieve.llm.queries import byte_50k_files
+from flowsieve.queries.registry import table
 from llm.samples import CLASHING, DOCS, LONG, clashing, edge_docs, frame, no_docs, plain_private, plain_secrets, rows_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -302,6 +303,16 @@ def test_matrix_sums(spark):
 # --- byte-level BPE
 
 
+def test_bpe_of_documents_that_read_differently_each_time(spark):
+    """They are stored first; plain files and filters of them are not."""
+    encode = bpe.tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={}).encode_ordinary
+    files = table(spark, "/root/testdata/sf0.001", "documents")
+    assert bpe.reads_alike(files.filter("doc_id > 3").select("doc_id", "text")) and not bpe.reads_alike(files.orderBy(F.rand())) and not bpe.reads_alike(files.filter(F.rand() < 0.5))
+    found = bpe.bpe_encode(files.orderBy(F.rand()).repartition(3), RANKS, public_tokenizers.PATTERN).collect()
+    texts = {r["doc_id"]: r["text"] for r in files.collect()}
+    assert {r["doc_id"]: r["ids"] for r in found} == {i: encode(t) for i, t in texts.items()}
+
+
 def test_bpe_round_trip(spark, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_CHARACTERS", 300)
     encode = bpe.tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={}).encode_ordinary
