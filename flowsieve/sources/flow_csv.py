@@ -9,7 +9,7 @@ from functools import reduce
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, types as T
 from pyspark.sql import functions as F
 
 from flowsieve.functions import names as N
@@ -31,16 +31,19 @@ def literal(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
+def strings(spark: SparkSession, columns: Sequence[str]) -> DataFrameReader:
+    """A reader of headered CSV with these columns, all as text."""
+    return spark.read.option("header", True).schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+
+
 def read_csv(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """Files of one header, every column as string. With `columns` given, no file is opened for its names."""
-    reader = spark.read.option("header", True).option("inferSchema", False)
-    if columns is not None:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+    reader = spark.read.option("header", True).option("inferSchema", False) if columns is None else strings(spark, columns)
     return reader.csv([literal(p) for p in paths])
 
 
-def files_by_header(spark: SparkSession, folder: str | Sequence[str], pattern: str = "*.csv") -> dict[str, list[str]]:
-    """Paths of a folder's CSV files, or of the named ones, by their header line: one job for any number of files, which reads only their beginnings."""
+def header_lines(spark: SparkSession, folder: str | Sequence[str], pattern: str = "*.csv") -> DataFrame:
+    """(file_path, line): the header line of each of a folder's CSV files, or of the named ones; only their beginnings are read."""
 
     def first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,9 +57,13 @@ def files_by_header(spark: SparkSession, folder: str | Sequence[str], pattern: s
         own.conf.set(name, str(value))
     files = own.read.option("pathGlobFilter", pattern).text(folder) if isinstance(folder, str) else own.read.text([literal(p) for p in folder])
     lines = files.select(F.col("value").alias("line"), "_metadata.file_path", "_metadata.file_block_start")
-    first = lines.filter("file_block_start = 0").select("file_path", "line").mapInArrow(first_line, "file_path string, line string")
+    return lines.filter("file_block_start = 0").select("file_path", "line").mapInArrow(first_line, "file_path string, line string")
+
+
+def files_by_header(spark: SparkSession, folder: str | Sequence[str], pattern: str = "*.csv") -> dict[str, list[str]]:
+    """Paths of a folder's CSV files, or of the named ones, by their header line: one job for any number of files."""
     groups: dict[str, list[str]] = defaultdict(list)
-    for path, line in sorted(tuple(r) for r in first.collect()):
+    for path, line in sorted(tuple(r) for r in header_lines(spark, folder, pattern).collect()):
         groups[line].append(unquote(path))  # the metadata give it as a URI
     return dict(sorted(groups.items()))
 
@@ -67,16 +74,21 @@ def read_csv_folder(
     """All files of a folder as one table of strings, just as they are written, without the columns to drop.
 
     Files may differ in columns and in their order: those with the same header line are one scan, so there are
-    as many scans as header lines, not files. With `columns` given, only these are read; one that a file lacks
+    as many scans as header lines, not files. With one header line the folder is read as it is; with several, the paths of each
+    line's files are named to the reader, whose own index holds them too. With `columns` given, only these are read; one that a file lacks
     is null there. Each row carries its file name and the column counts of its file's header.
     """
-    shapes = [(read_csv(spark, paths[:1]).columns, paths) for paths in files_by_header(spark, folder, pattern).values()]
-    if not shapes:
+    first = header_lines(spark, folder, pattern).groupBy("line").agg(F.min("file_path").alias("one")).collect()  # a row per header line
+    if not first:
         raise FileNotFoundError(f"no header line in {pattern} of {folder}")
+    if len(first) == 1:
+        shapes = [(read_csv(spark, [unquote(first[0]["one"])]).columns, None)]
+    else:
+        shapes = [(read_csv(spark, paths[:1]).columns, paths) for paths in files_by_header(spark, folder, pattern).values()]
     unwanted = set(drop)
     kept = [c for c in (columns if columns is not None else sorted({c for header, _ in shapes for c in header})) if c not in unwanted]
     parts = [
-        read_csv(spark, paths, header).select(
+        (read_csv(spark, paths, header) if paths else strings(spark, header).option("pathGlobFilter", pattern).csv(folder)).select(
             *[(col(c) if c in header else F.lit(None).cast("string")).alias(c) for c in kept],
             F.col("_metadata.file_name").alias(SOURCE_FILE),
             F.lit(len(header)).alias(COLUMNS_BEFORE),
