@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import zlib
 
 import public_tokenizers
 import pytest
@@ -14,6 +15,7 @@ from flowsieve.llm import pii, spans, toxicity
 from flowsieve.llm.tables import stored
 from flowsieve.queries.registry import table
 from llm.samples import LOWER, clashing, edge_docs, frame, near_components, no_docs, plain_private, plain_secrets, rows_of
+from llm.test_duplicates import vectors_by_hand
 from llm.test_texts import disclosed_by_hand, packed_well
 
 SF = os.environ.get("FLOWSIEVE_SF", "/root/testdata/sf0.001")
@@ -132,6 +134,28 @@ def test_toxicity_query_on_held_out_rows(spark):
     assert sum((s >= 0.3) == y for s, y in labels) > 0.85 * len(labels)
 
 
+def test_packing_query(spark):
+    sequences, least = packed_well(driver.queries()["op5_best_fit_packing"](spark, SF).collect(), texts(table(spark, SF, "documents")))
+    assert sequences <= 1.01 * least + 1
+
+
+def test_shards_query(spark):
+    found = driver.queries()["op6_uniform_shards"](spark, SF).collect()
+    docs = {i: (text or "").encode() for i, text in texts(table(spark, SF, "documents"))}
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == sorted((i, len(b) + 8, zlib.crc32(b)) for i, b in docs.items())
+    slots = {}
+    for r in found:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert set(slots) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 and {(r["law"], r["grown_shard"]) for r in found} == {("rows", None)}
+
+
+def test_vectors_query(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in table(spark, SF, "embeddings").collect()]
+    found = driver.queries()["op8_embedding_near_dedup"](spark, SF)
+    assert rows_of(found, "vec_id", "n_links", "component_id", "kept") == vectors_by_hand(rows, 0.95)
+
+
 # Names that the stages could use inside, in any case of letters.
 TEMPORARY = [
     "__first", "__text_digest", "__text_hash", "__spans", "__key", "__text_key", "__score", "__id", "__hash", "__digest", "_first", "_digest", "_winner", "_won", "_Own_Hash", "_kept_id",
