@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, types as T
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions import names as N
 from flowsieve.functions.tables import local_table
-from flowsieve.functions.values import col, field_types, has_nan, missing, not_nan
+from flowsieve.functions.values import col, field_types, missing, not_nan
 
 
 CARRY = "__carried"
@@ -118,24 +119,31 @@ def missing_counts(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     return column_profile(df, tests, {"missing": Metric(F.count_if, 0)})
 
 
+# Types whose values a double holds exactly.
+DOUBLE_TYPES = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType)
+
+
 def constant_columns(df: DataFrame, exclude: Sequence[str] = (N.LABEL,)) -> DataFrame:
-    """Columns with at most one value on all rows, null and NaN left out.
+    """Columns with at most one value on all rows, null and NaN left out, in one scan.
 
-    One scan compares the least and greatest hash of each column, whole numbers that are aggregated without a sort. Columns
-    whose hashes agree, usually a few, are confirmed by their values in a second scan.
+    Numbers that a double holds exactly are compared as such, other types by two hashes of 64 bits. All lanes are numbers of
+    fixed width, which are aggregated in hash tables, without a sort of the cells.
     """
     types = field_types(df)
-    chosen = [c for c in df.columns if c not in set(exclude)]
-    values = {c: not_nan(c, types[c]) + F.lit(0.0) if has_nan(types[c]) else col(c) for c in chosen}  # minus zero is zero
-    hashed = {c: F.when(v.isNotNull(), F.xxhash64(v)) for c, v in values.items()}
-    found = column_profile(df, hashed, {"present": Metric(F.count, 0), "low": Metric(F.min), "high": Metric(F.max)}).collect()
-    present = {r["column"]: r["present"] for r in found}
-    agreed = [r["column"] for r in found if r["low"] == r["high"]]
-    tests = [F.min(values[c]).eqNullSafe(F.max(values[c])).alias(str(i)) for i, c in enumerate(agreed)]
-    confirmed = dict(zip(agreed, df.agg(*tests).first())) if agreed else {}
-    rows = [(c, present[c], int(confirmed.get(c, False))) for c in chosen]
-    table = local_table(df.sparkSession, rows, {"column": "string", "present": "bigint", "constant": "int"})
-    return table.select("column", "present", (F.col("constant") == 1).alias("is_constant"))
+    nothing = [F.lit(None).cast(kind) for kind in ("double", "bigint", "bigint")]
+    values = {}
+    for c in df.columns:
+        if c not in set(exclude):
+            if isinstance(types[c], DOUBLE_TYPES):
+                lanes = [not_nan(c, types[c]).cast("double"), *nothing[1:]]
+            else:
+                lanes = [nothing[0], *(F.when(col(c).isNotNull(), F.xxhash64(F.lit(seed), col(c))) for seed in (1, 2))]
+            values[c] = F.struct(*[v.alias(name) for v, name in zip(lanes, ("number", "hash", "other"))])
+    metrics = {"present": Metric(lambda v: F.count_if(v["number"].isNotNull() | v["hash"].isNotNull()), 0)}
+    for lane in ("number", "hash", "other"):
+        metrics |= {f"low_{lane}": Metric(lambda v, lane=lane: F.min(v[lane])), f"high_{lane}": Metric(lambda v, lane=lane: F.max(v[lane]))}
+    same = reduce(Column.__and__, [F.col(f"low_{lane}").eqNullSafe(F.col(f"high_{lane}")) for lane in ("number", "hash", "other")])
+    return column_profile(df, values, metrics).select("column", "present", same.alias("is_constant"))
 
 
 def type_check(df: DataFrame, label: str = N.LABEL) -> DataFrame:

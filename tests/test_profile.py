@@ -89,6 +89,16 @@ def test_constants_of_all_types_take_one_scan(spark, tmp_path):
     assert by_column(found, "is_constant") == {"id": False, "d": True, "s": False, "t": True, "m": False}
 
 
+def test_constants_of_many_columns_are_not_sorted(spark, tmp_path):
+    """The cells of a wide table go through hash tables, text as well."""
+    path = str(tmp_path / "t")
+    spark.range(5).selectExpr("id", *[f"concat('v', id % {i % 3 + 1}) as s{i}" for i in range(30)]).write.parquet(path)
+    found = profile.constant_columns(spark.read.parquet(path), exclude=[])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert by_column(found, "is_constant") == {"id": False, **{f"s{i}": i % 3 == 0 for i in range(30)}}
+
+
 def test_types_need_no_scan(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.sql("select id, 'x' as s from range(5)").write.parquet(path)
