@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as driver
 from compare import connection, differences
+from flowsieve.operators import duplicates
+from flowsieve.queries.standin import KEY, flows, plain_flows
 
 SF = os.environ.get("FLOWSIEVE_SF", "/root/testdata/sf0.001")
 ORACLES, QUERIES = driver.oracle_sql(), driver.queries()
@@ -33,3 +35,15 @@ def test_entry(spark):
     rows = driver.entry(spark).collect()
     assert [r["n"] for r in rows] == sorted((r["n"] for r in rows), reverse=True)
     assert abs(sum(r["share"] for r in rows) - 100) < 1e-4
+
+
+def test_records_are_derived_for_the_columns_used(spark):
+    """No table of 68 columns is written first: a query of two columns reads what these need."""
+    plan = flows(spark, SF).select(KEY)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" in plan and "l_tax" not in plan and "l_returnflag" not in plan
+
+
+def test_copied_records_are_compared_by_value(spark):
+    """The optimizer must not decide from the formulas that copies are equal."""
+    pair = duplicates.duplicate_verification(plain_flows(spark, SF), [("Subflow Fwd Pkts", "Tot Fwd Pkts")])
+    assert "l_partkey" in pair._jdf.queryExecution().optimizedPlan().toString()
