@@ -110,3 +110,19 @@ def test_exact_balance_sorts_no_rows_but_ties(spark, tmp_path):
     assert kept.filter("Label = 'Benign'").count() == 1234 and kept.filter("Label = 'Bot'").count() == 2000
     plain, tied = str(kept._jdf.queryExecution().optimizedPlan().toString()).split("Window")[0], kept._jdf.queryExecution().optimizedPlan().toString()
     assert "Sort" not in plain and "Join" not in tied and tied.count("Window") <= 2
+
+
+@pytest.mark.parametrize("shares", [(0.7, 0.3), (0.2, 0.5, 0.3), (1.0,), (0.0, 1.0)])
+def test_parts_hold_every_row_once_and_draw_once(spark, shares):
+    """The first and the last part compare their draw with one bound, so a filter works it out once."""
+    rows = spark.range(0, 3000, 1, 3).selectExpr("CASE WHEN id % 9 > 0 THEN id % 1000 END AS k", "id")
+    found = sampling.split_keyed(rows, ["k"], shares, 5)
+    got = [{r["id"] for r in part.collect()} for part in found]
+    assert sum(map(len, got)) == 3000 and set().union(*got) == set(range(3000))
+    drawn = rows.withColumn("draw", sampling.key_draw(["k"], 5)).collect()
+    ends = [sum(shares[:i]) / sum(shares) * (1 << 32) for i in range(len(shares) + 1)]
+    for i, ids in enumerate(got):
+        last = i == len(shares) - 1
+        assert ids == {r["id"] for r in drawn if r["draw"] >= ends[i] and (last or r["draw"] < ends[i + 1])}
+    for part in (found[0], found[-1]):
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("md5") <= 1
