@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
+from flowsieve.functions import names, tables
 from flowsieve.operators import features, metrics, models, sampling
 from flowsieve.plans import stored, train
 from flowsieve.queries import learning
@@ -163,3 +164,60 @@ def test_metrics_query_scores_once(spark, points, monkeypatch):
 
     counted = trained.scored.withColumn("prediction", F.udf(count, "double")("prediction"))
     assert learning.agreed(counted).first()["as_evaluator"] and looked.value == trained.scored.count()
+
+
+def lineitem(spark, rows):
+    """Lines of which every seventh stands twice and every eleventh has a null in its key."""
+    ids = spark.range(rows)
+    lines = ids.unionByName(ids.filter("id % 7 = 0")).selectExpr(
+        "CASE WHEN id % 11 > 0 THEN id END AS l_orderkey",
+        "id % 13 AS l_partkey",
+        "id % 5 AS l_suppkey",
+        "CAST(id % 7 + 1 AS INT) AS l_linenumber",
+        "CAST(id % 50 AS DOUBLE) AS l_quantity",
+        "CAST(id % 900 AS DOUBLE) AS l_extendedprice",
+        "id % 10 / 100D AS l_discount",
+        "id % 8 / 100D AS l_tax",
+        "'R' AS l_returnflag",
+    )
+    folder = scratch_path(spark, "lines")
+    lines.write.parquet(f"{folder}/lineitem.parquet")
+    return folder, lines
+
+
+def test_training_rows_are_stored_without_their_features(spark):
+    """The few columns that the records come from are laid out; labels and features are worked out when they are read."""
+    folder, lines = lineitem(spark, 500)
+    stored_rows = spark.read.parquet(learning.decided_path(spark, folder))
+    assert stored_rows.columns == learning.DECIDED_FROM
+    expected = lines.selectExpr(*learning.NUMBER_KEY, f"{learning.DECIDED_LABEL} AS Label").toPandas()
+    found = learning.decided(spark, folder)
+    assert sorted(map(str, found.select(*learning.NUMBER_KEY, "Label").toPandas().values.tolist())) == sorted(map(str, expected.values.tolist()))
+    assert set(names.FEATURES) < set(found.columns)
+
+
+def test_files_stay_apart_while_a_fit_reads_them(spark):
+    """Spark puts small files together, and a fit would keep their rows as one block."""
+    path = scratch_path(spark, "files")
+    spark.range(0, 4000, 1, 40).write.parquet(path)
+    before = spark.read.parquet(path).rdd.getNumPartitions()
+    with tables.read_splits(spark, 1 << 10):
+        assert spark.read.parquet(path).rdd.getNumPartitions() == 40
+    assert spark.read.parquet(path).rdd.getNumPartitions() == before < 40
+
+
+def test_a_fit_keeps_a_partition_for_each_file(spark, monkeypatch):
+    """The trainer sees the files apart, and the session's setting comes back, also after an error."""
+    folder, _ = lineitem(spark, 600)
+    monkeypatch.setattr(learning, "DECIDED_ROWS", 20)
+    monkeypatch.setattr(learning, "FIT_SPLIT", 1 << 10)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def trainer(df):
+        assert df.rdd.getNumPartitions() > 20
+        raise LookupError
+
+    monkeypatch.setitem(learning.TRAINERS, "large", trainer)
+    with pytest.raises(LookupError):
+        learning.trained(spark, folder, "large")
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
