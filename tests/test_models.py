@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import glob
+import time
+
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
@@ -221,3 +224,47 @@ def test_a_fit_keeps_a_partition_for_each_file(spark, monkeypatch):
     with pytest.raises(LookupError):
         learning.trained(spark, folder, "large")
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+def test_a_forest_fitted_in_parts_is_one_forest(spark, points):
+    whole = models.forest_large(["x", "noise/1", "flat"], trees=5, depth=3)
+    model = models.fit_forest(whole, points, at_once=2)
+    joined = model.stages[-1]
+    assert joined.getNumTrees == 5 and joined.numClasses == 3 and joined.getFeaturesCol() == features.VECTOR
+    first = models.forest_large(["x", "noise/1", "flat"], trees=2, depth=3).fit(points).stages[-1]
+    assert [t.toDebugString.split("\n", 1)[1] for t in joined.trees[:2]] == [t.toDebugString.split("\n", 1)[1] for t in first.trees]
+    assert len({t.toDebugString.split("\n", 1)[1] for t in joined.trees}) > 2
+    found = train.evaluated(model, points, "Label")
+    assert found.metrics.first()["accuracy"] > 0.9
+    again = stored.evaluate_stored(save_pipeline(model, scratch_path(spark, "model")), points)
+    assert again.scored.select("id", "prediction", "probability").exceptAll(found.scored.select("id", "prediction", "probability")).count() == 0
+    assert sum(r["importance"] for r in models.feature_importance(spark, model).collect()) == pytest.approx(1.0)
+
+
+def test_a_large_table_is_fitted_some_trees_at_a_time(points, monkeypatch):
+    asked, fit = [], models.RandomForestClassifier._fit
+    monkeypatch.setattr(models.RandomForestClassifier, "_fit", lambda self, df: asked.append((self.getNumTrees(), self.getSeed())) or fit(self, df))
+    monkeypatch.setattr(models, "TREES_AT_ONCE", 2, raising=False)
+    monkeypatch.setattr(models, "ROWS_WITH_ALL_TREES", points.count(), raising=False)
+    train.train_forest_large(points, exclude=["id"], trees=5, depth=2)
+    monkeypatch.setattr(models, "ROWS_WITH_ALL_TREES", 100, raising=False)
+    found = train.train_forest_large(points, exclude=["id"], trees=5, depth=2)
+    assert [n for n, _ in asked] == [5, 2, 2, 1] and len({seed for _, seed in asked[1:]}) == 3
+    assert found.model.stages[-1].getNumTrees == 5
+
+
+def test_shuffle_files_go_while_a_fit_runs(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [str(f) for f in env.blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {f for folder in folders for f in glob.glob(f"{folder}/*/shuffle_*.data")}
+
+    before = shuffled()
+    with tables.release_shuffles(spark, every=0.5):
+        spark.range(0, 20000, 1, 4).repartition(5, "id").write.format("noop").mode("overwrite").save()
+        written = shuffled() - before
+        end = time.time() + 20
+        while written & shuffled() and time.time() < end:
+            time.sleep(0.2)
+        assert written and not written & shuffled()
