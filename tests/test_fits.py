@@ -1,13 +1,13 @@
-"""Forests fitted from packed rows, as large tables are."""
+"""Forests and perceptrons fitted from packed rows, as large tables are."""
 
 from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
-from flowsieve.operators import features, forests, models
+from flowsieve.operators import features, forests, models, networks
 from flowsieve.operators.blocks import Scaling
 from flowsieve.plans import stored, train
 from flowsieve.sources.fitted import save_pipeline
@@ -25,9 +25,10 @@ def rows(spark):
 
 @pytest.fixture()
 def large(monkeypatch):
-    """Any table is large; MLlib's own fit is an error."""
+    """Any table is large; MLlib's own fits are errors."""
     monkeypatch.setattr(models, "ROWS_AS_OBJECTS", 100, raising=False)
-    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, df: pytest.fail("fitted by MLlib"))
+    for kind in (RandomForestClassifier, MultilayerPerceptronClassifier):
+        monkeypatch.setattr(kind, "_fit", lambda self, df: pytest.fail("fitted by MLlib"))
 
 
 def test_a_large_forest_grows_from_binned_rows(spark, rows, large):
@@ -95,3 +96,56 @@ def test_split_points():
     many = forests.split_points(np.arange(3200.0), 32)
     assert len(many) == 31 and np.abs(many - np.arange(100, 3200, 100)).max() <= 1
     assert len(forests.split_points(np.r_[np.zeros(5000), np.arange(1.0, 100)], 8)) <= 7
+
+
+def test_null_and_nan_are_errors_and_nothing_is_left_behind(spark, rows, large, tmp_path, monkeypatch):
+    monkeypatch.setattr("flowsieve.operators.blocks.scratch_path", lambda _, name: str(tmp_path / name))
+    train.train_perceptron(rows, named=NAMES, keys=["id"], hidden=(3,), iterations=3)
+    kind = RandomForestClassifier(labelCol="few", featuresCol=features.VECTOR, numTrees=2, maxDepth=2)
+    with pytest.raises(Exception, match="null or NaN"):
+        forests.fit_binned(kind, rows.withColumn("x", F.when(F.col("id") > 3, F.col("x"))), 1500, "few", NAMES, 5, Scaling(None, None))
+    assert not list(tmp_path.iterdir())
+
+
+def test_a_large_perceptron_is_fitted_in_passes(spark, rows, large):
+    found = train.train_perceptron(rows, named=NAMES, keys=["id"], hidden=(5,), iterations=80)
+    network = found.model.stages[-1]
+    assert found.metrics.first()["accuracy"] > 0.95 and network.getOrDefault("layers") == [4, 5, 3] and network.weights.size == 4 * 5 + 5 + 5 * 3 + 3
+    again = stored.evaluate_stored(save_pipeline(found.model, scratch_path(spark, "model"), found.card), rows)
+    assert again.scored.select("id", "prediction").exceptAll(models.score(found.model, rows).select("id", "prediction")).count() == 0
+
+
+def test_the_network_is_mllibs(spark, rows):
+    """The loss of the same weights over all rows is that of MLlib's probabilities, and the gradient is that of the loss."""
+    prepared = models.fit_perceptron(rows, NAMES, hidden=(4, 3), iterations=6)
+    scored = prepared.transform(rows).select(features.LABEL_INDEX, "probability").toPandas()
+    expected = -np.mean([np.log(p[int(i)]) for i, p in zip(scored[features.LABEL_INDEX], scored["probability"])])
+    weights, sizes = prepared.stages[-1].weights.toArray(), [4, 4, 3, 3]
+    scaling = Scaling.of(prepared.stages[2])
+    encode = lambda columns: networks.halves(scaling.apply(columns).astype(np.float32))
+    with networks.packed(prepared.stages[0].transform(rows), features.LABEL_INDEX, NAMES, encode, 100) as blocks:
+        value, gradient = networks.mean_loss(blocks, sizes, weights)
+        assert value == pytest.approx(expected, rel=1e-5)
+        for i in range(0, len(weights), 9):
+            step = np.zeros(len(weights))
+            step[i] = 1e-2
+            slope = (networks.mean_loss(blocks, sizes, weights + step)[0] - networks.mean_loss(blocks, sizes, weights - step)[0]) / 2e-2
+            assert gradient[i] == pytest.approx(slope, abs=2e-4)
+
+
+def test_halves_lose_nothing():
+    import pyarrow as pa
+
+    numbers = np.random.default_rng(1).normal(size=(3, 50)).astype(np.float32)
+    assert (networks.from_halves(pa.py_buffer(networks.halves(numbers)), 3, 50) == numbers).all()
+
+
+def test_minimise_finds_the_valley():
+    def rosenbrock(x):
+        a, b = 1 - x[:-1], x[1:] - x[:-1] ** 2
+        gradient = np.zeros(len(x))
+        gradient[:-1] += -2 * a - 400 * x[:-1] * b
+        gradient[1:] += 200 * b
+        return float((a**2 + 100 * b**2).sum()), gradient
+
+    assert networks.minimise(rosenbrock, np.full(6, -1.0), 500, 1e-14) == pytest.approx(np.ones(6), abs=1e-3)
